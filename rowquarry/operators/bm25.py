@@ -55,6 +55,15 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
     ).withColumn("avgdl", F.col("total") / F.greatest(F.col("n"), F.lit(1)))
 
 
+def totals(docs: DataFrame, post: DataFrame) -> DataFrame:
+    """``corpus_stats`` from written tables: term counts add up to the lengths, so no text is read."""
+    return (
+        post.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("total"))
+        .withColumn("n", docs.agg(F.count(F.lit(1))).scalar())
+        .select("n", "total", (F.col("total") / F.greatest(F.col("n"), F.lit(1))).alias("avgdl"))
+    )
+
+
 def inverse_frequency(n: Column, df: Column) -> Column:
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 

@@ -41,16 +41,17 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     The default encoder, needing no model. A text without tokens gets the zero vector.
     Everything after the placing shuffle groups on ``doc_id`` and stays in its partition.
     """
-    return embed_tokens(tokenised(docs, id_col, text_col), dimensions)
+    tokens = tokenised(docs, id_col, text_col)
+    return embed_postings(tokens, postings(tokens), dimensions)
 
 
-def embed_tokens(tokens: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+def embed_postings(docs: DataFrame, post: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """The same vectors from an existing postings table; ``docs`` gives the full list of ids."""
     digest = F.md5(F.col("term").cast("binary"))
     bucket = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dimensions)).cast("int")
     sign = F.when(F.conv(F.substring(digest, 9, 1), 16, 10).cast("int") < 8, 1).otherwise(-1)
     sums = (
-        postings(tokens)
-        .select("doc_id", bucket.alias("bucket"), (sign * F.col("tf")).alias("signed"))
+        post.select("doc_id", bucket.alias("bucket"), (sign * F.col("tf")).alias("signed"))
         .groupBy("doc_id", "bucket")
         .agg(F.sum("signed").cast("double").alias("value"))
     )
@@ -65,7 +66,7 @@ def embed_tokens(tokens: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFr
             F.col("norm") > 0, F.coalesce(F.element_at(F.col("parts"), i), F.lit(0.0)) / F.col("norm")
         ).otherwise(F.lit(0.0)).cast("float"),
     )
-    return tokens.select("doc_id").join(filled, "doc_id", "left").select(
+    return docs.select("doc_id").join(filled, "doc_id", "left").select(
         "doc_id",
         F.when(F.col("norm").isNotNull(), vec)
         .otherwise(F.array_repeat(F.lit(0.0).cast("float"), dimensions))
