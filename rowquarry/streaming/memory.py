@@ -52,13 +52,16 @@ def memory_turns(messages: DataFrame, size: int = fixed.MEMORY_MESSAGES) -> Data
     )
 
 
-def read_messages(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """A message stream from parquet files. ``files_per_trigger`` bounds a micro-batch, and with
-    it the messages of one conversation that a task holds at a time."""
-    reader = spark.readStream.schema(MESSAGE_SCHEMA)
+def read_messages(
+    spark: SparkSession, folder: str, pattern: str = "*", files_per_trigger: int | None = None
+) -> DataFrame:
+    """A message stream from the parquet files in a folder whose names match ``pattern``.
+    ``files_per_trigger`` bounds a micro-batch, and with it the messages of one conversation
+    that a task holds at a time."""
+    reader = spark.readStream.schema(MESSAGE_SCHEMA).option("pathGlobFilter", pattern)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    return reader.parquet(folder)
 
 
 def stream_frames(messages: DataFrame, size: int = fixed.MEMORY_MESSAGES, idle_timeout_ms: int | None = None) -> DataFrame:
