@@ -267,11 +267,8 @@ def numeric_coercion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def parse_rates(spark: SparkSession, sf: str) -> DataFrame:
-    dirty = dirty_events(spark, sf).drop("event_id")
-    names = clean.text_columns(dirty)
-    wide_rates = clean.parse_rates(dirty)
-    cells = F.array(*[F.struct(F.lit(n).alias("column"), F.round(f"rate_{i}", 6).alias("rate"), (F.col(f"rate_{i}") > 0.8).alias("converts")) for i, n in enumerate(names)])
-    return wide_rates.select(F.inline(cells))
+    rates = clean.parse_rates(dirty_events(spark, sf).drop("event_id"))
+    return rates.select("column", F.round("rate", 6).alias("rate"), (F.col("rate") > 0.8).alias("converts"))
 
 
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:

@@ -55,28 +55,34 @@ def context_size(question_type: Column) -> Column:
 def float_text(value: Column) -> Column:
     """A double as Python prints it: ``900.0``, ``12345678.91``, ``1e-05``, ``nan``.
 
-    The JVM prints the same digits but switches to an exponent earlier, so the digits are
-    laid out again through an exact decimal.
+    In the usual range the JVM prints the same. The rest is laid out again in a lambda over a
+    one-item array, which keeps the generated code for each column small.
     """
     double = value.cast("double")
+    size = F.abs(double)
+    return (
+        F.when(double.isNull(), F.lit(None).cast("string"))
+        .when(((size >= 1e-3) & (size < 1e7)) | (size == 0), double.cast("string"))
+        .otherwise(F.get(F.transform(F.array(double), _far_float_text), F.lit(0)))
+    )
+
+
+def _far_float_text(double: Column) -> Column:
+    """Very large, very small and special values. The JVM gives the right digits but with an
+    exponent; an exact decimal lays them out plainly where Python would."""
     jvm = double.cast("string")
     plain = F.regexp_replace(jvm.cast("decimal(38,20)").cast("string"), "0+$", "")
-    plain = F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain)
-    mantissa = F.regexp_replace(F.substring_index(jvm, "E", 1), r"\.0$", "")
     exponent = F.substring_index(jvm, "E", -1).cast("int")
     scientific = F.concat(
-        mantissa,
+        F.regexp_replace(F.substring_index(jvm, "E", 1), r"\.0$", ""),
         F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
         F.lpad(F.abs(exponent).cast("string"), 2, "0"),
     )
     size = F.abs(double)
     return (
-        F.when(double.isNull(), F.lit(None).cast("string"))
-        .when(F.isnan(double), F.lit("nan"))
+        F.when(F.isnan(double), F.lit("nan"))
         .when(size == float("inf"), F.when(double > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size >= 1e-3) & (size < 1e7), jvm)
-        .when(size == 0, jvm)
-        .when((size >= 1e-4) & (size < 1e16), plain)
+        .when((size >= 1e-4) & (size < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
         .otherwise(scientific)
     )
 
@@ -105,13 +111,13 @@ def shorten(text: Column, limit: int = fixed.MAX_VALUE_LENGTH) -> Column:
 
 def row_line(fields: list[T.StructField], limit: int = fixed.MAX_VALUE_LENGTH) -> Column:
     """One row as ``column: value | column: value``."""
-    cells = []
+    parts = []
     for f in fields:
         text = cell_text(quoted(f.name), f.dataType)
         if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
             text = shorten(text, limit)
-        cells.append(F.concat(F.lit(f"{f.name}: "), text))
-    return F.concat_ws(" | ", *cells)
+        parts.append(F.concat(F.lit(f"{f.name}: "), text))
+    return F.concat_ws(" | ", *parts)
 
 
 def joined_in_order(order: Column, text: Column, separator: str) -> Column:

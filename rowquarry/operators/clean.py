@@ -117,14 +117,18 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def parse_rates(df: DataFrame) -> DataFrame:
-    """One row: per text column the share of rows that parse (``rate_i``) and that are whole
-    numbers (``whole_i``), all from one pass."""
-    measures = []
-    for i, name in enumerate(text_columns(df)):
-        column = quoted(name)
-        measures.append(F.avg(parsed_number(column).isNotNull().cast("int")).alias(f"rate_{i}"))
-        measures.append(F.avg(_parsed_integer(column).isNotNull().cast("int")).alias(f"whole_{i}"))
-    return df.agg(*measures)
+    """``(column, rate, whole)``: per text column the share of rows that parse and that are
+    whole numbers. One pass; each task sends one record per column."""
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in text_columns(df)])
+    value = F.col("value")
+    return (
+        df.select(F.inline(cells))
+        .groupBy("column")
+        .agg(
+            F.avg(parsed_number(value).isNotNull().cast("int")).alias("rate"),
+            F.avg(_parsed_integer(value).isNotNull().cast("int")).alias("whole"),
+        )
+    )
 
 
 def number_types(df: DataFrame, threshold: float = fixed.NUMERIC_SHARE) -> dict[str, str]:
@@ -133,16 +137,10 @@ def number_types(df: DataFrame, threshold: float = fixed.NUMERIC_SHARE) -> dict[
     A column converts when strictly more than ``threshold`` of its rows parse; it is whole
     only if every row is.
     """
-    names = text_columns(df)
-    if not names:
+    if not text_columns(df):
         return {}
-    row = parse_rates(df).first()
-    types = {}
-    for i, name in enumerate(names):
-        rate = row[f"rate_{i}"]
-        if rate is not None and rate > threshold:
-            types[name] = "bigint" if row[f"whole_{i}"] == 1.0 else "double"
-    return types
+    found = parse_rates(df).filter(F.col("rate") > threshold).collect()  # at most one row per column
+    return {r["column"]: "bigint" if r["whole"] == 1.0 else "double" for r in found}
 
 
 def coerce_numbers(df: DataFrame, types: dict[str, str]) -> DataFrame:
@@ -167,11 +165,20 @@ def clean(df: DataFrame) -> DataFrame:
 
 def clean_numbered(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
     """Clean, keeping first copies in order, and number the rows. Runs jobs: the numbering
-    write and one pass over it to decide number columns."""
-    order = F.struct(*[(quoted(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_by)])
-    tidy = plain_types(tidy_columns(df.withColumn("__order", order)))
-    first = distinct_rows(tidy, F.col("__order"))
-    numbered = number_rows(first, [F.col("__first")])
+    write and one pass over it to decide number columns.
+
+    When the order is by columns of the table, copies agree on it and a plain distinct does;
+    otherwise the smallest order value of the copies is carried along.
+    """
+    plain = [c for c in df.columns if not is_technical(c) and not _UNNAMED.match(c)]
+    if all(isinstance(c, str) and c in plain for c in order_by):
+        tidy = plain_types(tidy_columns(df))
+        renamed = dict(zip(plain, [c for c in tidy.columns if not is_technical(c)]))
+        numbered = number_rows(distinct_rows(tidy), [renamed[c] for c in order_by])
+    else:
+        order = F.struct(*[(quoted(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_by)])
+        tidy = plain_types(tidy_columns(df.withColumn("__order", order)))
+        numbered = number_rows(distinct_rows(tidy, F.col("__order")), [F.col("__first")])
     filled = fill_nulls(numbered.rows)
     return numbered.with_rows(coerce_numbers(filled, number_types(filled)))
 

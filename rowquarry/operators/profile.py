@@ -35,11 +35,11 @@ def is_number(field: T.StructField) -> bool:
 def long_form(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """One row per cell: ``(col_ord, whole, decimal, text, __row_id)``, typed so that equal
     means equal in the column's own type. Built inside the row, no shuffle."""
-    cells = []
+    typed = []
     for i, f in enumerate(fields):
         column = quoted(f.name)
         kind = dtype_name(f.dataType)
-        cells.append(
+        typed.append(
             F.struct(
                 F.lit(i).alias("col_ord"),
                 (column.cast("long") if kind in ("int64", "bool") else F.lit(None).cast("long")).alias("whole"),
@@ -49,7 +49,7 @@ def long_form(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
             )
         )
     keep = [F.col(ROW_ID)] if ROW_ID in rows.columns else []
-    return rows.select(F.explode(F.array(*cells)).alias("c"), *keep).select("c.*", *keep).filter(~F.col("missing")).drop("missing")
+    return rows.select(F.explode(F.array(*typed)).alias("c"), *keep).select("c.*", *keep).filter(~F.col("missing")).drop("missing")
 
 
 def value_counts(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
@@ -96,13 +96,9 @@ def _column_measures(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 def _samples(table: NumberedTable) -> DataFrame:
     """First values of every column in row order: at most five rows are read."""
-    cells = F.array(
-        *[
-            F.struct(F.lit(i).alias("col_ord"), cell_text(quoted(f.name), f.dataType).alias("value"))
-            for i, f in enumerate(table.fields)
-        ]
-    )
-    few = table.at(list(range(fixed.SAMPLE_VALUES))).select(F.col(ROW_ID).alias("row"), F.inline(cells))
+    first = table.at(list(range(fixed.SAMPLE_VALUES)))
+    cells = F.array(*[cell_text(quoted(f.name), f.dataType) for f in table.fields])
+    few = first.select(F.col(ROW_ID).alias("row"), F.posexplode(cells).alias("col_ord", "value"))
     return few.groupBy("col_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda p: p["value"]).alias("sample_values")
     )
@@ -150,9 +146,9 @@ def quantiles(rows: DataFrame, names: list[str], shares: list[float]) -> DataFra
     ranks are found in the few partitions that hold them. No task gathers a whole column.
     """
     spark = rows.sparkSession
-    cells = F.array(*[F.struct(F.lit(i).alias("col_ord"), quoted(c).cast("double").alias("v")) for i, c in enumerate(names)])
+    numbers = F.array(*[F.struct(F.lit(i).alias("col_ord"), quoted(c).cast("double").alias("v")) for i, c in enumerate(names)])
     counted = (
-        rows.select(F.inline(cells)).filter(F.col("v").isNotNull()).groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n"))
+        rows.select(F.inline(numbers)).filter(F.col("v").isNotNull()).groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     written = materialise(
         counted.repartitionByRange("col_ord", "v").withColumn("__part", F.spark_partition_id()), "quantiles"
