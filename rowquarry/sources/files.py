@@ -10,6 +10,7 @@ import re
 from dataclasses import dataclass, field
 from urllib.parse import unquote, urlparse
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,9 @@ MANIFEST_SCHEMA = (
     "n_rows long, n_cols int, errors array<string>"
 )
 
+# Schema inference reports a bad record as a plain JVM error.
+SPARK_ERRORS = (PySparkException, Py4JJavaError)
+
 # A file's own row order: file, split, and place within the split.
 FILE_ORDER = "__file_order"
 
@@ -249,18 +253,16 @@ def scan_json(spark: SparkSession, source: Source) -> DataFrame:
     Lines are read split by split and all must parse. The other shapes are single documents,
     which one task per file must read; write lines for large data.
     """
-    head = "".join(r["v"] for r in spark.read.text(source.first_file).select(F.substring("value", 1, 4096).alias("v")).head(5))
-    starts = head.strip()[:1]
-    if not starts:
+    sample = spark.read.text(source.first_file).select(F.substring("value", 1, 4096).alias("v"))
+    head = [r["v"].strip() for r in sample.filter(F.trim("v") != "").head(2)]
+    if not head:
         raise ValueError("empty file")
-    if starts == "{":
-        try:
-            lines = spark.read.json(source.path, mode="FAILFAST", recursiveFileLookup=True)
-            many = len(spark.read.text(source.first_file).filter(F.trim("value") != "").head(2)) > 1
-            if many or source.path != source.first_file.replace("file://", ""):
-                return _records(lines, _first_record(spark, source.first_file, None))
-        except PySparkException:
-            pass
+    starts = head[0][:1]
+    parts = source.path.rstrip("/") != unquote(urlparse(source.first_file).path)
+    if starts == "{" and (len(head) > 1 or parts) and _may_be_record(head[0]):
+        # Several records cannot be one document either, so a bad line is an error of the file.
+        lines = spark.read.json(source.path, mode="FAILFAST", recursiveFileLookup=True)
+        return _records(lines, _first_record(spark, source.first_file, None))
     document = spark.read.json(source.path, multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
     if not document.columns:
         raise ValueError("no columns to parse")
@@ -294,6 +296,16 @@ def _inner_order() -> Column:
     return F.struct(F.col(f"{FILE_ORDER}.file"), F.col(f"{FILE_ORDER}.split"), F.col("__at").cast("long").alias("place")).alias(FILE_ORDER)
 
 
+def _may_be_record(line: str) -> bool:
+    """False if this line, when seen whole, is no JSON object: the file is one laid-out document."""
+    if len(line) >= 4096:
+        return True
+    try:
+        return isinstance(json.loads(line), dict)
+    except json.JSONDecodeError:
+        return False
+
+
 def _records(df: DataFrame, record: dict) -> DataFrame:
     """Flattened records, columns in the order of the first record."""
 
@@ -337,13 +349,13 @@ def _scan(spark: SparkSession, source: Source, encoding: str, separator: str | N
         scan = Scan(source, "CSV", encoding=encoding, separator="\t" if source.suffix == ".tsv" else separator or ",")
         try:
             scan.rows = scan_delimited(spark, source, scan.separator, encoding)
-        except (PySparkException, ValueError) as problem:
+        except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"CSV parse error: {_first_line(problem)}")
     elif source.suffix in JSON:
         scan = Scan(source, "JSON", encoding=encoding)
         try:
             scan.rows = scan_json(spark, source)
-        except (PySparkException, ValueError) as problem:
+        except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"Could not parse JSON into tabular format. {_first_line(problem)}")
     elif source.suffix in PARQUET:
         rows = spark.read.parquet(source.path)
@@ -354,7 +366,8 @@ def _scan(spark: SparkSession, source: Source, encoding: str, separator: str | N
 
 
 def _first_line(problem: Exception) -> str:
-    return str(problem).strip().split("\n")[0]
+    text = problem.java_exception.getMessage() if isinstance(problem, Py4JJavaError) else str(problem)
+    return text.strip().split("\n")[0]
 
 
 def load_tables(spark: SparkSession, path: str) -> LoadedTables:
@@ -373,7 +386,7 @@ def load_tables(spark: SparkSession, path: str) -> LoadedTables:
                 if n_rows:
                     name = unique_names([*tables, scan.source.table])[-1]
                     tables[name] = table
-            except PySparkException as problem:
+            except SPARK_ERRORS as problem:
                 scan.errors.append(f"{scan.file_type} parse error: {_first_line(problem)}")
         rows.append(
             (scan.source.table, scan.source.path, scan.file_type, scan.encoding, scan.separator, n_rows, n_cols, scan.errors)
