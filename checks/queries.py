@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rowquarry.functions.text import cell_text, classify, context_size, quoted, tokenise
 from rowquarry.operators import bm25, chunks, clean, dense, fusion, profile, rows
 from rowquarry.plans import build, retrieve
-from rowquarry.session import scratch_path
+from rowquarry.session import scratch_path, side_by_side
 from rowquarry.sources import files, index_io
 from rowquarry.streaming import memory
 
@@ -30,8 +30,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def numbered(spark: SparkSession, sf: str, name: str) -> rows.NumberedTable:
-    return clean.clean_numbered(table(spark, sf, name), KEYS[name])
+def numbered_all(spark: SparkSession, sf: str, *names: str) -> dict[str, rows.NumberedTable]:
+    return build.number_tables({name: table(spark, sf, name) for name in names}, KEYS)
 
 
 def questions(spark: SparkSession, sf: str) -> DataFrame:
@@ -273,7 +273,8 @@ def parse_rates(spark: SparkSession, sf: str) -> DataFrame:
 
 def column_profile(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        profile.profile(numbered(spark, sf, name)).select(F.lit(name).alias("table"), "*") for name in ("customer", "orders")
+        profile.profile(t).select(F.lit(name).alias("table"), "*")
+        for name, t in numbered_all(spark, sf, "customer", "orders").items()
     ]
     return reduce(DataFrame.unionByName, parts).withColumn("sample_values", F.array_join("sample_values", "; "))
 
@@ -286,8 +287,8 @@ def describe_numeric(spark: SparkSession, sf: str) -> DataFrame:
 
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        profile.top_values(numbered(spark, sf, name)).select(F.lit(name).alias("table"), "column", "value", "n", "rank")
-        for name in ("orders", "part")
+        profile.top_values(t).select(F.lit(name).alias("table"), "column", "value", "n", "rank")
+        for name, t in numbered_all(spark, sf, "orders", "part").items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
@@ -302,7 +303,7 @@ def schema_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def session_totals(spark: SparkSession, sf: str) -> DataFrame:
-    tables = {name: numbered(spark, sf, name) for name in ("nation", "customer")}
+    tables = numbered_all(spark, sf, "nation", "customer")
     totals = build.corpus_totals(tables, build.build_chunks(tables, DESCRIPTION))
     return totals.withColumn("tables", F.array_join("tables", ", "))
 
@@ -328,9 +329,9 @@ def _content(chunked: DataFrame, name: str) -> DataFrame:
 
 
 def row_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    customer, orders = numbered(spark, sf, "customer"), numbered(spark, sf, "orders")
-    return _content(chunks.row_window_chunks(customer, "customer", 12, 2), "customer").unionByName(
-        _content(chunks.row_window_chunks(orders, "orders"), "orders")
+    tables = numbered_all(spark, sf, "customer", "orders")
+    return _content(chunks.row_window_chunks(tables["customer"], "customer", 12, 2), "customer").unionByName(
+        _content(chunks.row_window_chunks(tables["orders"], "orders"), "orders")
     )
 
 
@@ -345,18 +346,16 @@ def hybrid_chunks(spark: SparkSession, sf: str) -> DataFrame:
 
 def schema_chunks(spark: SparkSession, sf: str) -> DataFrame:
     parts = [
-        chunks.schema_text(profile.profile(numbered(spark, sf, name)), name).select(F.lit(name).alias("table"), "text")
-        for name in ("nation", "customer", "part", "orders")
+        chunks.schema_text(profile.profile(t), name).select(F.lit(name).alias("table"), "text")
+        for name, t in numbered_all(spark, sf, "nation", "customer", "part", "orders").items()
     ]
     return reduce(DataFrame.unionByName, parts)
 
 
 def stats_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    parts = [
-        chunks.stats_text(numbered(spark, sf, name), name).select(F.lit(name).alias("table"), "text")
-        for name in ("nation", "customer", "part", "orders")
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    tables = numbered_all(spark, sf, "nation", "customer", "part", "orders")
+    texts = side_by_side([partial(chunks.stats_text, t, name) for name, t in tables.items()])
+    return reduce(DataFrame.unionByName, [t.select(F.lit(name).alias("table"), "text") for name, t in zip(tables, texts)])
 
 
 def overview_chunk(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,9 +363,9 @@ def overview_chunk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def build_chunks_auto(spark: SparkSession, sf: str) -> DataFrame:
-    tables = {name: numbered(spark, sf, name) for name in ("nation", "pages", "customer")}
-    tables["segments"] = clean.clean_numbered(segments(spark, sf), ["c_mktsegment"])
-    tables["wide"] = clean.clean_numbered(wide(spark, sf), LINEITEM_ORDER)
+    sources = {name: table(spark, sf, name) for name in ("nation", "pages", "customer")}
+    sources |= {"segments": segments(spark, sf), "wide": wide(spark, sf)}
+    tables = build.number_tables(sources, KEYS | {"segments": ["c_mktsegment"], "wide": LINEITEM_ORDER})
     return build.build_chunks(tables, DESCRIPTION).withColumn("cols", F.array_join("cols", ", "))
 
 

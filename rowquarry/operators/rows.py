@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,12 +78,10 @@ def number_rows(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
         total += counts[part]
     if not starts:
         return NumberedTable(written.withColumn(ROW_ID, F.lit(0).cast("long")), 0, ())
-    offsets = df.sparkSession.createDataFrame(starts, f"{_PART} int, __start long")
-    rows = (
-        written.join(F.broadcast(offsets), _PART)  # one row per partition
-        .withColumn(ROW_ID, F.col("__start") + F.col(_AT))
-        .drop("__start")
-    )
+    first = dict(starts)
+    # One literal per partition, indexed in place: no join.
+    offsets = F.lit(np.array([first.get(p, 0) for p in range(starts[-1][0] + 1)], dtype=np.int64))
+    rows = written.withColumn(ROW_ID, F.get(offsets, F.col(_PART)) + F.col(_AT))
     return NumberedTable(rows, total, tuple(starts))
 
 

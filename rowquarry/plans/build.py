@@ -2,19 +2,20 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowquarry.functions import fixed
 from rowquarry.functions.text import is_technical, joined_in_order
 from rowquarry.operators.chunks import (
     column_groups, content_chunks, overview_text, pick_strategy, schema_text, stats_text, window_count,
 )
-from rowquarry.functions import fixed
 from rowquarry.operators.clean import clean_numbered
 from rowquarry.operators.profile import dtype_name, profile
 from rowquarry.operators.rows import NumberedTable
+from rowquarry.session import side_by_side
 
 CHUNK_COLUMNS = ["chunk_id", "table", "chunk_type", "col_group", "row_start", "row_end", "cols", "text"]
 
@@ -39,7 +40,8 @@ def manifest(tables: dict[str, DataFrame | NumberedTable]) -> DataFrame:
 
 def number_tables(tables: dict[str, DataFrame], order_by: dict[str, list[str | Column]]) -> dict[str, NumberedTable]:
     """Clean and number every table in its given total order. Runs jobs per table."""
-    return {name: clean_numbered(df, order_by[name]) for name, df in tables.items()}
+    numbered = side_by_side([partial(clean_numbered, df, order_by[name]) for name, df in tables.items()])
+    return dict(zip(tables, numbered))
 
 
 def _content_shape(table: NumberedTable, strategy: str) -> tuple[str, int, int]:
@@ -61,9 +63,10 @@ def build_chunks(tables: dict[str, NumberedTable], description: str, strategy: s
     spark_overview = overview_text(manifest(tables), description)
     parts = [_single(spark_overview, 0, "_global", "overview")]
     next_id = 1
-    for name, table in tables.items():
+    statistics = side_by_side([partial(stats_text, table, name) for name, table in tables.items()])
+    for (name, table), stats in zip(tables.items(), statistics):
         parts.append(_single(schema_text(profile(table), name), next_id, name, "schema"))
-        parts.append(_single(stats_text(table, name), next_id + 1, name, "stats"))
+        parts.append(_single(stats, next_id + 1, name, "stats"))
         chosen, groups, windows = _content_shape(table, strategy)
         first = next_id + 2
         content = content_chunks(table, name, strategy)

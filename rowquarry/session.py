@@ -4,11 +4,18 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Lock
+from typing import TypeVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+Result = TypeVar("Result")
+_FOLDER = Lock()
+
 # A side is broadcast only after its measured size is under this bound.
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024
 
@@ -39,13 +46,14 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     to a temporary folder; on a cluster an unset folder is an error, because executors
     could not share what they write.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        context = spark.sparkContext
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="rowquarry-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    with _FOLDER:
+        base = spark.conf.get("spark.checkpoint.dir", None)
+        if not base:
+            context = spark.sparkContext
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            base = tempfile.mkdtemp(prefix="rowquarry-")
+            spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -83,3 +91,10 @@ def measured_size(df: DataFrame) -> tuple[int, int]:
 def fits_broadcast(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> bool:
     """Whether ``df`` is proven small enough to broadcast. Runs one aggregate job."""
     return measured_size(df)[1] <= max_bytes
+
+
+def side_by_side(calls: Iterable[Callable[[], Result]], at_once: int = 8) -> list[Result]:
+    """Results of independent calls that each run Spark jobs, submitted from a few driver threads
+    so that small jobs of one table fill the gaps of another's."""
+    with ThreadPoolExecutor(at_once) as pool:
+        return [future.result() for future in [pool.submit(call) for call in calls]]

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 from dataclasses import dataclass, field
+from functools import partial
 from urllib.parse import unquote, urlparse
 
 from py4j.protocol import Py4JJavaError
@@ -20,6 +21,7 @@ from rowquarry.functions import fixed
 from rowquarry.functions.text import is_technical, quoted
 from rowquarry.operators.clean import clean_numbered, normal_name, unique_names
 from rowquarry.operators.rows import NumberedTable
+from rowquarry.session import side_by_side
 
 DELIMITED = (".csv", ".tsv", ".txt")
 JSON = (".json", ".jsonl")
@@ -341,7 +343,7 @@ def scan_tables(spark: SparkSession, path: str) -> list[Scan]:
     found = {r["path"]: r["encoding"] for r in encodings(spark, [s.path for s in texts]).collect()} if texts else {}
     sniffed = {s.path: s.first_file for s in texts if s.suffix in (".csv", ".txt")}
     chosen = {r["path"]: r["separator"] for r in separators(first_lines(spark, sniffed)).collect()} if sniffed else {}
-    return [_scan(spark, s, found.get(s.path, "utf-8"), chosen.get(s.path)) for s in sources]
+    return side_by_side([partial(_scan, spark, s, found.get(s.path, "utf-8"), chosen.get(s.path)) for s in sources])
 
 
 def _scan(spark: SparkSession, source: Source, encoding: str, separator: str | None) -> Scan:
@@ -375,20 +377,22 @@ def load_tables(spark: SparkSession, path: str) -> LoadedTables:
 
     Empty tables are left out; a table that fails is recorded in the manifest and the rest go on.
     """
+    scans = scan_tables(spark, path)
     tables: dict[str, NumberedTable] = {}
     rows = []
-    for scan in scan_tables(spark, path):
-        n_rows = n_cols = None
-        if scan.rows is not None:
-            try:
-                table = clean_numbered(scan.rows, [FILE_ORDER])
-                n_rows, n_cols = table.n_rows, len(table.columns)
-                if n_rows:
-                    name = unique_names([*tables, scan.source.table])[-1]
-                    tables[name] = table
-            except SPARK_ERRORS as problem:
-                scan.errors.append(f"{scan.file_type} parse error: {_first_line(problem)}")
-        rows.append(
-            (scan.source.table, scan.source.path, scan.file_type, scan.encoding, scan.separator, n_rows, n_cols, scan.errors)
-        )
+    for scan, table in zip(scans, side_by_side([partial(_cleaned, scan) for scan in scans])):
+        if table is not None and table.n_rows:
+            tables[unique_names([*tables, scan.source.table])[-1]] = table
+        shape = (table.n_rows, len(table.columns)) if table is not None else (None, None)
+        rows.append((scan.source.table, scan.source.path, scan.file_type, scan.encoding, scan.separator, *shape, scan.errors))
     return LoadedTables(tables, spark.createDataFrame(rows, MANIFEST_SCHEMA))
+
+
+def _cleaned(scan: Scan) -> NumberedTable | None:
+    if scan.rows is None:
+        return None
+    try:
+        return clean_numbered(scan.rows, [FILE_ORDER])
+    except SPARK_ERRORS as problem:
+        scan.errors.append(f"{scan.file_type} parse error: {_first_line(problem)}")
+        return None

@@ -6,8 +6,11 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from rowquarry.operators import bm25, dense
+from rowquarry.operators.bm25 import TERM_SALTS
+from rowquarry.session import side_by_side
 
 
 @dataclass(frozen=True)
@@ -20,25 +23,29 @@ class RetrievalIndex:
 def write_index(
     docs: DataFrame, path: str, id_col: str = "doc_id", embed: Callable[[DataFrame], DataFrame] | None = None
 ) -> None:
-    """Write all index tables under ``path``. One job per table.
+    """Write all index tables under ``path``.
 
-    Text is tokenised for the postings only; terms, lengths and the default vectors come from
-    the written postings and texts. Postings are laid out by (term, document): a frequent
-    term spans many files, and a scan for a few terms skips the rest.
+    Text is tokenised once, for the postings; terms, lengths and the default vectors come from
+    the written postings. Postings are hashed by (term, salt) and sorted by term inside each
+    file: a frequent term spans many files, and a scan for a few terms skips most pages.
     """
     spark = docs.sparkSession
-    docs.withColumnRenamed(id_col, "doc_id").write.mode("error").parquet(f"{path}/docs")
-    stored = spark.read.parquet(f"{path}/docs")
-    tokens = bm25.tokenised(stored)
-    bm25.postings(tokens).select("term", "doc_id", "tf", "dl").repartitionByRange("term", "doc_id").sortWithinPartitions(
-        "term", "doc_id"
-    ).write.parquet(f"{path}/postings")
-    postings = spark.read.parquet(f"{path}/postings")
-    totals = bm25.totals(stored, postings)
-    totals.write.parquet(f"{path}/stats")
-    bm25.term_stats(postings, spark.read.parquet(f"{path}/stats")).write.parquet(f"{path}/terms")
-    vectors = embed(stored) if embed is not None else dense.embed_postings(stored, postings)
-    vectors.select("doc_id", "vec").write.parquet(f"{path}/vectors")
+    named = docs.withColumnRenamed(id_col, "doc_id")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS))
+    post = bm25.postings(bm25.tokenised(named)).select("term", "doc_id", "tf", "dl")
+    placed = post.repartition("term", salt).sortWithinPartitions("term", "doc_id")
+    side_by_side([lambda: named.write.parquet(f"{path}/docs"), lambda: placed.write.parquet(f"{path}/postings")])
+    stored, postings = spark.read.parquet(f"{path}/docs"), spark.read.parquet(f"{path}/postings")
+
+    def write_terms() -> None:
+        bm25.totals(stored, postings).write.parquet(f"{path}/stats")
+        bm25.term_stats(postings, spark.read.parquet(f"{path}/stats")).write.parquet(f"{path}/terms")
+
+    def write_vectors() -> None:
+        vectors = embed(stored) if embed is not None else dense.embed_postings(stored, postings)
+        vectors.select("doc_id", "vec").write.parquet(f"{path}/vectors")
+
+    side_by_side([write_terms, write_vectors])
 
 
 def open_index(spark: SparkSession, path: str) -> RetrievalIndex:
