@@ -7,7 +7,7 @@ from functools import partial, reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.functions.text import cell_text, classify, context_size, quoted, tokenise
+from rowquarry.functions.text import cell_text, classify, context_size, tokenise
 from rowquarry.operators import bm25, chunks, clean, dense, fusion, profile, rows
 from rowquarry.plans import build, retrieve
 from rowquarry.session import scratch_path, side_by_side
@@ -247,7 +247,7 @@ def clean_fill_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
     """Event values as text, with gaps in about a fifth, a fifth and two fifths of the rows."""
-    value = cell_text(F.col("value"), table(spark, sf, "events").schema["value"].dataType)
+    value = cell_text(table(spark, sf, "events").schema["value"])
 
     def gap(*types: str):
         return F.when(F.col("event_type").isin(*types), "n/a").otherwise(value)
@@ -263,7 +263,7 @@ def dirty_events(spark: SparkSession, sf: str) -> DataFrame:
 
 def numeric_coercion(spark: SparkSession, sf: str) -> DataFrame:
     cleaned = clean.clean(dirty_events(spark, sf))
-    return cleaned.select("event_id", *[cell_text(quoted(f.name), f.dataType).alias(f.name) for f in cleaned.schema.fields[1:]])
+    return cleaned.select("event_id", *[cell_text(f).alias(f.name) for f in cleaned.schema.fields[1:]])
 
 
 def parse_rates(spark: SparkSession, sf: str) -> DataFrame:
@@ -373,7 +373,7 @@ def build_chunks_auto(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _as_text(df: DataFrame) -> DataFrame:
-    return df.select(*[cell_text(quoted(f.name), f.dataType).alias(f.name) for f in df.schema.fields])
+    return df.select(*[cell_text(f).alias(f.name) for f in df.schema.fields])
 
 
 def json_flatten(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,4 +1,8 @@
-"""Column expressions over text: tokens, question types, cell and row serialisation."""
+"""Column expressions over text: tokens, question types, cell and row serialisation.
+
+Whatever is repeated per column of a wide table is written as SQL text and parsed in one call:
+building it operator by operator from Python costs seconds of driver time on a wide table.
+"""
 
 from __future__ import annotations
 
@@ -16,6 +20,14 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def name_sql(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def text_sql(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def tokenise(text: Column) -> Column:
     """Lower-cased word runs made only of ``[a-z0-9_]``.
 
@@ -52,56 +64,57 @@ def context_size(question_type: Column) -> Column:
     return F.when(question_type == "analytical", fixed.ANALYTICAL_TOP_K).otherwise(fixed.RETRIEVE_TOP_K)
 
 
-def float_text(value: Column) -> Column:
+def float_sql(x: str) -> str:
     """A double as Python prints it: ``900.0``, ``12345678.91``, ``1e-05``, ``nan``.
 
     In the usual range the JVM prints the same. The rest is laid out again in a lambda over a
     one-item array, which keeps the generated code for each column small.
     """
-    double = value.cast("double")
-    size = F.abs(double)
     return (
-        F.when(double.isNull(), F.lit(None).cast("string"))
-        .when(((size >= 1e-3) & (size < 1e7)) | (size == 0), double.cast("string"))
-        .otherwise(F.get(F.transform(F.array(double), _far_float_text), F.lit(0)))
+        f"CASE WHEN {x} IS NULL THEN NULL "
+        f"WHEN (abs({x}) >= 1e-3D AND abs({x}) < 1e7D) OR {x} = 0D THEN string({x}) "
+        f"ELSE get(transform(array({x}), v -> {_FAR_FLOAT}), 0) END"
     )
 
 
-def _far_float_text(double: Column) -> Column:
-    """Very large, very small and special values. The JVM gives the right digits but with an
-    exponent; an exact decimal lays them out plainly where Python would."""
-    jvm = double.cast("string")
-    plain = F.regexp_replace(jvm.cast("decimal(38,20)").cast("string"), "0+$", "")
-    exponent = F.substring_index(jvm, "E", -1).cast("int")
-    scientific = F.concat(
-        F.regexp_replace(F.substring_index(jvm, "E", 1), r"\.0$", ""),
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.lpad(F.abs(exponent).cast("string"), 2, "0"),
-    )
-    size = F.abs(double)
-    return (
-        F.when(F.isnan(double), F.lit("nan"))
-        .when(size == float("inf"), F.when(double > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size >= 1e-4) & (size < 1e16), F.when(plain.endswith("."), F.concat(plain, F.lit("0"))).otherwise(plain))
-        .otherwise(scientific)
-    )
+# Very large, very small and special values. The JVM gives the right digits but with an exponent;
+# an exact decimal lays them out plainly where Python would.
+_FAR_FLOAT = """CASE
+  WHEN isnan(v) THEN 'nan'
+  WHEN abs(v) = double('inf') THEN if(v > 0, 'inf', '-inf')
+  WHEN abs(v) >= 1e-4D AND abs(v) < 1e16D THEN
+    regexp_replace(regexp_replace(string(cast(string(v) AS decimal(38, 20))), '0+$', ''), '[.]$', '.0')
+  ELSE concat(
+    regexp_replace(substring_index(string(v), 'E', 1), '[.]0$', ''),
+    if(int(substring_index(string(v), 'E', -1)) < 0, 'e-', 'e+'),
+    lpad(string(abs(int(substring_index(string(v), 'E', -1)))), 2, '0')) END"""
 
 
-def cell_text(value: Column, dtype: T.DataType) -> Column:
+def cell_sql(x: str, dtype: T.DataType) -> str:
     """Any cell as text; null becomes the empty string."""
-    if isinstance(dtype, (T.FloatType, T.DoubleType)):
-        text = float_text(value)
+    if isinstance(dtype, T.FloatType):
+        return cell_sql(f"double({x})", T.DoubleType())
+    if isinstance(dtype, T.DoubleType):
+        text = float_sql(x)
     elif isinstance(dtype, T.BooleanType):
-        text = F.when(value, F.lit("True")).when(~value, F.lit("False"))
+        text = f"CASE WHEN {x} THEN 'True' WHEN NOT {x} THEN 'False' END"
     elif isinstance(dtype, T.ArrayType):
-        quote = "'" if isinstance(dtype.elementType, T.StringType) else ""
-        items = F.transform(value, lambda x: F.concat(F.lit(quote), cell_text(x, dtype.elementType), F.lit(quote)))
-        text = F.concat(F.lit("["), F.array_join(items, ", "), F.lit("]"))
+        quote = "'\\''" if isinstance(dtype.elementType, T.StringType) else "''"
+        item = cell_sql("item", dtype.elementType)
+        text = f"concat('[', array_join(transform({x}, item -> concat({quote}, {item}, {quote})), ', '), ']')"
     elif isinstance(dtype, (T.StructType, T.MapType)):
-        text = F.to_json(value)
+        text = f"to_json({x})"
     else:
-        text = value.cast("string")
-    return F.coalesce(text, F.lit(""))
+        text = f"string({x})"
+    return f"coalesce({text}, '')"
+
+
+def float_text(name: str) -> Column:
+    return F.expr(float_sql(name_sql(name)))
+
+
+def cell_text(field: T.StructField) -> Column:
+    return F.expr(cell_sql(name_sql(field.name), field.dataType))
 
 
 def shorten(text: Column, limit: int = fixed.MAX_VALUE_LENGTH) -> Column:
@@ -110,14 +123,14 @@ def shorten(text: Column, limit: int = fixed.MAX_VALUE_LENGTH) -> Column:
 
 
 def row_line(fields: list[T.StructField], limit: int = fixed.MAX_VALUE_LENGTH) -> Column:
-    """One row as ``column: value | column: value``."""
+    """One row as ``column: value | column: value``, long values shortened."""
     parts = []
     for f in fields:
-        text = cell_text(quoted(f.name), f.dataType)
+        text = cell_sql(name_sql(f.name), f.dataType)
         if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
-            text = shorten(text, limit)
-        parts.append(F.concat(F.lit(f"{f.name}: "), text))
-    return F.concat_ws(" | ", *parts)
+            text = f"if(length({text}) > {limit}, concat(substring({text}, 1, {limit}), '…'), {text})"
+        parts.append(f"concat({text_sql(f.name + ': ')}, {text})")
+    return F.expr(f"concat_ws(' | ', {', '.join(parts)})")
 
 
 def joined_in_order(order: Column, text: Column, separator: str) -> Column:

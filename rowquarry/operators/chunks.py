@@ -159,9 +159,9 @@ def schema_text(profiled: DataFrame, name: str) -> DataFrame:
         F.when(
             F.col("dtype") != "object",
             F.concat(
-                F.lit(" | mean="), F.coalesce(float_text(F.col("mean")), F.lit("nan")),
-                F.lit(", min="), F.coalesce(float_text(F.col("min")), F.lit("nan")),
-                F.lit(", max="), F.coalesce(float_text(F.col("max")), F.lit("nan")),
+                F.lit(" | mean="), F.coalesce(float_text("mean"), F.lit("nan")),
+                F.lit(", min="), F.coalesce(float_text("min"), F.lit("nan")),
+                F.lit(", max="), F.coalesce(float_text("max"), F.lit("nan")),
             ),
         ).otherwise(F.lit("")),
     )
@@ -171,7 +171,7 @@ def schema_text(profiled: DataFrame, name: str) -> DataFrame:
 
 
 def _stat(column: str) -> Column:
-    return F.coalesce(float_text(F.col(column)), F.lit("nan"))
+    return F.coalesce(float_text(column), F.lit("nan"))
 
 
 def _quoted_value(value: Column) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowquarry.functions import fixed
-from rowquarry.functions.text import is_technical, quoted
+from rowquarry.functions.text import is_technical, name_sql, quoted, text_sql
 from rowquarry.operators.rows import NumberedTable, number_rows
 
 _UNNAMED = re.compile(r"Unnamed|_c\d+$")
@@ -41,26 +41,26 @@ def tidy_columns(df: DataFrame) -> DataFrame:
     """Drop columns without a name; give the others normal, unique names."""
     kept = [c for c in df.columns if is_technical(c) or not _UNNAMED.match(c)]
     plain = [c for c in kept if not is_technical(c)]
-    renamed = iter(unique_names([normal_name(c) for c in plain]))
-    return df.select(*[quoted(c) if is_technical(c) else quoted(c).alias(next(renamed)) for c in kept])
+    renamed = dict(zip(plain, unique_names([normal_name(c) for c in plain])))
+    return df.selectExpr(*[f"{name_sql(c)} AS {name_sql(renamed.get(c, c))}" for c in kept])
 
 
 def plain_types(df: DataFrame) -> DataFrame:
     """Whole numbers as long, other numbers as double, dates and times as text."""
 
-    def plain(f: T.StructField) -> Column:
-        column = quoted(f.name)
+    def plain(f: T.StructField) -> str:
+        name = name_sql(f.name)
         if is_technical(f.name):
-            return column
+            return name
         if isinstance(f.dataType, T.IntegralType):
-            return column.cast("long").alias(f.name)
+            return f"bigint({name}) AS {name}"
         if isinstance(f.dataType, T.NumericType):
-            return column.cast("double").alias(f.name)
+            return f"double({name}) AS {name}"
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)):
-            return column.cast("string").alias(f.name)
-        return column
+            return f"string({name}) AS {name}"
+        return name
 
-    return df.select(*[plain(f) for f in df.schema.fields])
+    return df.selectExpr(*[plain(f) for f in df.schema.fields])
 
 
 def distinct_rows(df: DataFrame, order: Column | None = None) -> DataFrame:
@@ -69,32 +69,32 @@ def distinct_rows(df: DataFrame, order: Column | None = None) -> DataFrame:
     Partial aggregation merges copies before the shuffle, so a row repeated a billion times
     sends one record per task.
     """
-    columns = [quoted(c) for c in df.columns if not is_technical(c)]
+    columns = [name_sql(c) for c in df.columns if not is_technical(c)]
     if order is None:
-        return df.select(*columns).distinct()
+        return df.selectExpr(*columns).distinct()
     return df.groupBy(*columns).agg(F.min(order).alias("__first"))
 
 
 def fill_nulls(df: DataFrame) -> DataFrame:
     """Null text becomes '', null numbers 0, null booleans false, null lists empty."""
 
-    def filled(f: T.StructField) -> Column:
-        column = quoted(f.name)
+    def filled(f: T.StructField) -> str:
+        name, kind = name_sql(f.name), f.dataType.simpleString()
         if is_technical(f.name):
-            return column
+            return name
         if isinstance(f.dataType, T.StringType):
-            return F.coalesce(column, F.lit("")).alias(f.name)
+            return f"coalesce({name}, '') AS {name}"
         if isinstance(f.dataType, T.BooleanType):
-            return F.coalesce(column, F.lit(False)).alias(f.name)
+            return f"coalesce({name}, false) AS {name}"
         if isinstance(f.dataType, (T.FloatType, T.DoubleType)):
-            return F.coalesce(F.when(~F.isnan(column), column), F.lit(0).cast(f.dataType)).alias(f.name)
+            return f"nanvl(coalesce({name}, 0), cast(0 AS {kind})) AS {name}"
         if isinstance(f.dataType, T.NumericType):
-            return F.coalesce(column, F.lit(0).cast(f.dataType)).alias(f.name)
+            return f"coalesce({name}, cast(0 AS {kind})) AS {name}"
         if isinstance(f.dataType, T.ArrayType):
-            return F.coalesce(column, F.array().cast(f.dataType)).alias(f.name)
-        return column
+            return f"coalesce({name}, cast(array() AS {kind})) AS {name}"
+        return name
 
-    return df.select(*[filled(f) for f in df.schema.fields])
+    return df.selectExpr(*[filled(f) for f in df.schema.fields])
 
 
 def _digits(column: Column) -> Column:
@@ -119,10 +119,10 @@ def text_columns(df: DataFrame) -> list[str]:
 def parse_rates(df: DataFrame) -> DataFrame:
     """``(column, rate, whole)``: per text column the share of rows that parse and that are
     whole numbers. One pass; each task sends one record per column."""
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), quoted(c).alias("value")) for c in text_columns(df)])
+    cells = ", ".join(f"struct({text_sql(c)} AS column, {name_sql(c)} AS value)" for c in text_columns(df))
     value = F.col("value")
     return (
-        df.select(F.inline(cells))
+        df.selectExpr(f"inline(array({cells}))")
         .groupBy("column")
         .agg(
             F.avg(parsed_number(value).isNotNull().cast("int")).alias("rate"),
@@ -146,15 +146,14 @@ def number_types(df: DataFrame, threshold: float = fixed.NUMERIC_SHARE) -> dict[
 def coerce_numbers(df: DataFrame, types: dict[str, str]) -> DataFrame:
     """Apply ``number_types``; cells that do not parse become 0."""
 
-    def coerced(name: str) -> Column:
-        column = quoted(name)
-        if types.get(name) == "bigint":
-            return F.coalesce(_parsed_integer(column), F.lit(0).cast("long")).alias(name)
-        if types.get(name) == "double":
-            return F.coalesce(parsed_number(column), F.lit(0.0)).alias(name)
-        return column
-
-    return df.select(*[coerced(c) for c in df.columns])
+    kept = {c: quoted(c) for c in df.columns if c in types}
+    changed = {
+        c: F.coalesce(_parsed_integer(column), F.lit(0).cast("long"))
+        if types[c] == "bigint"
+        else F.coalesce(parsed_number(column), F.lit(0.0))
+        for c, column in kept.items()
+    }
+    return df.withColumns(changed) if changed else df
 
 
 def clean(df: DataFrame) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowquarry.functions import fixed
-from rowquarry.functions.text import cell_text, quoted
+from rowquarry.functions.text import cell_sql, name_sql, text_sql
 from rowquarry.operators.ranking import keep_best
 from rowquarry.operators.rows import ROW_ID, NumberedTable
 from rowquarry.session import materialise
@@ -37,19 +37,16 @@ def long_form(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
     means equal in the column's own type. Built inside the row, no shuffle."""
     typed = []
     for i, f in enumerate(fields):
-        column = quoted(f.name)
-        kind = dtype_name(f.dataType)
+        name, kind = name_sql(f.name), dtype_name(f.dataType)
+        whole = f"bigint({name})" if kind in ("int64", "bool") else "bigint(null)"
+        decimal = f"double({name})" if kind == "float64" else "double(null)"
+        text = cell_sql(name, f.dataType) if kind == "object" else "string(null)"
         typed.append(
-            F.struct(
-                F.lit(i).alias("col_ord"),
-                (column.cast("long") if kind in ("int64", "bool") else F.lit(None).cast("long")).alias("whole"),
-                (column.cast("double") if kind == "float64" else F.lit(None).cast("double")).alias("decimal"),
-                (cell_text(column, f.dataType) if kind == "object" else F.lit(None).cast("string")).alias("text"),
-                column.isNull().alias("missing"),
-            )
+            f"struct({i} AS col_ord, {whole} AS whole, {decimal} AS decimal, {text} AS text, {name} IS NULL AS missing)"
         )
-    keep = [F.col(ROW_ID)] if ROW_ID in rows.columns else []
-    return rows.select(F.explode(F.array(*typed)).alias("c"), *keep).select("c.*", *keep).filter(~F.col("missing")).drop("missing")
+    keep = [ROW_ID] if ROW_ID in rows.columns else []
+    cells = rows.selectExpr(f"inline(array({', '.join(typed)}))", *keep)
+    return cells.filter("NOT missing").drop("missing")
 
 
 def value_counts(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
@@ -65,40 +62,27 @@ def value_counts(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
 
 def _column_measures(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
     """Null count, min, max and mean of every column from one aggregate, one row per column."""
-    measures: list[Column] = []
+    measures, per_column = [], []
     for i, f in enumerate(fields):
-        column = quoted(f.name)
-        empty = column.isNull()
-        if isinstance(f.dataType, T.StringType):
-            empty = empty | (column == "")
-        measures.append(F.sum(F.when(empty, 1).otherwise(0)).alias(f"nulls_{i}"))
-        if dtype_name(f.dataType) != "object":
-            number = column.cast("long") if isinstance(f.dataType, T.BooleanType) else column
-            measures += [F.min(number).alias(f"min_{i}"), F.max(number).alias(f"max_{i}"), F.avg(number).alias(f"mean_{i}")]
-    wide = rows.agg(*measures)
-    per_column = []
-    for i, f in enumerate(fields):
-        numeric = dtype_name(f.dataType) != "object"
-        none = F.lit(None).cast("double")
+        name, kind = name_sql(f.name), dtype_name(f.dataType)
+        empty = f"{name} IS NULL" + (f" OR {name} = ''" if isinstance(f.dataType, T.StringType) else "")
+        measures.append(f"count_if({empty}) AS nulls_{i}")
+        shape = "double(null) AS min, double(null) AS max, double(null) AS mean"
+        if kind != "object":
+            number = f"bigint({name})" if kind == "bool" else name
+            measures += [f"min({number}) AS min_{i}", f"max({number}) AS max_{i}", f"avg({number}) AS mean_{i}"]
+            shape = f"double(min_{i}) AS min, double(max_{i}) AS max, bround(mean_{i}, 4) AS mean"
         per_column.append(
-            F.struct(
-                F.lit(i).alias("col_ord"),
-                F.lit(f.name).alias("column"),
-                F.lit(dtype_name(f.dataType)).alias("dtype"),
-                F.coalesce(F.col(f"nulls_{i}"), F.lit(0)).cast("long").alias("null_count"),
-                (F.col(f"min_{i}").cast("double") if numeric else none).alias("min"),
-                (F.col(f"max_{i}").cast("double") if numeric else none).alias("max"),
-                (F.bround(F.col(f"mean_{i}"), 4) if numeric else none).alias("mean"),
-            )
+            f"struct({i} AS col_ord, {text_sql(f.name)} AS column, '{kind}' AS dtype, nulls_{i} AS null_count, {shape})"
         )
-    return wide.select(F.inline(F.array(*per_column)))
+    return rows.selectExpr(*measures).selectExpr(f"inline(array({', '.join(per_column)}))")
 
 
 def _samples(table: NumberedTable) -> DataFrame:
     """First values of every column in row order: at most five rows are read."""
     first = table.at(list(range(fixed.SAMPLE_VALUES)))
-    cells = F.array(*[cell_text(quoted(f.name), f.dataType) for f in table.fields])
-    few = first.select(F.col(ROW_ID).alias("row"), F.posexplode(cells).alias("col_ord", "value"))
+    cells = ", ".join(cell_sql(name_sql(f.name), f.dataType) for f in table.fields)
+    few = first.selectExpr(f"{ROW_ID} AS row", f"posexplode(array({cells})) AS (col_ord, value)")
     return few.groupBy("col_ord").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("row", "value"))), lambda p: p["value"]).alias("sample_values")
     )
@@ -111,12 +95,9 @@ def profile(table: NumberedTable, approx: bool = False) -> DataFrame:
     """
     fields = table.fields
     if approx:
-        sketch = table.rows.agg(*[F.approx_count_distinct(quoted(f.name)).alias(f"u_{i}") for i, f in enumerate(fields)])
-        uniques = sketch.select(
-            F.inline(
-                F.array(*[F.struct(F.lit(i).alias("col_ord"), F.col(f"u_{i}").alias("unique_count")) for i in range(len(fields))])
-            )
-        )
+        sketch = table.rows.selectExpr(*[f"approx_count_distinct({name_sql(f.name)}) AS u_{i}" for i, f in enumerate(fields)])
+        each = ", ".join(f"struct({i} AS col_ord, u_{i} AS unique_count)" for i in range(len(fields)))
+        uniques = sketch.selectExpr(f"inline(array({each}))")
     else:
         uniques = value_counts(table.rows, fields).groupBy("col_ord").agg(F.count(F.lit(1)).alias("unique_count"))
     # All three sides have one row per column.
@@ -146,9 +127,9 @@ def quantiles(rows: DataFrame, names: list[str], shares: list[float]) -> DataFra
     ranks are found in the few partitions that hold them. No task gathers a whole column.
     """
     spark = rows.sparkSession
-    numbers = F.array(*[F.struct(F.lit(i).alias("col_ord"), quoted(c).cast("double").alias("v")) for i, c in enumerate(names)])
+    numbers = ", ".join(f"struct({i} AS col_ord, double({name_sql(c)}) AS v)" for i, c in enumerate(names))
     counted = (
-        rows.select(F.inline(numbers)).filter(F.col("v").isNotNull()).groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n"))
+        rows.selectExpr(f"inline(array({numbers}))").filter("v IS NOT NULL").groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n"))
     )
     written = materialise(
         counted.repartitionByRange("col_ord", "v").withColumn("__part", F.spark_partition_id()), "quantiles"
@@ -188,30 +169,17 @@ def describe(rows: DataFrame, names: list[str], approx: bool = False) -> DataFra
 
     Exact quartiles run jobs (see ``quantiles``); ``approx`` uses a sketch in the same pass.
     """
-    measures: list[Column] = []
+    measures, per_column = [], []
     for i, c in enumerate(names):
-        column = quoted(c).cast("double")
-        measures += [
-            F.count(column).alias(f"count_{i}"), F.avg(column).alias(f"mean_{i}"), F.stddev_samp(column).alias(f"std_{i}"),
-            F.min(column).alias(f"min_{i}"), F.max(column).alias(f"max_{i}"),
-        ]
+        x = f"double({name_sql(c)})"
+        measures += [f"count({x}) AS count_{i}", f"avg({x}) AS mean_{i}", f"stddev_samp({x}) AS std_{i}"]
+        measures += [f"min({x}) AS min_{i}", f"max({x}) AS max_{i}"]
+        shape = ", ".join(f"{m}_{i} AS {m}" for m in ("count", "mean", "std", "min", "max"))
         if approx:
-            measures.append(F.percentile_approx(column, [0.25, 0.5, 0.75]).alias(f"q_{i}"))
-    wide = rows.agg(*measures)
-    plain = wide.select(
-        F.inline(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("col_ord"), F.lit(c).alias("column"), F.col(f"count_{i}").alias("count"),
-                        *[F.col(f"{m}_{i}").cast("double").alias(m) for m in ("mean", "std", "min", "max")],
-                        *([F.col(f"q_{i}").alias("q")] if approx else []),
-                    )
-                    for i, c in enumerate(names)
-                ]
-            )
-        )
-    )
+            measures.append(f"percentile_approx({x}, array(0.25, 0.5, 0.75)) AS q_{i}")
+            shape += f", q_{i} AS q"
+        per_column.append(f"struct({i} AS col_ord, {text_sql(c)} AS column, {shape})")
+    plain = rows.selectExpr(*measures).selectExpr(f"inline(array({', '.join(per_column)}))")
     if approx:
         joined = plain.select("*", *[F.col("q")[j].alias(f"p{p}") for j, p in enumerate((25, 50, 75))])
     else:

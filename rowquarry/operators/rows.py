@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rowquarry.functions.text import is_technical, quoted
+from rowquarry.functions.text import is_technical, name_sql, quoted
 from rowquarry.session import materialise
 
 ROW_ID = "__row_id"
@@ -62,7 +62,11 @@ def number_rows(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
     """
     order = [quoted(c) if isinstance(c, str) else c for c in order_by]
     keys = [f"__key_{i}" for i in range(len(order))]
-    keyed = df.select(*[quoted(c) for c in df.columns if not is_technical(c)], *[o.alias(k) for o, k in zip(order, keys)])
+    plain = [name_sql(c) for c in df.columns if not is_technical(c)]
+    if all(isinstance(c, str) for c in order_by):
+        keyed = df.selectExpr(*plain, *[f"{name_sql(c)} AS {k}" for c, k in zip(order_by, keys)])
+    else:
+        keyed = df.select(*[F.expr(c) for c in plain], *[o.alias(k) for o, k in zip(order, keys)])
     placed = (
         keyed.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)

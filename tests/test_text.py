@@ -39,7 +39,7 @@ def test_floats_print_as_in_python(spark):
     values += [float("inf"), float("-inf"), float("nan"), 123456789.123456, 99999999.99]
     values += [round(rng.uniform(-1e9, 1e9), 2) for _ in range(200)]
     df = spark.createDataFrame([(v,) for v in values], "v double")
-    for row in df.select("v", float_text(F.col("v")).alias("s")).collect():
+    for row in df.select("v", float_text("v").alias("s")).collect():
         assert row["s"] == str(row["v"])
 
 
