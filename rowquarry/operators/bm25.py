@@ -103,11 +103,11 @@ def score(index: KeywordIndex, asked: DataFrame, broadcast_max_pairs: int = BROA
     sides shuffle on (term, salt), the salt taken from the document.
     """
     small = asked.count() <= broadcast_max_pairs
-    hint = F.broadcast if small else (lambda df: df)
-    vocabulary = asked.select("term").distinct()
-    post = index.postings.join(hint(vocabulary), "term", "left_semi")
+    post = index.postings
+    if small:
+        post = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     terms = index.terms if index.terms is not None else term_stats(post, index.stats)
-    weights = terms.join(hint(asked), "term").select(
+    weights = terms.join(F.broadcast(asked) if small else asked, "term").select(
         "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight")
     )
     avgdl = index.stats.select("avgdl").scalar()

@@ -23,8 +23,7 @@ from rowquarry.session import BROADCAST_MAX_BYTES, measured_size
 HASH_DIMENSIONS = 64
 # Rows per side of one block pair when the question set is too large to broadcast.
 BLOCK_QUERIES = 4_096
-BLOCK_DOCUMENTS = 65_536
-MAX_BLOCKS = 2_048
+BLOCK_DOCUMENTS = 262_144
 
 _RANKED = T.StructType(
     [
@@ -147,8 +146,8 @@ def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
 
 def _by_blocks(vectors: DataFrame, queries: DataFrame, query_rows: int, k: int) -> DataFrame:
     """Every (document block, question block) pair meets in exactly one group of bounded size."""
-    doc_blocks = min(MAX_BLOCKS, max(1, -(-vectors.count() // BLOCK_DOCUMENTS)))
-    query_blocks = min(MAX_BLOCKS, max(1, -(-query_rows // BLOCK_QUERIES)))
+    doc_blocks = max(1, -(-vectors.count() // BLOCK_DOCUMENTS))
+    query_blocks = max(1, -(-query_rows // BLOCK_QUERIES))
 
     def every(blocks: int):
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
