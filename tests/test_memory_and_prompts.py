@@ -1,3 +1,4 @@
+import os
 import random
 from collections import deque
 
@@ -47,7 +48,9 @@ def test_stream_in_several_batches(spark, tmp_path):
     one.mkdir()
     for part in range(3):
         for file in (folder / f"b{part}").glob("*.parquet"):
-            (one / f"{part}-{file.name}").write_bytes(file.read_bytes())
+            copy = one / f"{part}-{file.name}"
+            copy.write_bytes(file.read_bytes())
+            os.utime(copy, (1_700_000_000 + part, 1_700_000_000 + part))  # the file source goes by age
     stream = memory.stream_frames(memory.read_messages(spark, str(one), "*.parquet", files_per_trigger=1), size=16)
     got = memory.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "ck"))
     assert result(got) == expected(messages, 16)
