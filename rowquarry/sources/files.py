@@ -103,7 +103,9 @@ def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
     splits and only one flag per table is shuffled.
     """
     lines = spark.read.text(paths, recursiveFileLookup=True).select(
-        F.col("_metadata.file_path").alias("file"), F.is_valid_utf8("value").alias("valid")
+        # The metadata path is percent-encoded; a plus sign in it is a plus sign.
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.is_valid_utf8("value").alias("valid"),
     )
     owner = F.coalesce(*[F.when(_under(F.col("file"), p), F.lit(p)) for p in paths])
     return (
@@ -260,7 +262,7 @@ def scan_json(spark: SparkSession, source: Source) -> DataFrame:
     if not head:
         raise ValueError("empty file")
     starts = head[0][:1]
-    parts = source.path.rstrip("/") != unquote(urlparse(source.first_file).path)
+    parts = urlparse(source.path.rstrip("/")).path != urlparse(source.first_file).path
     if starts == "{" and (len(head) > 1 or parts) and _may_be_record(head[0]):
         # Several records cannot be one document either, so a bad line is an error of the file.
         lines = spark.read.json(source.path, mode="FAILFAST", recursiveFileLookup=True)

@@ -49,8 +49,10 @@ def test_separators_and_types(loaded):
 
 def test_encodings_and_byte_order_mark(loaded):
     text = "name,city\nZoë,Köln\n"
-    result, manifest = loaded({"latin1.csv": text.encode("latin-1"), "bom.csv": text.encode("utf-8-sig"), "plain.csv": text})
-    assert {k: v["encoding"] for k, v in manifest.items()} == {"latin1": "latin-1", "bom": "utf-8", "plain": "utf-8"}
+    latin = text.encode("latin-1")
+    result, manifest = loaded({"latin1.csv": latin, "latin + two.csv": latin, "bom.csv": text.encode("utf-8-sig"), "plain.csv": text})
+    found = {k: v["encoding"] for k, v in manifest.items()}
+    assert found == {"latin1": "latin-1", "latin_+_two": "latin-1", "bom": "utf-8", "plain": "utf-8"}
     for table in result.tables.values():
         assert values(table) == [("Zoë", "Köln")] and table.columns == ["name", "city"]
 
@@ -109,6 +111,12 @@ def test_file_order_is_kept_over_part_files(spark, tmp_path):
     assert single.n_rows == 5000
 
 
+def test_one_document_by_uri(spark, tmp_path):
+    (tmp_path / "doc.json").write_text(json.dumps({"data": RECORDS}))
+    for path in (f"file://{tmp_path}", f"file://{tmp_path}/doc.json"):
+        assert files.load_tables(spark, path).tables["doc"].n_rows == 2
+
+
 def test_table_names():
     assert files.table_name("/x/My Sales Data.csv") == "my_sales_data"
     assert len(files.table_name("/x/" + "a" * 60 + ".csv")) == 40
