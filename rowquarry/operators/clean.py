@@ -98,7 +98,7 @@ def fill_nulls(df: DataFrame) -> DataFrame:
 
 
 def _digits(column: Column) -> Column:
-    return F.trim(F.replace(column, F.lit(","), F.lit("")))
+    return F.btrim(F.replace(column, F.lit(","), F.lit("")), F.lit(" \t\r\n\f\v"))
 
 
 def parsed_number(column: Column) -> Column:

@@ -114,7 +114,7 @@ def extract_questions(completions: DataFrame, n: int = 5, text_col: str = "text"
     text = F.coalesce(F.col(text_col), F.lit(""))
     listed = F.from_json(F.regexp_extract(text, r"(?s)\[.*?\]", 0), "array<string>")
     lines = F.filter(F.split(text, r"\r\n|\n|\r"), lambda line: line.contains("?"))
-    asked = F.transform(lines, lambda line: F.regexp_replace(F.trim(line), r"^[0-9.) -]+", ""))
+    asked = F.transform(lines, lambda line: F.regexp_replace(F.regexp_replace(line, r"^\s+|\s+$", ""), r"^[0-9.) -]+", ""))
     defaults = F.array(*[F.lit(q) for q in fixed.DEFAULT_QUESTIONS])
     return completions.withColumn(
         "questions",

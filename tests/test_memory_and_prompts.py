@@ -86,7 +86,7 @@ def test_contexts_from_a_written_index(spark):
 
 
 def test_questions_from_completions(spark):
-    texts = ['x ["A?", "B?"] y ["C?"]', "1. One?\n2) Two? \nnone", "nothing here", "[not json] why?", '["1?","2?","3?","4?","5?","6?"]', "[1, 2]", None]
+    texts = ['x ["A?", "B?"] y ["C?"]', "1. One?\n\t2) Two? \nnone", "nothing here", "[not json] why?", '["1?","2?","3?","4?","5?","6?"]', "[1, 2]", None]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = {r["i"]: r["questions"] for r in retrieve.extract_questions(df).collect()}
     assert got[0] == ["A?", "B?"] and got[1] == ["One?", "Two?"] and got[2] == fixed.DEFAULT_QUESTIONS

@@ -119,7 +119,7 @@ def test_cleaning_rules(spark):
 
 
 def test_number_spellings(spark):
-    texts = ["1", " 2 ", "1,234.5", "1e3", ".5", "5.", "-3", "+4", "1d", "1_0", "inf", "nan", "", "0x1", "1e", "--1"]
+    texts = ["1", " 2\t", "1,234.5", "1e3", ".5", "5.", "-3", "+4", "1d", "1_0", "inf", "nan", "", "0x1", "1e", "--1"]
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     got = [r[0] for r in df.select(clean.parsed_number(F.col("t"))).collect()]
     assert got[:8] == [1.0, 2.0, 1234.5, 1000.0, 0.5, 5.0, -3.0, 4.0] and got[8:] == [None] * 8
