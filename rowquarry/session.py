@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable
 from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 from threading import Lock
 from typing import TypeVar
 
@@ -39,6 +42,23 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+def ship_package(spark: SparkSession) -> SparkSession:
+    """Send this package's modules to the workers, once per application, so that a session started
+    in any folder can run them. Returns the session."""
+    context = spark.sparkContext
+    with _FOLDER:
+        if getattr(context, "_rowquarry_shipped", False):
+            return spark
+        root = Path(__file__).resolve().parent
+        archive = os.path.join(tempfile.mkdtemp(prefix="rowquarry-"), "rowquarry.zip")
+        with zipfile.ZipFile(archive, "w") as out:
+            for module in sorted(root.rglob("*.py")):
+                out.write(module, module.relative_to(root.parent))
+        context.addPyFile(archive)
+        context._rowquarry_shipped = True
+    return spark
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path under the cluster's checkpoint folder.
 
