@@ -12,6 +12,7 @@ ids are carried; an empty table gives no rows; other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +29,14 @@ from rowquarry.session import materialise
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD_PIECES = 8192
-MEMORY_WORDS = 200_000  # pieces of text whose ids a worker remembers
+MEMORY_WORDS = 700_000  # distinct words, and words with their marks, whose ids a worker remembers
+# Latin letters after at most one space, then ASCII marks other than the apostrophe: always cut between the two.
+_WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]+)")
+
+_ODD_SPACE = re.compile(r"\A\s|\s\Z|\s\s")  # any other text can be cut at its spaces and line breaks
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
+_RARE_SPACES = [c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n"]
+_PARTS = re.compile(r"\n| ?[^ \n]+")
 
 
 @dataclass(frozen=True)
@@ -42,58 +50,83 @@ class Capacity:
     rule: str = "norm"  # or "dot"
 
 
+def odd_space(text: str) -> bool:
+    """Whether a text starts or ends with white space or holds two such characters in a row."""
+    if text[:1].isspace() or text[-1:].isspace() or any(pair in text for pair in _PAIRS):
+        return True
+    return any(c in text for c in _RARE_SPACES) and _ODD_SPACE.search(text) is not None
+
+
+class Memory:
+    """Remembered ids, at most about ``size`` of them: what was not asked for since the younger half was last full
+    is forgotten first."""
+
+    def __init__(self, size: int):
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.half = size // 2
+
+    def missing(self, keys: set[str]) -> set[str]:
+        """The keys that are not known; all others are in ``young`` afterwards."""
+        if len(self.young) > self.half:
+            self.old, self.young = self.young, {}
+        absent = keys.difference(self.young)
+        old = self.old
+        back = {key for key in absent if key in old}
+        self.young.update({key: old[key] for key in back})
+        return absent - back
+
+
 class Encoder:
     """Token ids of texts as little-endian unsigned 32-bit bytes, remembering the ids of frequent words.
 
     Byte-level tokenisers of this family never join a token over a single space that follows a character other
     than white space, nor over a single line break between two such characters. Texts are cut there; each distinct
-    part is encoded once. A text with other runs of white space is encoded whole."""
+    part is encoded once. A text that starts or ends with white space or holds two such characters in a row is
+    encoded whole."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
         self.model.encode_special_tokens = True
-        self.known: dict[str, bytes] = {}
-
-    def _learn(self, parts: list[str]) -> None:
-        if len(self.known) > MEMORY_WORDS:
-            self.known.clear()
-        for part, made in zip(parts, self.model.encode_batch_fast(parts, add_special_tokens=False)):
-            self.known[part] = np.array(made.ids, "<u4").tobytes()
+        self.line_break_bytes = self.whole("\n")
+        (self.line_break,) = np.frombuffer(self.line_break_bytes, "<u4")
+        self.words, self.parts = Memory(MEMORY_WORDS), Memory(MEMORY_WORDS)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    @staticmethod
-    def parts(text: str) -> list[str] | None:
-        """Parts of a text that are encoded alike alone and together, or None."""
-        out: list[str] = []
-        for k, line in enumerate(text.split("\n")):
-            if not line or line[0].isspace() or line[-1].isspace():
-                return None
-            if k:
-                out.append("\n")
-            first, *rest = line.split(" ")
-            out.append(first)
-            for part in rest:
-                if not part or part[0].isspace() or part[-1].isspace():
-                    return None
-            out.extend([" " + part for part in rest])
-        return out
+        return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Ids of words without line breaks: encoded together, one a line, and cut at the line breaks' id."""
+        flat = self.whole("\n".join(words))
+        stops = np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_break)
+        starts, stops = [0, *(4 * (stops + 1)).tolist()], [*(4 * stops).tolist(), len(flat)]
+        return [flat[a:b] for a, b in zip(starts, stops, strict=True)]
+
+    def _learn(self, parts: set[str]) -> None:
+        """Remember parts; a word and the punctuation right after it are looked up apart, as most words come with several."""
+        split = {p: m.groups() for p in parts if (m := _WORD_AND_MARKS.fullmatch(p))}
+        plain = parts.difference(split)
+        new = [*self.words.missing(plain.union(*split.values()) - {"\n"})]
+        words = self.words.young
+        if new:
+            words.update(zip(new, self._encode(new), strict=True))
+        words["\n"] = self.line_break_bytes
+        self.parts.young.update({p: words[word] + words[marks] for p, (word, marks) in split.items()})
+        self.parts.young.update({p: words[p] for p in plain})
 
     def many(self, texts: list[str | None]) -> list[bytes]:
-        cut = [self.parts(t) if t else [] for t in texts]
-        for low in range(0, len(cut), 64):
-            some = cut[low : low + 64]
-            new = list({p for parts in some if parts for p in parts if p not in self.known})
+        made: list[bytes] = []
+        for low in range(0, len(texts), 128):
+            some = texts[low : low + 128]
+            cut = [None if t is None or odd_space(t) else _PARTS.findall(t) for t in some]
+            new = self.parts.missing(set().union(*[parts for parts in cut if parts]))
             if new:
                 self._learn(new)
-                if any(p not in self.known for parts in some if parts for p in parts):  # the memory was emptied
-                    self._learn(list({p for parts in some if parts for p in parts if p not in self.known}))
-            for k, parts in enumerate(some, low):
-                cut[k] = self.whole(texts[k]) if parts is None else b"".join(map(self.known.__getitem__, parts))
-        return cut
+            of = self.parts.young.__getitem__
+            made += [self.whole(t or "") if parts is None else b"".join(map(of, parts)) for t, parts in zip(some, cut)]
+        return made
 
 
 _ENCODERS: dict[str, Encoder] = {}
