@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import langid, mixing, packing, placement, quality, rules, texts
+from rowquarry.llm import langid, minhash, mixing, packing, placement, quality, rules, texts
 from rowquarry.session import materialise
 
 
@@ -21,6 +21,11 @@ def op1_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op2_near_duplicates(spark: SparkSession, sf: str) -> DataFrame:
+    """Component of every document under 85 % similarity of three-word shingles."""
+    return minhash.near_duplicates(table(spark, sf, "documents"), words=3, percent=85)
+
+
 def op3_language(spark: SparkSession, sf: str) -> DataFrame:
     """Language of every document, learned from the learning set."""
     docs = table(spark, sf, "documents")
@@ -52,7 +57,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict:
     """Every query of this subpackage by name."""
-    found = (op1_quality, op3_language, op4_mixing, op5_rules, op8_packing, op10_sharding)
+    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op8_packing, op10_sharding)
     return {q.__name__: q for q in found}
 
 
