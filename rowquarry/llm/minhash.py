@@ -3,8 +3,8 @@
 Texts with equal shingle sets are one class with its smallest id. Class signatures hold many universal hash minima,
 cut into bands; classes that share a band's values meet in a bucket. First every class of a bucket is checked
 against the bucket's first class, which merges groups of copies without forming their pairs. Then, only where a
-bucket still holds several components, classes of different components are compared by signature in blocks and
-the likely pairs checked as well. A check compares the full shingle sets of the whole texts. The number of bands
+bucket still holds several components, classes of different components are compared in blocks: by signature, and
+the likely pairs fully. A check compares the full shingle sets of the whole texts. The number of bands
 follows from the similarity: a linked pair shares no bucket with a chance of one in a million at the threshold.
 
 Defined results: texts without words and null texts have no shingle and are linked with nothing; rows that share an
@@ -65,6 +65,11 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int) -> list[np.ndarr
     return sets
 
 
+def set_key(shingles: np.ndarray) -> bytes:
+    """Digest that names a set of shingles."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _family(minima: int) -> tuple[np.ndarray, np.ndarray]:
     rng = np.random.default_rng(31)
     return rng.integers(0, 1 << 31, minima, dtype=np.uint32) * np.uint32(2) + np.uint32(1), rng.integers(0, 1 << 32, minima, dtype=np.uint32)
@@ -95,7 +100,7 @@ def _sketches(docs: DataFrame, key: str, text: str, n: int, minima: int) -> Data
             sigs: list[bytes | None] = [None] * len(sets)
             if some:
                 for k, sig in zip(some, signatures([sets[k] for k in some], minima)):
-                    keys[k], sigs[k] = hashlib.blake2b(sets[k].tobytes(), digest_size=16).digest(), sig.tobytes()
+                    keys[k], sigs[k] = set_key(sets[k]), sig.tobytes()
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())],
                 schema.names,
@@ -131,47 +136,71 @@ def _verified(pairs: DataFrame, involved: DataFrame, n: int, percent: int) -> Da
     return both.mapInArrow(run, schema)
 
 
-def _involved(docs: DataFrame, classes: DataFrame, pairs: DataFrame, key: str, text: str, sketched: DataFrame) -> DataFrame:
-    """(set_key, id, text) of the classes in ``pairs``; one text of each class."""
-    need = pairs.select(F.col("x").alias("set_key")).union(pairs.select(F.col("y").alias("set_key"))).distinct()
-    need = materialise(need.join(classes.select("set_key", "id"), "set_key"), "near-need")
+def _involved(docs: DataFrame, classes: DataFrame, keys: DataFrame, key: str, text: str, sketched: DataFrame, words: int) -> DataFrame:
+    """(set_key, id, text) of the classes with these keys; one text of each class."""
+    need = materialise(keys.distinct().join(classes.select("set_key", "id"), "set_key"), "near-need")
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"))
     found = rows.join(F.broadcast(need) if fits_broadcast(need) else need, "id")
     repeated = sketched.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id")
     if repeated.isEmpty():
         return materialise(found.select("set_key", "id", "text"), "near-texts")
-    return materialise(found.select("set_key", "id", "text"), "near-texts").dropDuplicates(["set_key"])
+
+    def own_text(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, data, at in texts.blocks(batches, "text"):
+            keys = part.column(0).to_pylist()
+            yield part.filter(pa.array([set_key(s) == k for s, k in zip(shingle_sets(data, at, words), keys)], pa.bool_()))
+
+    found = found.select("set_key", "id", "text")
+    return materialise(found.mapInArrow(own_text, found.schema).dropDuplicates(["set_key"]), "near-texts")
 
 
-def _rest(crowded: DataFrame, classes: DataFrame, known: DataFrame, percent: int, minima: int) -> DataFrame:
-    """Likely pairs (x, y) of classes that share a bucket and are in different components so far."""
+def _open_buckets(crowded: DataFrame, known: DataFrame) -> DataFrame:
+    """The classes of buckets that still hold several components: their component and the bucket's number of blocks."""
     labelled = crowded.join(known.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
     several = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"))
-    several = materialise(several.filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "near-several")
-    open_ = labelled.join(several, "bucket").join(classes.select("set_key", "sig"), "set_key")
+    several = several.filter("low <> high").select("bucket", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    return materialise(labelled.join(several, "bucket").select("bucket", "band", "blocks", "set_key", "id", "component", "n_shingles"), "near-open")
+
+
+def _links_in_blocks(open_: DataFrame, involved: DataFrame, n: int, percent: int, bands: int) -> DataFrame:
+    """Links (a, b) between different components of a bucket. Blocks of its classes meet two by two; a task compares
+    signatures, checks the full sets of likely pairs, each pair in the first band it shares, and gives only links that
+    join what it had not joined yet."""
     block = F.pmod(F.xxhash64("set_key", F.lit(1)), F.col("blocks")).cast("int")
     dealt = open_.withColumn("mine", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "set_key", "component", "n_shingles", "sig")
+    dealt = dealt.select(
+        "bucket", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "band", "set_key", "id", "component", "n_shingles"
+    ).join(involved.select("set_key", "text"), "set_key")
+    minima = bands * ROWS
     least = likely(percent, minima)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        sig = np.frombuffer(b"".join(frame["sig"]), np.uint32).reshape(-1, minima)
+        data, at = texts.text_bytes(pa.array(frame["text"], pa.large_string()))
+        sets = shingle_sets(data, at, n)
+        sig = signatures(sets, minima)
+        band = int(frame["band"].iloc[0])
+        by_band = sig.reshape(len(sets), bands, ROWS)
         where, size = frame["mine"].to_numpy(), frame["n_shingles"].to_numpy()
-        group = frame["component"].to_numpy()
-        keys, xs, ys = frame["set_key"].to_list(), [], []
         same_block = frame["i"].iloc[0] == frame["j"].iloc[0]
-        for k in range(len(frame)):
-            ahead = np.arange(len(frame)) > k if same_block else (where != where[k]) & (where[k] == frame["i"].iloc[0])
-            ahead &= group != group[k]
-            ahead &= 100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k])
-            at = np.flatnonzero(ahead)
-            for m in at[(sig[at] == sig[k]).sum(1) >= least]:
-                x, y = sorted((bytes(keys[k]), bytes(keys[m])))
-                xs.append(x)
-                ys.append(y)
-        return pd.DataFrame({"x": xs, "y": ys})
+        group = pd.factorize(frame["component"])[0]
+        ids, links = frame["id"].to_list(), []
+        for k in range(len(sets)):
+            ahead = np.arange(len(sets)) > k if same_block else (where != where[k]) & (where[k] == frame["i"].iloc[0])
+            ahead &= (group != group[k]) & (100 * np.minimum(size, size[k]) >= percent * np.maximum(size, size[k]))
+            near = np.flatnonzero(ahead)
+            near = near[(sig[near] == sig[k]).sum(1) >= least]
+            near = near[(by_band[near] == by_band[k]).all(2).argmax(1) == band]
+            for m in near:
+                if group[m] != group[k]:
+                    place = np.minimum(np.searchsorted(sets[k], sets[m]), len(sets[k]) - 1)
+                    shared = int((sets[k][place] == sets[m]).sum())
+                    if 100 * shared >= percent * (len(sets[k]) + len(sets[m]) - shared):
+                        links.append((ids[k], ids[m]))
+                        group[group == group[m]] = group[k]
+        return pd.DataFrame(links, columns=["a", "b"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, "x binary, y binary").distinct()
+    kind = involved.schema["id"].dataType
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(run, T.StructType([T.StructField("a", kind), T.StructField("b", kind)]))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -186,7 +215,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     )
     width = 4 * ROWS
     bucket = F.array(*[F.xxhash64(F.lit(k), F.substring("sig", 1 + k * width, width)) for k in range(bands)])
-    banded = classes.select("set_key", "id", "n_shingles", F.explode(bucket).alias("bucket"))
+    banded = classes.select("set_key", "id", "n_shingles", F.posexplode(bucket).alias("band", "bucket"))
     heads = banded.groupBy("bucket").agg(F.min("set_key").alias("head"), F.count("*").alias("n")).filter("n > 1").drop("n")
     crowded = materialise(banded.join(heads, "bucket"), "near-buckets")
 
@@ -195,15 +224,16 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         classes.select(F.col("set_key").alias("x"), F.col("sig").alias("sig_x"), F.col("n_shingles").alias("n_x")), "x"
     )
     first = materialise(_alike(sides.filter(100 * F.least("n_x", "n_y") >= percent * F.greatest("n_x", "n_y")), likely(percent, minima)), "near-pairs")
-    found = _verified(first, _involved(docs, classes, first, key, text, named), words, percent)
+    both = first.select(F.col("x").alias("set_key")).union(first.select(F.col("y").alias("set_key")))
+    found = _verified(first, _involved(docs, classes, both, key, text, named, words), words, percent)
 
     rows = named.join(classes.select("set_key", F.col("id").alias("head")), "set_key")
     own = rows.join(named.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1").select("id"), "id").filter("id <> head")
     links = materialise(found.union(own.select(F.col("id").alias("a"), F.col("head").alias("b"))), "near-links")
     known = components(links)
-    rest = materialise(_rest(crowded, classes, known, percent, minima).join(first, ["x", "y"], "left_anti"), "near-rest")
-    if not rest.isEmpty():
-        more = _verified(rest, _involved(docs, classes, rest, key, text, named), words, percent)
+    open_ = _open_buckets(crowded, known)
+    if not open_.isEmpty():
+        more = _links_in_blocks(open_, _involved(docs, classes, open_.select("set_key"), key, text, named, words), words, percent, bands)
         known = components(links.union(more))
     placed = sketched.join(classes.select("set_key", F.col("id").alias("head")), "set_key", "left").withColumn("head", F.coalesce("head", "id"))
     placed = placed.join(known, placed["head"] == known["node"], "left").withColumn("component_id", F.coalesce("component", "head"))
