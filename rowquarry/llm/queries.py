@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import langid, minhash, mixing, packing, placement, quality, rules, texts
+from rowquarry.llm import langid, minhash, mixing, packing, passages, placement, quality, rules, texts
 from rowquarry.session import materialise
 
 
@@ -44,6 +44,11 @@ def op5_rules(spark: SparkSession, sf: str) -> DataFrame:
     return rules.judge(table(spark, sf, "documents"), ["doc_id"])
 
 
+def op6_passages(spark: SparkSession, sf: str) -> DataFrame:
+    """What is left of every document without strings of 100 bytes that start earlier."""
+    return passages.digests(table(spark, sf, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf, "documents"))
@@ -57,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict:
     """Every query of this subpackage by name."""
-    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op8_packing, op10_sharding)
+    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op8_packing, op10_sharding)
     return {q.__name__: q for q in found}
 
 
