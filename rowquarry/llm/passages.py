@@ -3,7 +3,8 @@
 Each string of LENGTH bytes is owned by one anchor, the GRAM bytes of it with the smallest hash; equal strings have
 equal anchors at the same place. So the strings of a document fall into stretches with one anchor each, and only
 stretches with equal anchors can hold equal strings. Anchors are dealt out and sorted by hash: an anchor that occurs
-once is dropped, and of stretches that agree entirely all but the first are marked. What is left, stretches with the
+once is dropped, and of stretches that agree entirely all but the first are marked (those of one document before
+they are dealt out). What is left, stretches with the
 same anchor and different surroundings, is fetched as text and dealt over shards of bounded size; each shard's
 suffix array (by induced sorting) and permuted common prefixes show the equal strings, of which all but the first
 are marked. An anchor with very many different surroundings is salted over several shards, and the first strings of
@@ -70,14 +71,24 @@ def _stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.n
 
 
 def _anchors(rows: DataFrame, length: int) -> DataFrame:
-    schema = T.StructType().add("h", "long").add("g", "long").add(rows.schema["doc"]).add("tie", "long").add("start", "long").add("n", "integer")
+    schema = T.StructType().add("h", "long").add("g", "long").add(rows.schema["doc"]).add("tie", "long").add("start", "long").add("n", "long")
+    schema = schema.add("own", "boolean")  # whether it equals an earlier stretch of the same document
 
     def one(batch: pa.RecordBatch, data: np.ndarray, offsets: np.ndarray, shift: int = 0) -> pa.RecordBatch:
         of, start, count, h, g = _stretches(data, offsets, length)
+        own = np.ones(len(of), bool)
+        own[np.unique(texts.mixed(h * np.uint64(3) + g) + of.astype(np.uint64), return_index=True)[1]] = False
+        if own.any():  # a run of such stretches becomes one, dealt by a number of its own
+            follows = np.zeros(len(of), bool)
+            follows[1:] = own[1:] & own[:-1] & (of[1:] == of[:-1])
+            lead = np.flatnonzero(~follows)
+            count = np.add.reduceat(count, lead)
+            of, start, h, g, own = of[lead], start[lead], h[lead], g[lead], own[lead]
+            h = np.where(own, texts.mixed(h + start.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)), h)
         take = pa.array(of)
         return pa.RecordBatch.from_arrays(
             [pa.array(h.view(np.int64)), pa.array(g.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take),
-             pa.array(start + shift), pa.array(count.astype(np.int32))],
+             pa.array(start + shift), pa.array(count), pa.array(own)],
             schema.names,
         )
 
@@ -104,6 +115,9 @@ def _shared(anchors: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last_h = last_g = head = None  # head: first row of the anchor at hand, until it is given out
         for batch in batches:
+            repeats = batch.filter(batch.column(6))
+            yield pa.RecordBatch.from_arrays([*repeats.columns, pa.array(np.zeros(repeats.num_rows, bool))], schema.names)
+            batch = batch.filter(pc.invert(batch.column(6)))
             if not batch.num_rows:
                 continue
             h, g = batch.column(0).to_numpy(), batch.column(1).to_numpy()
