@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import langid, minhash, mixing, packing, passages, placement, quality, rules, texts
+from rowquarry.llm import caps, langid, minhash, mixing, packing, passages, placement, quality, rules, texts
 from rowquarry.session import materialise
 
 
@@ -54,6 +54,11 @@ def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf, "documents"))
 
 
+def op9_near_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """Links and component of every embedding under a cosine of 0.98."""
+    return caps.near_vectors(table(spark, sf, "embeddings"))
+
+
 def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """Slot, shard and bytes of every document."""
     docs = table(spark, sf, "documents").select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"))
@@ -62,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict:
     """Every query of this subpackage by name."""
-    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op8_packing, op10_sharding)
+    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op8_packing, op9_near_vectors, op10_sharding)
     return {q.__name__: q for q in found}
 
 
