@@ -3,24 +3,54 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from rowquarry.llm import langid
+from rowquarry.llm import langid, minhash, mixing, packing, passages
 from rowquarry.session import materialise, ship_package
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is recognised; texts without letters, or between two languages, go."""
     ship_package(spark)
-    columns = docs.columns
-    judged = langid.predict(docs, langid.fit(docs), columns)
-    return judged.filter((judged["lang_pred"] != langid.UNKNOWN) & ~judged["ambiguous"]).select(*columns)
+    return langid.recognised(docs, langid.fit(docs))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group that is linked by 80 % of its five-word shingles."""
+    ship_package(spark)
+    return minhash.keep_one(docs, words=5, percent=80)
+
+
+def remove_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the strings of 100 bytes that start earlier; n_chars follows the text."""
+    ship_package(spark)
+    left = passages.remove_repeats(docs)
+    if "n_chars" in docs.columns:
+        left = left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return left
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of 150 % of all words takes them."""
+    ship_package(spark)
+    return mixing.mixed(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences of 2048 tokens."""
+    ship_package(spark)
+    return packing.pack_documents(docs)
 
 
 STAGES = [
     ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("passages", remove_passages),
+    ("mix", mix_sources),
+    ("packing", pack_sequences),
 ]
 
-ORACLE_SQL = None
+ORACLE_SQL = None  # learned models, minima and packing are not SQL; the tests compare with brute force
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:

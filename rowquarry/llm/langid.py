@@ -159,9 +159,10 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
     fields = [docs.select(*keep).schema[k] for k in keep]
     schema = T.StructType(fields).add("lang_pred", "string").add("score", "double").add("second", "string").add("ambiguous", "boolean")
     names = np.array([*model.languages, UNKNOWN], dtype=object)
+    source = docs.select(*keep) if text in keep else docs.select(*keep, F.col(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, data, at in texts.blocks(batches, "__text"):
+        for part, data, at in texts.blocks(batches, text):
             n = part.num_rows
             spoken = has_letter(data, at) if model.languages else np.zeros(n, bool)
             best, second = np.full(n, len(names) - 1), np.full(n, len(names) - 1)
@@ -173,4 +174,13 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[str], text: str =
             made = [pa.array(names[best], pa.string()), pa.array(score), pa.array(names[second], pa.string()), pa.array(close)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
 
-    return docs.select(*keep, F.col(text).alias("__text")).mapInArrow(run, schema)
+    return source.mapInArrow(run, schema)
+
+
+def recognised(docs: DataFrame, model: LanguageModel, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose language is recognised: neither without letters nor
+    ambiguous. Columns may have any names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    judged = predict(plain, model, plain.columns, f"c{names.index(text)}")
+    return judged.filter((F.col("lang_pred") != UNKNOWN) & ~F.col("ambiguous")).select(*plain.columns).toDF(*names)

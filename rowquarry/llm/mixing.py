@@ -164,3 +164,17 @@ def mix(sized: DataFrame, key: str = "doc_id", seed: int = SEED) -> DataFrame:
     return rows.withColumn("taken", F.col("size") * (F.col("whole") + chosen.cast("long"))).select(
         *sized.columns, "source_size", "target", "taken", (F.col("whole") + chosen.cast("long")).alias("copies")
     )
+
+
+def mixed(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED) -> DataFrame:
+    """The rows of ``docs``, with all their columns, as often as the mix takes them. Ids should be unique; rows that
+    share one are taken as often as the one taken most. Columns may have any names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    own, kind = f"c{names.index(key)}", f"c{names.index(source)}"
+    sized = materialise(sizes(plain.select(F.col(own).alias("id"), F.col(kind).alias("source"), F.col(f"c{names.index(text)}").alias("text")), ["id", "source"]), "mix-sizes")
+    taken = mix(sized, "id", seed).filter("copies > 0").groupBy("id").agg(F.max("copies").alias("copies"))
+    taken = materialise(taken, "mix-taken")
+    joined = plain.join(F.broadcast(taken) if fits_broadcast(taken) else taken, plain[own].eqNullSafe(taken["id"]))
+    repeated = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
+    return repeated.select(*plain.columns).toDF(*names)

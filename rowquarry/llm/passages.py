@@ -327,19 +327,20 @@ def digests(docs: DataFrame, key: str = "doc_id", text: str = "text", length: in
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH) -> DataFrame:
     """``docs`` with repeated passages cut out of the text. Where a cut splits a character, what is left of it goes
     too; a null text stays null."""
-    rows, spans = repeated_spans(docs, key, text, length)
+    names = docs.columns
+    place = names.index(text)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    rows, spans = repeated_spans(plain, f"c{names.index(key)}", f"c{place}", length)
     joined = _by_document(rows, spans, "left")
-    place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            spans = batch.column(batch.schema.get_field_index("spans"))
+            spans = batch.column(len(names))
             column = batch.column(place)
             if spans.null_count < batch.num_rows:
                 column = pa.array(
                     [t if s is None else _cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(column.to_pylist(), spans.to_pylist())], pa.string()
                 )
-            columns = [column if k == place else batch.column(k) for k in range(len(docs.columns))]
-            yield pa.RecordBatch.from_arrays(columns, docs.columns)
+            yield pa.RecordBatch.from_arrays([column if k == place else batch.column(k) for k in range(len(names))], plain.columns)
 
-    return joined.select(*docs.columns, "spans").mapInArrow(run, docs.schema)
+    return joined.select(*plain.columns, "spans").mapInArrow(run, plain.schema).toDF(*names)

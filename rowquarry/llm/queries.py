@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import caps, langid, minhash, mixing, packing, passages, placement, quality, rules, texts
+from rowquarry.llm import caps, langid, licenses, minhash, mixing, packing, passages, placement, quality, rules, texts
 from rowquarry.session import materialise
 
 
@@ -49,6 +49,12 @@ def op6_passages(spark: SparkSession, sf: str) -> DataFrame:
     return passages.digests(table(spark, sf, "documents"))
 
 
+def op7_license_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Licence families found in every document."""
+    docs = table(spark, sf, "documents")
+    return licenses.scan(docs, licenses.fit(docs), ["doc_id"])
+
+
 def op8_packing(spark: SparkSession, sf: str) -> DataFrame:
     """Every document's pieces in sequences of 2048 tokens."""
     return packing.pack_documents(table(spark, sf, "documents"))
@@ -67,7 +73,7 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
 
 def registered() -> dict:
     """Every query of this subpackage by name."""
-    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op8_packing, op9_near_vectors, op10_sharding)
+    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op7_license_scan, op8_packing, op9_near_vectors, op10_sharding)
     return {q.__name__: q for q in found}
 
 
