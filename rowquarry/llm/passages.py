@@ -329,7 +329,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     too; a null text stays null."""
     names = docs.columns
     place = names.index(text)
-    plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
+    numbered = [f"c{k}" for k in range(len(names))]
+    plain = docs.toDF(*numbered)
     rows, spans = repeated_spans(plain, f"c{names.index(key)}", f"c{place}", length)
     joined = _by_document(rows, spans, "left")
 
@@ -341,6 +342,6 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                 column = pa.array(
                     [t if s is None else _cut(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(column.to_pylist(), spans.to_pylist())], pa.string()
                 )
-            yield pa.RecordBatch.from_arrays([column if k == place else batch.column(k) for k in range(len(names))], plain.columns)
+            yield pa.RecordBatch.from_arrays([column if k == place else batch.column(k) for k in range(len(names))], numbered)
 
-    return joined.select(*plain.columns, "spans").mapInArrow(run, plain.schema).toDF(*names)
+    return joined.select(*numbered, "spans").mapInArrow(run, plain.schema).toDF(*names)
