@@ -29,7 +29,8 @@ from rowquarry.session import materialise
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD_PIECES = 8192
-MEMORY_WORDS = 700_000  # distinct words, and words with their marks, whose ids a worker remembers
+MEMORY_WORDS = 400_000  # distinct words whose ids a worker remembers
+MEMORY_PARTS = 200_000  # distinct words with the marks around them that it remembers during a task
 # Latin letters after at most one space, then ASCII marks other than the apostrophe: always cut between the two.
 _WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]+)")
 
@@ -92,7 +93,7 @@ class Encoder:
         self.model.encode_special_tokens = True
         self.line_break_bytes = self.whole("\n")
         (self.line_break,) = np.frombuffer(self.line_break_bytes, "<u4")
-        self.words, self.parts = Memory(MEMORY_WORDS), Memory(MEMORY_WORDS)
+        self.words, self.parts = Memory(MEMORY_WORDS), Memory(MEMORY_PARTS)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
@@ -172,6 +173,7 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int
                      pa.array(length, pa.int64()), pa.array(check, pa.int64()), places],
                     schema.names,
                 )
+        encode.parts = Memory(MEMORY_PARTS)  # other tasks of this worker need the room
 
     return docs.select(key, text).mapInArrow(run, schema)
 
