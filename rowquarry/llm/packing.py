@@ -29,8 +29,8 @@ from rowquarry.session import materialise
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD_PIECES = 8192
-MEMORY_WORDS = 400_000  # distinct words whose ids a worker remembers
-MEMORY_PARTS = 200_000  # distinct words with the marks around them that it remembers during a task
+MEMORY_WORDS = 600_000  # distinct words whose ids a worker remembers
+MEMORY_PARTS = 400_000  # distinct words with the marks around them that it remembers during a task
 # Latin letters after at most one space, then ASCII marks other than the apostrophe: always cut between the two.
 _WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]+)")
 
