@@ -143,7 +143,7 @@ def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
     words = template.split()
     if len(words) > 6:
         words = [w for w in words if rng.random() > 0.05]
-    extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, 12))]
+    extra = [filler[i] for i in rng.integers(0, len(filler), rng.integers(0, rng.choice([12, WINDOW])))]
     cut = int(rng.integers(0, len(extra) + 1))
     text = " ".join([*extra[:cut], *words, *extra[cut:]])
     return text.upper() if rng.random() < 0.1 else text
