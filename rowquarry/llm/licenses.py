@@ -4,7 +4,7 @@ Paragraphs are lines; longer ones are read in overlapping windows of WINDOW word
 word 1-, 2- and 3-grams gives each window a licence family or none. It learns from altered copies of the templates,
 from scrambled templates, and from lines of a bounded sample of the corpus that resemble no template. The least
 probability that counts is set on sample lines kept aside, so that hardly any of them passes. A window that passes is
-compared with the templates: enough word pairs of its family's confirm it; with only some of any it is ``unknown``.
+compared with the templates: enough word pairs of a likely family's confirm it; with some of any it is ``unknown``.
 
 Defined results: null and empty texts have no paragraph and no family; repeated rows are scanned one by one; an
 empty table gives no rows; null ids are carried; other columns are not looked at.
@@ -52,10 +52,11 @@ TEMPLATES = {
 NONE = "none"
 UNKNOWN = "unknown"
 BUCKETS = 1 << 15
-WINDOW, STEP = 60, 30
+WINDOW, STEP = 40, 18
 SAMPLE_DOCS = 600
 COPIES = 150  # altered copies of each template
 FALSE_RATE = 0.0005
+LIKELY = 4  # families that the templates may choose between
 CONFIRM = 0.6  # share of a template's word pairs
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[0x30:0x3A] = _IS_WORD[0x61:0x7B] = True
@@ -132,11 +133,12 @@ def resemblance(text: str, template: str) -> float:
     return len(wanted & set(zip(a, a[1:]))) / len(wanted) if wanted else 0.0
 
 
-def confirmed(text: str, family: str) -> bool:
-    """Whether a template of the family stands in the text, and no other family's stands there more fully."""
-    own = max(resemblance(text, t) for t in TEMPLATES[family])
-    other = max(resemblance(text, t) for f, listed in TEMPLATES.items() if f != family for t in listed)
-    return own >= CONFIRM and own >= other
+def confirmed(text: str, ranked: list[str]) -> str | None:
+    """The family, of the likely ones, whose template stands in the text most fully, if enough of it does and no
+    other family's template stands there more fully."""
+    share = {family: max(resemblance(text, t) for t in listed) for family, listed in TEMPLATES.items()}
+    best = max(ranked, key=share.__getitem__)
+    return best if share[best] >= CONFIRM and share[best] >= max(share.values()) else None
 
 
 def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
@@ -191,14 +193,14 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
         block = [line.encode() for line in aside]
         data, at = np.frombuffer(b"".join(block), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in block])])
         slots, begin, end, *_ = windows(data, at)
-        best = np.sort(probabilities(logits(slots, begin, end, weights, bias))[:, :-1].max(1))
+        best = np.sort(1 - probabilities(logits(slots, begin, end, weights, bias))[:, -1])
         least = min(0.95, max(least, float(best[min(len(best) - 1, int(len(best) * (1 - FALSE_RATE)))])))
     return LicenceModel(families, weights, bias, least)
 
 
 def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "text") -> DataFrame:
     """``keep`` columns, n_paragraphs, families (confirmed, sorted), n_licensed and n_unknown windows, and score: the
-    highest probability of a family."""
+    highest probability of any family."""
     schema = T.StructType([docs.select(*keep).schema[k] for k in keep]).add("n_paragraphs", "long")
     schema = schema.add("families", T.ArrayType(T.StringType())).add("n_licensed", "long").add("n_unknown", "long").add("score", "double")
 
@@ -212,13 +214,14 @@ def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "tex
                 slots, begin, end, starts, stops, of, lines = windows(data, at)
                 if len(begin):
                     p = probabilities(logits(slots, begin, end, model.weights, model.bias))
-                    best, top = p[:, :-1].argmax(1), p[:, :-1].max(1)
+                    top = 1 - p[:, -1]
                     np.maximum.at(score, of[begin], top)
                     raw = data.tobytes()
-                    for k in np.flatnonzero((top >= model.least) & (p.argmax(1) < len(model.families) - 1)):
-                        family, row = model.families[best[k]], of[begin[k]]
+                    for k in np.flatnonzero(top >= model.least):
+                        row, ranked = of[begin[k]], [model.families[f] for f in np.argsort(-p[k, :-1])[:LIKELY]]
                         own = raw[starts[begin[k]] : stops[end[k] - 1]].decode("utf-8", "replace")
-                        if confirmed(own, family):
+                        family = confirmed(own, ranked)
+                        if family:
                             found[row].add(family)
                             licensed[row] += 1
                         elif any(resemblance(own, t) for listed in TEMPLATES.values() for t in listed):
