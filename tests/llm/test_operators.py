@@ -341,7 +341,7 @@ def test_near_vectors(spark):
 
 def test_licences(spark):
     docs = corpus(spark).unionByName(
-        spark.createDataFrame([(700, EN * 30 + " released under the mit license. " + EN, "en", "s", 0), (701, "all rights of the house reserved for you", "en", "s", 0)], corpus(spark).schema)
+        spark.createDataFrame([(700, "the house and the garden. released under the mit license. with that of them", "en", "s", 0), (701, "all rights of the house reserved for you", "en", "s", 0)], corpus(spark).schema)
     )
     model = licenses.fit(docs)
     got = {r["doc_id"]: r for r in licenses.scan(docs, model, ["doc_id"]).collect()}
