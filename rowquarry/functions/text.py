@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 
 from rowquarry.functions import fixed
 
-TECHNICAL_PREFIX = "__"
+# Columns that the engine adds to a table while it cleans and numbers it. All other names are the user's.
+TECHNICAL = frozenset({"__row_id", "__part", "__at", "__order", "__first", "__file_order", "__item"})
 
 
 def quoted(name: str) -> Column:
@@ -140,4 +141,4 @@ def joined_in_order(order: Column, text: Column, separator: str) -> Column:
 
 
 def is_technical(name: str) -> bool:
-    return name.startswith(TECHNICAL_PREFIX)
+    return name in TECHNICAL

@@ -46,7 +46,7 @@ def tidy_columns(df: DataFrame) -> DataFrame:
 
 
 def plain_types(df: DataFrame) -> DataFrame:
-    """Whole numbers as long, other numbers as double, dates and times as text."""
+    """Whole numbers as long, floating numbers as double, dates and times as text; decimals stay exact."""
 
     def plain(f: T.StructField) -> str:
         name = name_sql(f.name)
@@ -54,7 +54,7 @@ def plain_types(df: DataFrame) -> DataFrame:
             return name
         if isinstance(f.dataType, T.IntegralType):
             return f"bigint({name}) AS {name}"
-        if isinstance(f.dataType, T.NumericType):
+        if isinstance(f.dataType, T.FloatType):
             return f"double({name}) AS {name}"
         if isinstance(f.dataType, (T.DateType, T.TimestampType, T.TimestampNTZType, T.BinaryType)):
             return f"string({name}) AS {name}"

@@ -83,14 +83,18 @@ def list_sources(spark: SparkSession, path: str) -> list[Source]:
     """The tables under a folder, or the one at a file path, by name. Reads no file content."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     root = unquote(urlparse(path).path).rstrip("/")
-    inside = F.substring_index(F.replace(F.col("path"), F.lit("file:///"), F.lit("/")), root, -1)
-    child = F.regexp_extract(inside, r"^/([^/]+)", 1)
-    whole = bool(_suffix(root))
-    entry = F.lit("") if whole else child
+    local = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
+    inside = F.when(local.startswith(root), F.substring(local, F.lit(len(root) + 1), F.length(local))).otherwise(local)
+    known = _suffix(root) in DELIMITED + JSON + PARQUET  # a folder of parts that is one table
+    entry = F.lit("") if known else F.regexp_extract(inside, r"^/([^/]+)", 1)
     listed = files.groupBy(entry.alias("entry")).agg(F.min("path").alias("first")).orderBy("entry").collect()  # one row per table
-    return [
-        Source(f"{path.rstrip('/')}/{r['entry']}".rstrip("/"), r["first"], _suffix(r["entry"] or root)) for r in listed
-    ]
+
+    def kind(name: str, first: str) -> str:
+        """A known suffix of the table's name, or else that of its first file: folder names may hold dots."""
+        own = _suffix(name)
+        return own if own in DELIMITED + JSON + PARQUET or unquote(first).endswith(f"/{name.rsplit('/', 1)[-1]}") else _suffix(first)
+
+    return [Source(f"{path.rstrip('/')}/{r['entry']}".rstrip("/"), r["first"], kind(r["entry"] or root, r["first"])) for r in listed]
 
 
 # --- encoding and separator ---------------------------------------------------------------------
@@ -362,8 +366,12 @@ def _scan(spark: SparkSession, source: Source, encoding: str, separator: str | N
         except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"Could not parse JSON into tabular format. {_first_line(problem)}")
     elif source.suffix in PARQUET:
-        rows = spark.read.parquet(source.path)
-        scan = Scan(source, "Parquet", rows=flatten(rows.select("*", _file_order())), encoding="binary")
+        scan = Scan(source, "Parquet", encoding="binary")
+        try:
+            rows = spark.read.option("recursiveFileLookup", "true").parquet(source.path)
+            scan.rows = flatten(rows.select("*", _file_order()))
+        except (*SPARK_ERRORS, ValueError) as problem:
+            scan.errors.append(f"Parquet parse error: {_first_line(problem)}")
     else:
         scan = Scan(source, "", errors=[f"Unsupported file type: {source.suffix}"])
     return scan

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowquarry.operators.rows import ROW_ID
+from rowquarry.operators.clean import clean as clean_frame
 from rowquarry.sources import files
 
 ROWS = [("1", "Ann Lee", "1,200", "2024-01-01"), ("2", "Bob", "950", "2024-01-02"), ("3", "Zoë", "7", "2024-01-03")]
@@ -120,3 +121,30 @@ def test_one_document_by_uri(spark, tmp_path):
 def test_table_names():
     assert files.table_name("/x/My Sales Data.csv") == "my_sales_data"
     assert len(files.table_name("/x/" + "a" * 60 + ".csv")) == 40
+
+
+def test_names_with_two_underscores_are_the_users(spark, tmp_path):
+    (tmp_path / "api.jsonl").write_text('{"__typename": "A", "id": 1}\n{"__typename": "B", "id": 1}\n')
+    loaded = files.load_tables(spark, str(tmp_path))
+    table = loaded.tables["api"]
+    assert table.n_rows == 2 and sorted(table.columns) == ["id", "typename"]
+
+
+def test_near_decimals_are_different_rows(spark):
+    df = spark.sql("select * from values (123456789012345567.01BD), (123456789012345567.02BD) as t(x)")
+    assert clean_frame(df).count() == 2
+
+
+def test_a_broken_parquet_file_leaves_the_others(spark, tmp_path):
+    (tmp_path / "bad.parquet").write_bytes(b"PAR1 not really PAR1")
+    (tmp_path / "good.csv").write_text("a,b\n1,x\n2,y\n")
+    loaded = files.load_tables(spark, str(tmp_path))
+    assert list(loaded.tables) == ["good"]
+    assert {r["table"]: bool(r["errors"]) for r in loaded.manifest.collect()} == {"bad": True, "good": False}
+
+
+def test_folders_with_dots_in_their_names(spark, tmp_path):
+    (tmp_path / "exports.2024").mkdir()
+    (tmp_path / "exports.2024" / "good.csv").write_text("a,b\n1,x\n")
+    assert [t.n_rows for t in files.load_tables(spark, str(tmp_path)).tables.values()] == [1]
+    assert [t.n_rows for t in files.load_tables(spark, str(tmp_path / "exports.2024")).tables.values()] == [1]
