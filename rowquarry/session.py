@@ -42,10 +42,17 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return spark
 
 
+# Texts can be long: what travels to a Python worker at once is bounded by bytes, not only by rows.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+MAX_BATCH_BYTES = 8 * 1024 * 1024
+
+
 def ship_package(spark: SparkSession) -> SparkSession:
     """Send this package's modules to the workers, once per application, so that a session started
-    in any folder can run them. Returns the session."""
+    in any folder can run them, and bound the bytes of a batch if the session does not. Returns the session."""
     context = spark.sparkContext
+    if not context.getConf().contains(BATCH_BYTES):
+        spark.conf.set(BATCH_BYTES, str(MAX_BATCH_BYTES))
     with _FOLDER:
         if getattr(context, "_rowquarry_shipped", False):
             return spark
