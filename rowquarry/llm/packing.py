@@ -29,8 +29,8 @@ from rowquarry.session import materialise
 TOKENIZER = "byte_bpe_50k.json"
 END = 0
 SHARD_PIECES = 8192
-MEMORY_WORDS = 600_000  # distinct words whose ids a worker remembers
-MEMORY_PARTS = 400_000  # distinct words with the marks around them that it remembers during a task
+MEMORY_WORDS = 400_000  # distinct words whose ids a worker remembers during a task
+MEMORY_PARTS = 300_000  # distinct words with the marks after them that it remembers as well
 # Latin letters after at most one space, then ASCII marks other than the apostrophe: always cut between the two.
 _WORD_AND_MARKS = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u017f]+)([!-&(-/:-@\\[-`{-~]+)")
 
@@ -173,7 +173,8 @@ def pieces(docs: DataFrame, key: str = "doc_id", text: str = "text", tokens: int
                      pa.array(length, pa.int64()), pa.array(check, pa.int64()), places],
                     schema.names,
                 )
-        encode.parts = Memory(MEMORY_PARTS)  # other tasks of this worker need the room
+        encode.words, encode.parts = Memory(MEMORY_WORDS), Memory(MEMORY_PARTS)  # other tasks of this worker need the room
+        pa.default_memory_pool().release_unused()
 
     return docs.select(key, text).mapInArrow(run, schema)
 
