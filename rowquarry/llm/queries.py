@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import caps, langid, licenses, minhash, mixing, packing, passages, placement, quality, rules, texts
+from rowquarry.llm import caps, langid, licenses, minhash, mixing, oracles, packing, passages, placement, quality, rules, texts
 from rowquarry.session import materialise
 
 
@@ -79,4 +79,4 @@ def registered() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the queries that SQL can express."""
-    return {}
+    return oracles.all_sql()
