@@ -29,12 +29,16 @@ class BestK:
             self._add_block(ids[start : start + self.block], vectors[start : start + self.block])
 
     def _add_block(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        similarity = np.round(self.queries @ vectors.astype(np.float64).T, SCORE_DIGITS)
+        self.rank(ids, self.queries @ vectors.astype(np.float64).T)
+
+    def rank(self, ids: np.ndarray, similarity: np.ndarray) -> None:
+        """Take in the scores (queries, documents) of one block; -inf marks documents that do not count."""
+        similarity = np.round(similarity, SCORE_DIGITS)
         floor = self.floor
         if similarity.shape[1] > self.k:
             kth = similarity.shape[1] - self.k
             floor = np.maximum(floor, np.partition(similarity, kth, axis=1)[:, kth])
-        owner, position = np.nonzero(similarity >= floor[:, None])
+        owner, position = np.nonzero((similarity >= floor[:, None]) & (similarity > -np.inf))
         self._merge(owner, ids[position], similarity[owner, position])
 
     def _merge(self, owner: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> None:
@@ -81,3 +85,30 @@ def spread_picks(
         open_[rows[take], best[take]] = False
         closest = np.where(take[:, None], np.maximum(closest, between[rows, best]), closest)
     return chosen
+
+
+class BestWeighted:
+    """The ``k`` best documents of each question, a document's score being the sum over its terms of what the term
+    weighs for the question times what it adds in the document.
+
+    ``cuts`` bounds each term's run in ``owner`` (questions) and ``weight``. Documents come in blocks whose score
+    table has at most ``max_cells`` cells.
+    """
+
+    def __init__(self, n_questions: int, cuts: np.ndarray, owner: np.ndarray, weight: np.ndarray, k: int, max_cells: int = 4_000_000):
+        self.n, self.cuts, self.asked, self.weight = n_questions, cuts, owner, weight
+        self.best = BestK(np.empty((n_questions, 0)), k)
+        self.block = max(1, max_cells // max(1, n_questions))
+
+    def add(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, parts: np.ndarray) -> None:
+        """Documents ``ids``; document i has the entries ``offsets[i]`` to ``offsets[i + 1]`` of terms and parts."""
+        for low in range(0, len(ids), self.block):
+            high = min(low + self.block, len(ids))
+            scores = np.zeros((high - low, self.n))
+            for row in range(low, high):
+                held = slice(offsets[row], offsets[row + 1])
+                first = self.cuts[terms[held]]
+                size = self.cuts[terms[held] + 1] - first
+                places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
+                scores[row - low] = np.bincount(self.asked[places], self.weight[places] * np.repeat(parts[held], size), self.n)
+            self.best.rank(ids[low:high], np.where(scores > 0, scores, -np.inf).T)

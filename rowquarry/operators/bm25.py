@@ -6,18 +6,23 @@ Index tables: ``postings(doc_id, term, tf, dl)``, ``terms(term, df, idf)``, one-
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowquarry.functions import fixed
 from rowquarry.functions.text import tokenise
-from rowquarry.operators.ranking import top_k
+from rowquarry.functions.kernels import BestWeighted
+from rowquarry.operators.ranking import RANKED, by_question_blocks, top_k
+from rowquarry.session import fits_broadcast
 
-# Distinct (question, term) pairs that may be broadcast: about 64 bytes each.
-BROADCAST_MAX_PAIRS = 1_000_000
-TERM_SALTS = 32
+# Question weights that are sent to every task at once.
+QUESTION_BLOCK_BYTES = 32 * 1024 * 1024
+TERM_SALTS = 32  # files that a frequent term of a written index is dealt over, at least
 
 
 @dataclass(frozen=True)
@@ -89,41 +94,62 @@ def query_terms(queries: DataFrame, id_col: str = "query_id", text_col: str = "t
     )
 
 
-def contribution(tf: Column, dl: Column, avgdl: Column, weight: Column) -> Column:
-    """What one term adds to a document's score."""
+def contribution(tf: Column, dl: Column, avgdl: Column) -> Column:
+    """What one term adds to a document's score, before its weight."""
     length_norm = F.lit(1 - fixed.BM25_B) + fixed.BM25_B * dl / avgdl
-    return weight * tf * (fixed.BM25_K1 + 1) / (tf + fixed.BM25_K1 * length_norm)
+    return tf * (fixed.BM25_K1 + 1) / (tf + fixed.BM25_K1 * length_norm)
 
 
-def score(index: KeywordIndex, asked: DataFrame, broadcast_max_pairs: int = BROADCAST_MAX_PAIRS) -> DataFrame:
-    """``(query_id, doc_id, score)`` for every document sharing a term with a question.
+def question_weights(index: KeywordIndex, asked: DataFrame) -> DataFrame:
+    """``(query_id, term, weight)`` of the asked terms that the corpus has. Measures the terms first (one small job)."""
+    wanted = asked.select("term").distinct()
+    if fits_broadcast(wanted):
+        wanted = F.broadcast(wanted)
+    terms = index.terms
+    if terms is None:
+        terms = term_stats(index.postings.join(wanted, "term", "left_semi"), index.stats)
+    return asked.join(terms, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
 
-    Counts ``asked`` first (one small job). Up to the bound its pairs are broadcast and
-    postings never move by term, so frequent words cannot skew a shuffle. Beyond it, both
-    sides shuffle on (term, salt), the salt taken from the document.
-    """
-    small = asked.count() <= broadcast_max_pairs
-    post = index.postings
-    if small:
-        post = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
-    terms = index.terms if index.terms is not None else term_stats(post, index.stats)
-    weights = terms.join(F.broadcast(asked) if small else asked, "term").select(
-        "term", "query_id", (F.col("qtf") * F.col("idf")).alias("weight")
-    )
-    avgdl = index.stats.select("avgdl").scalar()
-    if small:
-        if not index.by_document:
-            post = post.repartition("doc_id")
-        hits = post.join(F.broadcast(weights), "term")
-    else:
-        salted = weights.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(TERM_SALTS - 1))))
-        keyed = post.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(TERM_SALTS)).cast("int"))
-        hits = keyed.join(salted, ["term", "salt"])
-    return hits.groupBy("query_id", "doc_id").agg(
-        F.sum(contribution(F.col("tf"), F.col("dl"), avgdl, F.col("weight"))).alias("score")
-    )
 
+def score_best(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
+    """Per-task best ``k`` documents for each question of one block of ``weights``; merge with ``top_k``.
 
-def search(index: KeywordIndex, queries: DataFrame, k: int = fixed.BM25_TOP_K, **options) -> DataFrame:
-    """Top ``k`` documents per question (``query_id``, ``text``)."""
-    return top_k(score(index, query_terms(queries), **options), k)
+    The block travels to every task. The postings of asked terms are gathered per document, and each task adds up
+    scores in NumPy and sends its best rows only: no row per (question, document) pair is ever made.
+    """
+    spark = weights.sparkSession
+    table = weights.select("query_id", "term", "weight").toArrow().combine_chunks()
+    query_ids, owner = np.unique(table.column("query_id").to_numpy(), return_inverse=True)
+    coded = table.column("term").combine_chunks().dictionary_encode()
+    terms, number = coded.dictionary, coded.indices.to_numpy()
+    order = np.lexsort((owner, number))
+    cuts = np.searchsorted(number[order], np.arange(len(terms) + 1))
+    shipped = spark.sparkContext.broadcast((query_ids, cuts, owner[order], table.column("weight").to_numpy()[order]))
+    numbered = pa.table({"term": terms.cast(pa.string()), "number": pa.array(np.arange(len(terms), dtype=np.int32))})
+
+    post = index.postings.join(F.broadcast(spark.createDataFrame(numbered, "term string, number int")), "term")
+    avgdl = index.stats.select("avgdl").scalar()
+    post = post.select("doc_id", "number", contribution(F.col("tf"), F.col("dl"), avgdl).alias("part"))
+    if not index.by_document:
+        post = post.repartition("doc_id")
+    gathered = post.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "part"))).alias("hits"))  # a document's asked terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, *asked = shipped.value
+        best = BestWeighted(len(ids), *asked, k)
+        for batch in batches:
+            if batch.num_rows and len(ids):
+                offsets = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
+                best.add(batch.column(0).to_numpy(), offsets, batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
+        found = best.best
+        yield pa.RecordBatch.from_arrays([pa.array(ids[found.owner]), pa.array(found.ids), pa.array(found.scores)], RANKED.names)
+
+    return gathered.select("doc_id", "hits.number", "hits.part").mapInArrow(run, RANKED)
+
+
+def search(
+    index: KeywordIndex, queries: DataFrame, k: int = fixed.BM25_TOP_K, max_block_bytes: int = QUESTION_BLOCK_BYTES
+) -> DataFrame:
+    """Top ``k`` documents per question (``query_id``, ``text``). Weighs the questions first, in small jobs."""
+    weights = question_weights(index, query_terms(queries))
+    return top_k(by_question_blocks(weights, max_block_bytes, lambda block: score_best(index, block, k)), k)

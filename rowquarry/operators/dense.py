@@ -17,21 +17,10 @@ from pyspark.sql import types as T
 from rowquarry.functions import fixed
 from rowquarry.functions.kernels import BestK
 from rowquarry.operators.bm25 import postings, tokenised
-from rowquarry.operators.ranking import top_k
-from rowquarry.session import BROADCAST_MAX_BYTES, measured_size
+from rowquarry.operators.ranking import RANKED, by_question_blocks, top_k
+from rowquarry.session import BROADCAST_MAX_BYTES
 
 HASH_DIMENSIONS = 64
-# Rows per side of one block pair when the question set is too large to broadcast.
-BLOCK_QUERIES = 4_096
-BLOCK_DOCUMENTS = 262_144
-
-_RANKED = T.StructType(
-    [
-        T.StructField("query_id", T.LongType()),
-        T.StructField("doc_id", T.LongType()),
-        T.StructField("score", T.DoubleType()),
-    ]
-)
 
 
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = HASH_DIMENSIONS) -> DataFrame:
@@ -116,14 +105,10 @@ def score_best(
 ) -> DataFrame:
     """Per-task best ``k`` by inner product for each question; merge with ``top_k``.
 
-    Measures the question vectors first (one small job). Under the bound they are shipped to
-    every task once and the document vectors are streamed where they lie: no shuffle but the
-    few best rows. Beyond it, both sides shuffle into bounded block pairs.
+    Question vectors are stored once and shipped to every task in blocks under the bound; the document vectors are
+    streamed where they lie, once for each block: no shuffle but the few best rows.
     """
-    query_rows, query_bytes = measured_size(queries)
-    if query_bytes <= max_broadcast_bytes:
-        return _by_broadcast(vectors, queries, k)
-    return _by_blocks(vectors, queries, query_rows, k)
+    return by_question_blocks(queries.select("query_id", "vec"), max_broadcast_bytes, lambda block: _by_broadcast(vectors, block, k))
 
 
 def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
@@ -141,39 +126,7 @@ def _by_broadcast(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
                     best.add(batch.column(0).to_numpy(), _matrix(batch.column(1), batch.num_rows))
         yield _ranked_batch(best, query_ids)
 
-    return vectors.select("doc_id", "vec").mapInArrow(run, _RANKED)
-
-
-def _by_blocks(vectors: DataFrame, queries: DataFrame, query_rows: int, k: int) -> DataFrame:
-    """Every (document block, question block) pair meets in exactly one group of bounded size."""
-    doc_blocks = max(1, -(-vectors.count() // BLOCK_DOCUMENTS))
-    query_blocks = max(1, -(-query_rows // BLOCK_QUERIES))
-
-    def every(blocks: int):
-        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-
-    docs = vectors.select(
-        "doc_id", "vec", F.pmod(F.xxhash64("doc_id"), F.lit(doc_blocks)).cast("int").alias("db"), every(query_blocks).alias("qb")
-    )
-    asked = queries.select(
-        "query_id", "vec", F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int").alias("qb"), every(doc_blocks).alias("db")
-    )
-
-    def pair(doc_part: pa.Table, query_part: pa.Table) -> pa.Table:
-        doc_part, query_part = doc_part.combine_chunks(), query_part.combine_chunks()
-        query_ids = query_part.column("query_id").to_numpy()
-        if not len(query_ids) or not doc_part.num_rows:
-            return _RANKED_ARROW.empty_table()
-        best = BestK(_matrix(query_part.column("vec").combine_chunks(), len(query_ids)), k)
-        best.add(
-            doc_part.column("doc_id").to_numpy(), _matrix(doc_part.column("vec").combine_chunks(), doc_part.num_rows)
-        )
-        return pa.Table.from_batches([_ranked_batch(best, query_ids)])
-
-    return docs.groupBy("db", "qb").cogroup(asked.groupBy("db", "qb")).applyInArrow(pair, _RANKED)
-
-
-_RANKED_ARROW = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+    return vectors.select("doc_id", "vec").mapInArrow(run, RANKED)
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = fixed.DENSE_TOP_K, **options) -> DataFrame:

@@ -69,10 +69,10 @@ def test_agrees_with_plain_python_at_any_partitioning(spark, partitions):
     try:
         index = bm25.index_documents(frame(spark, docs).repartition(partitions))
         small = ranked(bm25.search(index, frame(spark, asked, "query_id"), 20))
-        salted = ranked(bm25.search(index, frame(spark, asked, "query_id"), 20, broadcast_max_pairs=0))
+        blocks = ranked(bm25.search(index, frame(spark, asked, "query_id"), 20, max_block_bytes=1000))
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
-    assert small == salted
+    assert small == blocks
     for query_id, text in asked:
         best = sorted(plain_scores(docs, text).items(), key=lambda p: (-round(p[1], 9), p[0]))[:20]
         assert [small[query_id, i + 1][0] for i in range(len(best))] == [d for d, _ in best]

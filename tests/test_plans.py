@@ -37,6 +37,11 @@ def test_bm25_scores_without_shuffling_pairs(docs, asked):
     assert text.count("WindowGroupLimit") >= 2 and "NestedLoop" not in text and "Cartesian" not in text
 
 
+def test_bm25_in_many_blocks_only_ranks_what_each_pass_kept(docs, asked):
+    text = plan(bm25.search(bm25.index_documents(docs), asked, k=3, max_block_bytes=1000))
+    assert text.count("Exchange (") == 1 and "Generate" not in text
+
+
 def test_vector_search_streams_documents_unshuffled(docs, asked):
     vectors = materialise(dense.hash_embed(docs), "plan-vectors")
     text = plan(dense.search(vectors, retrieve.hash_questions(asked)))
