@@ -126,17 +126,23 @@ def probabilities(scores: np.ndarray) -> np.ndarray:
     return scores / scores.sum(1, keepdims=True)
 
 
-def resemblance(text: str, template: str) -> float:
-    """Share of the template's word pairs that the text has."""
-    a, b = word_list(text), word_list(template)
-    wanted = set(zip(b, b[1:]))
-    return len(wanted & set(zip(a, a[1:]))) / len(wanted) if wanted else 0.0
+def word_pairs(text: str) -> set[tuple[str, str]]:
+    words = word_list(text)
+    return set(zip(words, words[1:]))
 
 
-def confirmed(text: str, ranked: list[str]) -> str | None:
-    """The family, of the likely ones, whose template stands in the text most fully, if enough of it does and no
-    other family's template stands there more fully."""
-    share = {family: max(resemblance(text, t) for t in listed) for family, listed in TEMPLATES.items()}
+TEMPLATE_PAIRS = {family: [word_pairs(t) for t in listed] for family, listed in TEMPLATES.items()}
+
+
+def resemblances(text: str) -> dict[str, float]:
+    """For each family, the largest share of a template's word pairs that the text has."""
+    own = word_pairs(text)
+    return {family: max(len(wanted & own) / len(wanted) for wanted in listed) for family, listed in TEMPLATE_PAIRS.items()}
+
+
+def confirmed(share: dict[str, float], ranked: list[str]) -> str | None:
+    """The family, of the likely ones, whose template stands in a text most fully, if enough of it does and no
+    other family's template stands there more fully. ``share`` are the text's resemblances."""
     best = max(ranked, key=share.__getitem__)
     return best if share[best] >= CONFIRM and share[best] >= max(share.values()) else None
 
@@ -158,7 +164,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     rng = np.random.default_rng(seed)
     listed = [t for ts in TEMPLATES.values() for t in ts]
     lines = [lines[i] for i in rng.permutation(len(lines))[:8000]]
-    lines = [line for line in lines if max(resemblance(line, t) for t in listed) < 0.3]
+    lines = [line for line in lines if max(resemblances(line).values()) < 0.3]
     aside, lines = lines[::4], [line for k, line in enumerate(lines) if k % 4]
     filler = [w for line in lines[:500] for w in line.split()] or ["word"]
     families = [*sorted(TEMPLATES), NONE]
@@ -219,12 +225,12 @@ def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "tex
                     raw = data.tobytes()
                     for k in np.flatnonzero(top >= model.least):
                         row, ranked = of[begin[k]], [model.families[f] for f in np.argsort(-p[k, :-1])[:LIKELY]]
-                        own = raw[starts[begin[k]] : stops[end[k] - 1]].decode("utf-8", "replace")
-                        family = confirmed(own, ranked)
+                        share = resemblances(raw[starts[begin[k]] : stops[end[k] - 1]].decode("utf-8", "replace"))
+                        family = confirmed(share, ranked)
                         if family:
                             found[row].add(family)
                             licensed[row] += 1
-                        elif any(resemblance(own, t) for listed in TEMPLATES.values() for t in listed):
+                        elif any(share.values()):
                             unknown[row] += 1
             made = [pa.array(lines.astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(licensed), pa.array(unknown), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
