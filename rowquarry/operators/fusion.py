@@ -12,7 +12,10 @@ from pyspark.sql import functions as F
 from rowquarry.functions import fixed
 from rowquarry.functions.kernels import spread_picks
 from rowquarry.operators.ranking import keep_best, stable
-from rowquarry.session import fits_broadcast
+from rowquarry.session import fits_broadcast, materialise
+
+# Cells of the candidates' vectors that are solved at once.
+MAX_CELLS = 4_000_000
 
 
 def fuse(lists: list[DataFrame], rank_offset: int = fixed.RRF_K) -> DataFrame:
@@ -40,8 +43,9 @@ def best_fused(fused: DataFrame, k: int | Column) -> DataFrame:
 
 
 def attach_vectors(candidates: DataFrame, vectors: DataFrame) -> DataFrame:
-    """Candidates with their document vector. Counts the candidates' size first (one job):
-    under the bound they are broadcast and the vector table is only scanned."""
+    """Candidates with their document vector. Stores the candidates and measures their size (two jobs), so that
+    the search behind them runs once: under the bound they are broadcast and the vector table is only scanned."""
+    candidates = materialise(candidates, "candidates")
     small = F.broadcast(candidates) if fits_broadcast(candidates) else candidates
     return vectors.join(small, "doc_id")
 
@@ -56,8 +60,8 @@ def diversify(
 
     ``candidates`` is ``(query_id, doc_id, vec, rank)`` with ``rank`` the fused order;
     ``queries`` is ``(query_id, vec)`` plus the column named by ``picks`` when that is a string.
-    A question's candidates are a bounded list (three per pick), held in one row; a whole
-    Arrow batch of questions is then solved at once.
+    A question's candidates are a bounded list (three per pick), held in one row; as many questions as
+    fit a bounded block are solved at once.
     """
     lists = candidates.groupBy("query_id").agg(
         F.array_sort(F.collect_list(F.struct("rank", "doc_id", "vec"))).alias("list")
@@ -83,14 +87,22 @@ def _picker(relevance_share: float):
     def chosen(query: pd.Series, flat: pd.Series, count: pd.Series, picks: pd.Series) -> pd.Series:
         if not len(query):
             return pd.Series([], dtype=object)
-        vectors = np.stack(query.to_numpy()).astype(np.float64)
-        width, dims = int(count.max()), vectors.shape[1]
-        block = np.zeros((len(query), width, dims))
-        valid = np.zeros((len(query), width), dtype=bool)
-        for i, (values, size) in enumerate(zip(flat, count)):
-            block[i, :size] = np.asarray(values, dtype=np.float64).reshape(size, dims)
-            valid[i, :size] = True
-        result = spread_picks(vectors, block, valid, picks.to_numpy(), relevance_share)
-        return pd.Series([row[row >= 0].astype(np.int32) for row in result])
+        step = max(1, MAX_CELLS // max(1, int(count.max()) * len(query.iloc[0])))
+        parts = [slice(low, low + step) for low in range(0, len(query), step)]
+        solved = [_solve(query[p], flat[p], count[p], picks[p], relevance_share) for p in parts]
+        return pd.Series([row for part in solved for row in part])
 
     return chosen
+
+
+def _solve(query: pd.Series, flat: pd.Series, count: pd.Series, picks: pd.Series, relevance_share: float) -> list[np.ndarray]:
+    """Picks of a few questions, whose candidate vectors fit in memory side by side."""
+    vectors = np.stack(query.to_numpy()).astype(np.float64)
+    width, dims = int(count.max()), vectors.shape[1]
+    block = np.zeros((len(query), width, dims))
+    valid = np.zeros((len(query), width), dtype=bool)
+    for i, (values, size) in enumerate(zip(flat, count)):
+        block[i, :size] = np.asarray(values, dtype=np.float64).reshape(size, dims)
+        valid[i, :size] = True
+    result = spread_picks(vectors, block, valid, picks.to_numpy(), relevance_share)
+    return [row[row >= 0].astype(np.int32) for row in result]

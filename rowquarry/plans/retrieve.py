@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowquarry.functions import fixed
 from rowquarry.functions.text import classify, context_size, joined_in_order
 from rowquarry.operators import bm25, dense, fusion
+from rowquarry.session import materialise
 from rowquarry.sources.index_io import RetrievalIndex
 
 # Narrow rows (ids, ranks, scores) that may be broadcast, about 64 bytes each.
@@ -37,12 +38,12 @@ def hybrid_retrieve(
     """``(query_id, rank, doc_id)``: keyword and vector lists, fused, cut to three candidates per
     pick, diversified. ``queries`` is ``(query_id, text)`` with an optional ``k`` per question.
 
-    Runs small jobs that count the questions, to decide what may be broadcast.
+    Runs small jobs that count and store the questions, to decide what may be broadcast.
     """
     if "k" not in queries.columns:
         queries = queries.withColumn("k", F.lit(fixed.RETRIEVE_TOP_K))
     few = queries.count() * fixed.ANALYTICAL_TOP_K * fixed.CANDIDATES_PER_PICK <= BROADCAST_MAX_ROWS
-    asked = embed(queries.select("query_id", "text"))
+    asked = materialise(embed(queries.select("query_id", "text")), "question-vectors")  # encoded once, used twice
     keyword = bm25.search(index.keyword, queries, bm25_k)
     nearest = dense.search(index.vectors, asked, dense_k)
     fused = fusion.fuse([keyword, nearest]).join(_maybe_broadcast(queries.select("query_id", "k"), few), "query_id")

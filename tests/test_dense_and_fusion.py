@@ -1,4 +1,5 @@
 import numpy as np
+import pandas as pd
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -118,3 +119,15 @@ def test_share_one_is_similarity_order_and_zero_spreads():
     query, valid = np.array([[1.0, 0.0]]), np.ones((1, 4), dtype=bool)
     assert spread_picks(query, docs, valid, np.array([4]), 1.0)[0].tolist() == [0, 1, 3, 2]
     assert spread_picks(query, docs, valid, np.array([2]), 0.0)[0].tolist() == [0, 2]
+
+
+def test_picks_do_not_depend_on_how_many_questions_are_solved_at_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    query = pd.Series(list(rng.normal(size=(9, 6))))
+    count = pd.Series(rng.integers(1, 7, 9))
+    flat = pd.Series([rng.normal(size=n * 6) for n in count])
+    pick = fusion._picker(0.65).func
+    whole = pick(query, flat, count, pd.Series([3] * 9))
+    monkeypatch.setattr(fusion, "MAX_CELLS", 1)
+    for one, other in zip(pick(query, flat, count, pd.Series([3] * 9)), whole):
+        assert one.tolist() == other.tolist()
