@@ -1,8 +1,8 @@
 """Near-duplicate vectors by spherical-cap filters.
 
 A filter is a direction; a vector passes it if their dot product exceeds a bound. Directions are a random product
-code: signs and order of the dimensions are scrambled, the vector is split in halves, and every pair of one code
-word for each half is a direction. The sorted scores of the halves list all directions that a vector exceeds, without
+code: the vector is turned by a random rotation and split in halves, and every pair of one code word for each half is
+a direction. The sorted scores of the halves list all directions that a vector exceeds, without
 looking at the others. Vectors of one label that share a filter meet, and their cosine is checked in double
 precision; a pair counts in the first filter that it shares. Equal vectors are one class before the filters. A
 filter that very many vectors pass is cut into blocks that meet two by two. Tasks give counts and spanning links
@@ -11,6 +11,11 @@ only, never all pairs.
 The number of code words grows with the square root of the number of vectors; the bound follows from how many
 filters a vector should pass. A vector that exceeds fewer takes its best ones.
 
+After a random rotation, whether a pair shares a filter depends on its cosine alone. How often a pair right at the
+least cosine shares none is measured on random pairs for the actual numbers of words and dimensions; so many
+independent codes are used that all of them miss a pair with a chance under MISS. Vectors of fewer than four
+dimensions, and any under so low a cosine that MOST_CODES codes are too few, all share one filter: they meet in blocks.
+
 Defined results: null vectors, zero vectors, vectors with null or non-finite components and vectors without a label
 link with nothing; vectors of different lengths do not link; repeated rows are copies; rows that share an id are
 one node of the components; a null id has a null component and is kept; an empty table gives no rows; other columns
@@ -22,6 +27,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,23 +40,28 @@ from pyspark.sql import types as T
 from rowquarry.llm.components import components
 from rowquarry.session import materialise
 
-PASSED = 24  # filters that a vector of random direction exceeds
-AT_LEAST = 8
+PASSED = 24  # filters of a code that a vector of random direction exceeds
+AT_LEAST = 24
+MISS = 1e-6  # chance that a pair at the least cosine shares no filter
+TRIALS = 16_384  # random pairs that a code's own rate is measured on
+MOST_CODES = 32
 BLOCK = 512
 SHARD_ROWS = 8192
 
 
-def code_words(dims: int, words: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(order, signs, first code, second code) of the product code; a pair of words has unit length."""
+@lru_cache(maxsize=8)
+def code_words(dims: int, words: int, seed: int = 3) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rotation, first code, second code) of the product code; a pair of words has unit length."""
     rng = np.random.default_rng([seed, dims, words])
     half = dims // 2
     codes = []
     for size in (half, dims - half):
-        code = rng.normal(size=(words, size)) if size else np.zeros((words, 0))
+        code = rng.normal(size=(words, size))
         codes.append(code / np.maximum(np.linalg.norm(code, axis=1, keepdims=True), 1e-12) / math.sqrt(2))
-    return rng.permutation(dims), rng.choice(np.array([-1.0, 1.0]), dims), *codes
+    return np.linalg.qr(rng.normal(size=(dims, dims)))[0], *codes
 
 
+@lru_cache(maxsize=64)
 def bound(dims: int, words: int, passed: int = PASSED) -> float:
     """Dot product that a random unit vector exceeds with ``passed`` of all directions, on average."""
     x = np.linspace(-1, 1, 400_001)[1:-1]
@@ -59,11 +70,11 @@ def bound(dims: int, words: int, passed: int = PASSED) -> float:
     return float(x[np.searchsorted(-above, -min(1.0, passed / words**2))])
 
 
-def exceeded(vectors: np.ndarray, words: int) -> list[np.ndarray]:
-    """Sorted numbers of all directions that each unit vector exceeds; its best ones if they are few."""
+def _exceeded_of(vectors: np.ndarray, words: int, code: int) -> list[np.ndarray]:
+    """Numbers of all directions of one code that each unit vector exceeds; its best ones if they are few."""
     dims = vectors.shape[1]
-    order, signs, one, two = code_words(dims, words)
-    turned = vectors[:, order] * signs
+    turn, one, two = code_words(dims, words, 3 + code)
+    turned = vectors @ turn
     half, least = dims // 2, bound(dims, words)
     a, b = turned[:, :half] @ one.T, turned[:, half:] @ two.T
     out = []
@@ -78,10 +89,45 @@ def exceeded(vectors: np.ndarray, words: int) -> list[np.ndarray]:
             top_x, top_y = np.argsort(-x)[:AT_LEAST], by[:AT_LEAST]
             best = np.argsort(-(x[top_x][:, None] + y[top_y][None, :]), axis=None)[:AT_LEAST]
             found = top_x[best // len(top_y)] * words + top_y[best % len(top_y)]
-        out.append(np.sort(found))
+        out.append(found)
     return out
 
 
+def exceeded(vectors: np.ndarray, words: int, codes: int) -> list[np.ndarray]:
+    """Sorted numbers of the directions of all codes that each unit vector passes; one and the same for no codes."""
+    if not codes:
+        return [np.zeros(1, np.int64)] * len(vectors)
+    by_code = [_exceeded_of(vectors, words, code) for code in range(codes)]
+    return [np.sort(np.concatenate([found + code * words**2 for code, found in enumerate(of)])) for of in zip(*by_code)]
+
+
+def pairs_at(cosine: float, pairs: int, dims: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
+    """Random pairs of unit vectors at a cosine."""
+    x = unit(rng.normal(size=(pairs, dims)))
+    y = rng.normal(size=(pairs, dims))
+    y = unit(y - (y * x).sum(1, keepdims=True) * x)
+    return x, cosine * x + math.sqrt(max(0.0, 1 - cosine * cosine)) * y
+
+
+def missed(x: np.ndarray, y: np.ndarray, words: int, codes: int) -> int:
+    """Number of pairs that share no filter."""
+    return sum(not np.isin(a, b).any() for a, b in zip(exceeded(x, words, codes), exceeded(y, words, codes)))
+
+
+@lru_cache(maxsize=256)
+def codes_for(dims: int, words: int, least: float) -> int:
+    """Independent codes that together miss a pair at cosine ``least`` with a chance under MISS, by the rate of one code
+    with three standard deviations and seven misses on top of those counted; 0 if one filter has to do for all."""
+    if dims < 4 or least <= 0:
+        return 0
+    rng, lost = np.random.default_rng([7, dims, words]), 0
+    for _ in range(0, TRIALS, 512):
+        lost += missed(*pairs_at(min(1.0, least), 512, dims, rng), words, 1)
+    rate = (lost + 3 * math.sqrt(lost) + 7) / TRIALS
+    codes = math.ceil(math.log(MISS) / math.log(rate)) if rate < 1 else MOST_CODES + 1
+    return codes if codes <= MOST_CODES else 0
+
+
 def usable(column: pa.Array) -> tuple[list[int], list[np.ndarray]]:
     """Rows with a vector that has a direction, and the vectors in double precision."""
     rows, vectors = [], []
@@ -118,8 +164,8 @@ def _keyed(rows: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def _filtered(classes: DataFrame, words: int) -> DataFrame:
-    """One row per class and filter: (bucket, filter, ck, copies, vec, filters)."""
+def _filtered(classes: DataFrame, words: int, codes: dict[int, int]) -> DataFrame:
+    """One row per class and filter: (bucket, filter, ck, copies, vec, the class's filters of smaller number)."""
     schema = T.StructType().add("label", "string").add("dims", "long").add("filter", "long").add("ck", "binary")
     schema = schema.add(classes.schema["id"]).add("copies", "long").add("vec", "binary").add("filters", "binary")
 
@@ -131,11 +177,11 @@ def _filtered(classes: DataFrame, words: int) -> DataFrame:
                 dims = np.array([len(v) // 8 for v in raw])
                 for d in np.unique(dims):
                     at = np.flatnonzero(dims == d)
-                    lists = exceeded(unit(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), d)), words)
+                    lists = exceeded(unit(np.frombuffer(b"".join(raw[k] for k in at), np.float64).reshape(len(at), d)), words, codes[int(d)])
                     row = np.repeat(at, [len(x) for x in lists])
                     part = batch.take(pa.array(row))
-                    packed = [x.astype(np.int64).tobytes() for x in lists]
-                    again = pa.array([p for p, x in zip(packed, lists) for _ in range(len(x))], pa.binary())
+                    packed = [x.astype(np.int32).tobytes() for x in lists]
+                    again = pa.array([p[: 4 * k] for p, x in zip(packed, lists) for k in range(len(x))], pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [part.column(0), pa.array(np.full(len(row), d, np.int64)), pa.array(np.concatenate(lists).astype(np.int64)), *part.columns[1:], again], schema.names
                     )
@@ -185,7 +231,8 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
     )
     classes = materialise(classes, "caps-classes")
     words = 1 << max(6, min(12, math.ceil(math.log2(2 * math.sqrt(max(1, classes.count()))))))
-    passed = materialise(_filtered(classes, words).withColumn("bucket", F.xxhash64("label", "dims", "filter")), "caps-filters")
+    dims = [r[0] // 8 for r in classes.select(F.octet_length("vec")).distinct().collect()]  # the few lengths of vectors
+    passed = materialise(_filtered(classes, words, {d: codes_for(d, words, least) for d in dims}).withColumn("bucket", F.xxhash64("label", "dims", "filter")), "caps-filters")
     size = passed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     size = materialise(size.select("bucket", "n", F.ceil(F.col("n") / block).cast("int").alias("blocks")), "caps-sizes")
     total = size.agg(F.sum("n")).first()[0] or 0
@@ -214,7 +261,7 @@ def near_vectors(rows: DataFrame, key: str = "vec_id", vector: str = "embedding"
             vectors = unit(np.frombuffer(b"".join(raw[a:b]), np.float64).reshape(b - a, -1))
             if b - a == 2 and vectors[0] @ vectors[1] < least:
                 continue
-            lists = [np.frombuffer(p, np.int64) for p in packed[a:b]]
+            lists = [np.frombuffer(p, np.int32) for p in packed[a:b]]
             here, links = _bucket_links(vectors, lists, number[a], side[a:b], least)
             if links.any():
                 counted = here @ copies[a:b]

@@ -339,6 +339,24 @@ def test_near_vectors(spark):
     assert caps.near_vectors(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("words", [1024, 2048])
+def test_filters_of_many_words_miss_no_pair(words):
+    codes = caps.codes_for(64, words, 0.98)
+    rng = np.random.default_rng(words)
+    assert caps.missed(*caps.pairs_at(0.98, 3000, 64, rng), words, codes) == 0
+    narrow = np.zeros((2, 500, 64))
+    narrow[:, :, :6] = caps.pairs_at(0.98, 500, 6, rng)  # all of a vector's length in few dimensions
+    assert caps.missed(*narrow, words, codes) == 0
+
+
+def test_vectors_of_two_dimensions(spark):
+    angles = np.random.default_rng(4).uniform(0, 2 * np.pi, 300)
+    rows = [(i, [float(np.cos(a)), float(np.sin(a))], 1) for i, a in enumerate(angles)]
+    near = np.cos(angles[:, None] - angles) >= 0.98
+    got = caps.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r["vec_id"]: r["n_links"] for r in got} == {i: int(near[i].sum()) - 1 for i in range(300)}
+
+
 def test_licences(spark):
     docs = corpus(spark).unionByName(
         spark.createDataFrame([(700, "the house and the garden. released under the mit license. with that of them", "en", "s", 0), (701, "all rights of the house reserved for you", "en", "s", 0)], corpus(spark).schema)
