@@ -84,13 +84,13 @@ class Encoder:
     Byte-level tokenisers of this family never join a token over a single space that follows a character other
     than white space, nor over a single line break between two such characters. Texts are cut there; each distinct
     part is encoded once. A text that starts or ends with white space or holds two such characters in a row is
-    encoded whole."""
+    encoded whole, as is one that holds an added token's literal, which the file's defaults make that token."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
+        self.literals = [t.content for t in self.model.get_added_tokens_decoder().values()]
         self.line_break_bytes = self.whole("\n")
         (self.line_break,) = np.frombuffer(self.line_break_bytes, "<u4")
         self.words, self.parts = Memory(MEMORY_WORDS), Memory(MEMORY_PARTS)
@@ -98,9 +98,15 @@ class Encoder:
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
 
+    def has_literal(self, text: str) -> bool:
+        return any(literal in text for literal in self.literals)
+
     def _encode(self, words: list[str]) -> list[bytes]:
         """Ids of words without line breaks: encoded together, one a line, and cut at the line breaks' id."""
-        flat = self.whole("\n".join(words))
+        joined = "\n".join(words)
+        if self.has_literal(joined):  # one that spans a line break
+            return [self.whole(word) for word in words]
+        flat = self.whole(joined)
         stops = np.flatnonzero(np.frombuffer(flat, "<u4") == self.line_break)
         starts, stops = [0, *(4 * (stops + 1)).tolist()], [*(4 * stops).tolist(), len(flat)]
         return [flat[a:b] for a, b in zip(starts, stops, strict=True)]
@@ -121,7 +127,7 @@ class Encoder:
         made: list[bytes] = []
         for low in range(0, len(texts), 128):
             some = texts[low : low + 128]
-            cut = [None if t is None or odd_space(t) else _PARTS.findall(t) for t in some]
+            cut = [None if t is None or odd_space(t) or self.has_literal(t) else _PARTS.findall(t) for t in some]
             new = self.parts.missing(set().union(*[parts for parts in cut if parts]))
             if new:
                 self._learn(new)

@@ -291,6 +291,18 @@ def test_packing(spark):
     assert packing.pack_documents(docs.limit(0)).count() == 0
 
 
+def test_added_tokens_in_texts_are_encoded_by_the_files_defaults(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    model = Tokenizer.from_file(public_tokenizers.path(packing.TOKENIZER))
+    docs = ["a <|endoftext|> b", "a<|endoftext|>b c", "<|endoftext|>", "a <|endoftext| > b", "plain words"]
+    want = {i: model.encode(t, add_special_tokens=False).ids + [0] for i, t in enumerate(docs)}
+    got = packing.pack_documents(spark.createDataFrame([*enumerate(docs)], "doc_id long, text string")).collect()
+    assert want[0] == [64, 220, 50256, 275, 0]
+    assert {r["doc_id"]: (r["length"], r["ids_crc32"]) for r in got} == {i: (len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in want.items()}
+
+
 @pytest.mark.parametrize("rule", ["norm", "dot"])
 def test_best_fit_holds_every_constraint(rule):
     lengths = np.random.default_rng(1).integers(1, 100, 500)
