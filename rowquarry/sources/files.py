@@ -7,10 +7,12 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import partial
 from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -236,18 +238,41 @@ def flatten(df: DataFrame) -> DataFrame:
 
 
 def _first_record(spark: SparkSession, first_file: str, key: str | None) -> dict:
-    """The first record of a JSON file from a bounded sample, only for the order of its keys."""
-    sample = spark.read.text(first_file).select(F.substring("value", 1, 65_536).alias("v")).head(200)
-    text = "\n".join(r["v"] for r in sample)
-    if key is not None:
-        found = re.search(rf'"{re.escape(key)}"\s*:', text)
-        text = text[found.end() :] if found else text
-    start = text.find("{")
-    try:
-        record, _ = json.JSONDecoder().raw_decode(text[start:]) if start >= 0 else ({}, 0)
-    except json.JSONDecodeError:
-        return {}
-    return record if isinstance(record, dict) else {}
+    """The keys of the first record of a JSON file, in their order, nested ones too. One task reads on until it has the
+    whole record, whatever its size; only key names reach the driver."""
+
+    def keys_of(value: object) -> dict | None:
+        return {k: keys_of(v) for k, v in value.items()} if isinstance(value, dict) else None
+
+    def opened(text: str) -> dict | None:
+        """The record, or None if the text ends before it does."""
+        decode, gap = json.JSONDecoder().raw_decode, re.compile(r"[\s,:\ufeff]*")
+        at = gap.match(text).end()
+        if key is not None:  # members of the document up to the list of records
+            at = gap.match(text, at + 1).end()
+            while (member := decode(text, at))[0] != key:
+                at = gap.match(text, decode(text, gap.match(text, member[1]).end())[1]).end()
+            at = gap.match(text, member[1]).end()
+        if text[at : at + 1] == "[":
+            at = gap.match(text, at + 1).end()
+        return decode(text, at)[0]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lines: list[str] = []
+        tried = 0
+        for batch in batches:
+            lines += [line or "" for line in batch.column(0).to_pylist()]
+            while tried < len(lines):  # at 1, 2, 4, ... lines, so that all tries together cost two of the last
+                tried = min(len(lines), max(1, 2 * tried))
+                try:
+                    found = json.dumps(keys_of(opened("\n".join(lines[:tried]))))
+                except (ValueError, TypeError):
+                    continue
+                yield pa.RecordBatch.from_arrays([pa.array([found])], ["keys"])
+                return
+
+    found = spark.read.text(first_file).mapInArrow(run, "keys string").head(1)
+    return json.loads(found[0]["keys"]) or {} if found else {}
 
 
 def _in_file_order(schema: T.StructType, record: dict) -> list[str]:
@@ -261,13 +286,14 @@ def scan_json(spark: SparkSession, source: Source) -> DataFrame:
     Lines are read split by split and all must parse. The other shapes are single documents,
     which one task per file must read; write lines for large data.
     """
-    sample = spark.read.text(source.first_file).select(F.substring("value", 1, 4096).alias("v"))
-    head = [r["v"].strip() for r in sample.filter(F.trim("v") != "").head(2)]
+    lines = spark.read.text(source.first_file).select(F.btrim("value", F.lit(" \t\r")).alias("v")).filter("v <> ''")
+    # Only the start of a line and whether it is a whole object reach the driver.
+    head = lines.select(F.substring("v", 1, 1).alias("starts"), F.json_object_keys("v").isNotNull().alias("record")).head(2)
     if not head:
         raise ValueError("empty file")
-    starts = head[0][:1]
+    starts = head[0]["starts"]
     parts = urlparse(source.path.rstrip("/")).path != urlparse(source.first_file).path
-    if starts == "{" and (len(head) > 1 or parts) and _may_be_record(head[0]):
+    if starts == "{" and (len(head) > 1 or parts) and head[0]["record"]:
         # Several records cannot be one document either, so a bad line is an error of the file.
         lines = spark.read.json(source.path, mode="FAILFAST", recursiveFileLookup=True)
         return _records(lines, _first_record(spark, source.first_file, None))
@@ -304,16 +330,6 @@ def _inner_order() -> Column:
     return F.struct(F.col(f"{FILE_ORDER}.file"), F.col(f"{FILE_ORDER}.split"), F.col("__at").cast("long").alias("place")).alias(FILE_ORDER)
 
 
-def _may_be_record(line: str) -> bool:
-    """False if this line, when seen whole, is no JSON object: the file is one laid-out document."""
-    if len(line) >= 4096:
-        return True
-    try:
-        return isinstance(json.loads(line), dict)
-    except json.JSONDecodeError:
-        return False
-
-
 def _records(df: DataFrame, record: dict) -> DataFrame:
     """Flattened records, columns in the order of the first record."""
 
@@ -385,13 +401,13 @@ def _first_line(problem: Exception) -> str:
 def load_tables(spark: SparkSession, path: str) -> LoadedTables:
     """Scan, clean and number every table under ``path``. Runs jobs per table.
 
-    Empty tables are left out; a table that fails is recorded in the manifest and the rest go on.
+    A table with a header and no rows is kept; one that fails is recorded in the manifest and the rest go on.
     """
     scans = scan_tables(spark, path)
     tables: dict[str, NumberedTable] = {}
     rows = []
     for scan, table in zip(scans, side_by_side([partial(_cleaned, scan) for scan in scans])):
-        if table is not None and table.n_rows:
+        if table is not None and table.columns:
             tables[unique_names([*tables, scan.source.table])[-1]] = table
         shape = (table.n_rows, len(table.columns)) if table is not None else (None, None)
         rows.append((scan.source.table, scan.source.path, scan.file_type, scan.encoding, scan.separator, *shape, scan.errors))

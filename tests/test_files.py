@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from rowquarry.operators.rows import ROW_ID
 from rowquarry.operators.clean import clean as clean_frame
+from rowquarry.plans import build
 from rowquarry.sources import files
 
 ROWS = [("1", "Ann Lee", "1,200", "2024-01-01"), ("2", "Bob", "950", "2024-01-02"), ("3", "Zoë", "7", "2024-01-03")]
@@ -148,3 +149,31 @@ def test_folders_with_dots_in_their_names(spark, tmp_path):
     (tmp_path / "exports.2024" / "good.csv").write_text("a,b\n1,x\n")
     assert [t.n_rows for t in files.load_tables(spark, str(tmp_path)).tables.values()] == [1]
     assert [t.n_rows for t in files.load_tables(spark, str(tmp_path / "exports.2024")).tables.values()] == [1]
+
+
+def test_json_results_do_not_depend_on_size(loaded):
+    long, wide = "x" * 5000, "y" * 70_000
+    records = [{"z": 1, "b": {"k": wide, "a": 2}, "c": 3}, {"z": 2, "b": {"k": "s", "a": 4}, "c": 5}]
+    rows = ",\n".join('{"z": %d,\n"c": 1}' % i for i in range(3))
+    result, manifest = loaded(
+        {
+            "laid_out.json": '{"meta": {"data": 1, "note": "%s"}, "data": [\n%s\n]}' % (long, rows),
+            "lines.jsonl": "\n".join(json.dumps(r) for r in records),
+            "array.json": json.dumps(records),
+            "tall.json": json.dumps([{"z": 1, "list": list(range(500)), "c": 3}], indent=1),
+            "broken.jsonl": json.dumps({"a": long}) + '\n{"a": \n',
+        }
+    )
+    assert [k for k, r in manifest.items() if r["errors"]] == ["broken"]
+    assert values(result.tables["laid_out"]) == [(0, 1), (1, 1), (2, 1)] and result.tables["laid_out"].columns == ["z", "c"]
+    for name in ("lines", "array"):
+        assert result.tables[name].columns == ["z", "b_k", "b_a", "c"]
+    assert result.tables["tall"].columns == ["z", "list", "c"]
+
+
+def test_a_table_with_a_header_and_no_rows_is_kept(loaded):
+    result, manifest = loaded({"bare.csv": "a,b\n", "full.csv": "a,b\n1,2\n"})
+    assert result.tables["bare"].columns == ["a", "b"] and result.tables["bare"].n_rows == 0
+    assert (manifest["bare"]["n_rows"], manifest["bare"]["errors"]) == (0, [])
+    chunks = build.build_chunks(result.tables, "Answer questions").collect()
+    assert chunks
