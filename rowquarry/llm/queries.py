@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rowquarry.llm import caps, langid, licenses, minhash, mixing, oracles, packing, passages, placement, quality, rules, texts
+from rowquarry.llm import (
+    caps, langid, licenses, minhash, mixing, oracles, packing, passages, phrases, placement, quality, rules, spelling, texts, urls,
+)
 from rowquarry.session import materialise
 
 
@@ -71,9 +73,41 @@ def op10_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return placement.place(docs).select("doc_id", "slot", "shard", "n_bytes")
 
 
+def blocked_keys(pages: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key): the pages of documents labelled toxic, and the hosts most of whose labelled pages are toxic or of low
+    quality. A page's path bears its document's id."""
+    host, path = urls.host_and_path(F.col("url"))
+    placed = pages.select(host.alias("host"), path.alias("path"))
+    number = F.regexp_extract("path", "/([0-9]+)", 1).try_cast("long")
+    labelled = placed.withColumn("doc_id", number).join(labels.select("doc_id", "toxic", "quality"), "doc_id")
+    toxic = labelled.filter("toxic = 1").select(F.concat("host", "path").alias("key"))
+    bad = F.count_if((F.col("toxic") == 1) | (F.col("quality") == 0))
+    hosts = labelled.groupBy("host").agg(bad.alias("bad"), F.count("*").alias("n")).filter("2 * bad > n")
+    return toxic.union(hosts.select("host")).distinct()
+
+
+def op11_url_filter(spark: SparkSession, sf: str) -> DataFrame:
+    """Rule and verdict of every page's url; pages that no rule fits are held against the listed keys."""
+    pages = table(spark, sf, "pages")
+    return urls.judge(pages, blocked_keys(pages, table(spark, sf, "labels")))
+
+
+def op12_collocations(spark: SparkSession, sf: str) -> DataFrame:
+    """The best 2,000 phrases of two or three words of every language."""
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    """Every frequent word with its most frequent near word, if that is five times as frequent, and where such steps end."""
+    return spelling.variants(table(spark, sf, "documents"))
+
+
 def registered() -> dict:
     """Every query of this subpackage by name."""
-    found = (op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op7_license_scan, op8_packing, op9_near_vectors, op10_sharding)
+    found = (
+        op1_quality, op2_near_duplicates, op3_language, op4_mixing, op5_rules, op6_passages, op7_license_scan, op8_packing, op9_near_vectors,
+        op10_sharding, op11_url_filter, op12_collocations, op13_spelling,
+    )
     return {q.__name__: q for q in found}
 
 
