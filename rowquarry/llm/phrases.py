@@ -35,7 +35,7 @@ LONGEST = 3  # words
 LEAST = 10  # occurrences
 COVERED = 50  # per cent of a phrase's occurrences inside one longer phrase
 ROUTE_BYTES = 8 << 20  # of text for each route
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 3 << 20
 MAX_BITS = 1 << 26
 UNKNOWN = "und"
 
