@@ -6,8 +6,10 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
 from pathlib import Path
 from threading import Lock
 from typing import TypeVar
@@ -66,22 +68,60 @@ def ship_package(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Folder of a local session without a configured one, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
+_SCOPE: ContextVar[str | None] = ContextVar("rowquarry-scope", default=None)
+
+
+def _base_folder(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base.rstrip("/")
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    with _FOLDER:
+        if context.applicationId not in _LOCAL_FOLDERS:
+            _LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="rowquarry-")
+        return _LOCAL_FOLDERS[context.applicationId]
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path under the cluster's checkpoint folder.
+    """A fresh path under the cluster's checkpoint folder, inside the scope that is open, if one is.
 
     The folder is read from ``spark.checkpoint.dir``. Only a local session may fall back
     to a temporary folder; on a cluster an unset folder is an error, because executors
     could not share what they write.
     """
-    with _FOLDER:
-        base = spark.conf.get("spark.checkpoint.dir", None)
-        if not base:
-            context = spark.sparkContext
-            if not context.master.startswith("local"):
-                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-            base = tempfile.mkdtemp(prefix="rowquarry-")
-            spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    return f"{_SCOPE.get() or _base_folder(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system that Spark uses; nothing happens if there is none."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, label: str = "scope") -> Iterator[str]:
+    """A scope: whatever is stored inside the block lies in one folder, which is deleted when the block ends, also by an
+    error. What is read later must have been written elsewhere before. Scopes may be nested; yields the folder."""
+    folder = scratch_path(spark, label)
+    token = _SCOPE.set(folder)
+    try:
+        yield folder
+    finally:
+        _SCOPE.reset(token)
+        delete_path(spark, folder)
+
+
+def stored(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of ``build``, written to the enclosing scope. What ``build`` stores on its way is deleted afterwards."""
+    path = scratch_path(spark, label)
+    with scratch(spark, f"{label}-steps"):
+        df = build()
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
@@ -124,4 +164,5 @@ def side_by_side(calls: Iterable[Callable[[], Result]], at_once: int = 8) -> lis
     """Results of independent calls that each run Spark jobs, submitted from a few driver threads
     so that small jobs of one table fill the gaps of another's."""
     with ThreadPoolExecutor(at_once) as pool:
-        return [future.result() for future in [pool.submit(call) for call in calls]]
+        # Each call sees the scope that is open here.
+        return [future.result() for future in [pool.submit(copy_context().run, call) for call in calls]]
