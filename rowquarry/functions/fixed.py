@@ -31,6 +31,9 @@ SEPARATORS = [",", ";", "|", "\t", " "]
 SNIFF_LINES = 20
 RECORD_KEYS = ["data", "records", "results", "items", "rows"]
 TABLE_NAME_LENGTH = 40
+# The letters of code page 1252 at the control codes 0x80 to 0x9F of Latin-1; five of these codes stand for nothing.
+CP1252_CODES = "\x80\x82\x83\x84\x85\x86\x87\x88\x89\x8a\x8b\x8c\x8e\x91\x92\x93\x94\x95\x96\x97\x98\x99\x9a\x9b\x9c\x9e\x9f"
+CP1252_LETTERS = "€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ"
 NA_VALUES = [
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
     "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",

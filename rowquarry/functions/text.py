@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from rowquarry.functions import fixed
 
-# Columns that the engine adds to a table while it cleans and numbers it. All other names are the user's.
-TECHNICAL = frozenset({"__row_id", "__part", "__at", "__order", "__first", "__file_order", "__item"})
+# Columns that a numbered table has beside its own. All other names are the user's.
+TECHNICAL = frozenset({"__row_id", "__part", "__at"})
 
 
 def quoted(name: str) -> Column:

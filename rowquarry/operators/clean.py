@@ -13,7 +13,8 @@ from rowquarry.functions import fixed
 from rowquarry.functions.text import is_technical, name_sql, quoted, text_sql
 from rowquarry.operators.rows import NumberedTable, number_rows
 
-_UNNAMED = re.compile(r"Unnamed|_c\d+$")
+_UNNAMED = re.compile("Unnamed")
+_ORDER = "__order"  # no cleaned name begins like this
 
 
 def normal_name(name: str) -> str:
@@ -37,12 +38,16 @@ def unique_names(names: list[str]) -> list[str]:
     return result
 
 
-def tidy_columns(df: DataFrame) -> DataFrame:
-    """Drop columns without a name; give the others normal, unique names."""
-    kept = [c for c in df.columns if is_technical(c) or not _UNNAMED.match(c)]
-    plain = [c for c in kept if not is_technical(c)]
-    renamed = dict(zip(plain, unique_names([normal_name(c) for c in plain])))
-    return df.selectExpr(*[f"{name_sql(c)} AS {name_sql(renamed.get(c, c))}" for c in kept])
+def tidy_columns(df: DataFrame, hidden: tuple[str, ...] = ()) -> DataFrame:
+    """Drop columns without a name; give the others normal, unique names. ``hidden`` columns stay as they are, at the end.
+
+    Columns are taken by place, so names that differ only in case are told apart.
+    """
+    places = {f"c{i}": c for i, c in enumerate(df.columns)}
+    plain = [p for p, c in places.items() if c not in hidden and not _UNNAMED.match(c)]
+    renamed = dict(zip(plain, unique_names([normal_name(places[p]) for p in plain])))
+    renamed |= {p: c for p, c in places.items() if c in hidden}
+    return df.toDF(*places).selectExpr(*[f"{p} AS {name_sql(c)}" for p, c in renamed.items()])
 
 
 def plain_types(df: DataFrame) -> DataFrame:
@@ -63,16 +68,16 @@ def plain_types(df: DataFrame) -> DataFrame:
     return df.selectExpr(*[plain(f) for f in df.schema.fields])
 
 
-def distinct_rows(df: DataFrame, order: Column | None = None) -> DataFrame:
-    """Drop full duplicates. With ``order``, ``__first`` is the smallest order value of the copies.
+def distinct_rows(df: DataFrame, order: str | None = None) -> DataFrame:
+    """Drop full duplicates. The column ``order`` is not part of a row: the copies' smallest value is kept.
 
     Partial aggregation merges copies before the shuffle, so a row repeated a billion times
     sends one record per task.
     """
-    columns = [name_sql(c) for c in df.columns if not is_technical(c)]
+    columns = [name_sql(c) for c in df.columns if c != order]
     if order is None:
         return df.selectExpr(*columns).distinct()
-    return df.groupBy(*columns).agg(F.min(order).alias("__first"))
+    return df.groupBy(*columns).agg(F.min(order).alias(order))
 
 
 def fill_nulls(df: DataFrame) -> DataFrame:
@@ -162,22 +167,26 @@ def clean(df: DataFrame) -> DataFrame:
     return coerce_numbers(filled, number_types(filled))
 
 
-def clean_numbered(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
+def clean_numbered(df: DataFrame, order_by: list[str | Column], hidden: tuple[str, ...] | None = None) -> NumberedTable:
     """Clean, keeping first copies in order, and number the rows. Runs jobs: the numbering
     write and one pass over it to decide number columns.
 
-    When the order is by columns of the table, copies agree on it and a plain distinct does;
-    otherwise the smallest order value of the copies is carried along.
+    ``hidden`` columns serve the order only and are not part of the rows; by default those of ``order_by`` that bear a
+    numbered table's own names (a table that is cleaned again by its row numbers, say). When the order is by columns of the table,
+    copies agree on it and a plain distinct does; otherwise the smallest order value of the copies is carried along.
     """
-    plain = [c for c in df.columns if not is_technical(c) and not _UNNAMED.match(c)]
+    if hidden is None:
+        hidden = tuple(c for c in order_by if isinstance(c, str) and is_technical(c))
+    plain = [c for c in df.columns if c not in hidden and not _UNNAMED.match(c)]
     if all(isinstance(c, str) and c in plain for c in order_by):
-        tidy = plain_types(tidy_columns(df))
-        renamed = dict(zip(plain, [c for c in tidy.columns if not is_technical(c)]))
-        numbered = number_rows(distinct_rows(tidy), [renamed[c] for c in order_by])
+        shown = df.select(*[quoted(c) for c in df.columns if c not in hidden]) if hidden else df
+        tidy = plain_types(tidy_columns(shown))
+        numbered = number_rows(distinct_rows(tidy), [tidy.columns[plain.index(c)] for c in order_by])
     else:
         order = F.struct(*[(quoted(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_by)])
-        tidy = plain_types(tidy_columns(df.withColumn("__order", order)))
-        numbered = number_rows(distinct_rows(tidy, F.col("__order")), [F.col("__first")])
+        placed = df.select(*[quoted(c) for c in df.columns if c not in hidden], order.alias(_ORDER)) if hidden else df.select("*", order.alias(_ORDER))
+        tidy = plain_types(tidy_columns(placed, (_ORDER,)))
+        numbered = number_rows(distinct_rows(tidy, _ORDER), [_ORDER], hidden=(_ORDER,))
     filled = fill_nulls(numbered.rows)
     return numbered.with_rows(coerce_numbers(filled, number_types(filled)))
 

@@ -52,9 +52,9 @@ class NumberedTable:
         )
 
 
-def number_rows(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
+def number_rows(df: DataFrame, order_by: list[str | Column], hidden: tuple[str, ...] = ()) -> NumberedTable:
     """Number rows 0, 1, 2… in a total order. Runs jobs: a range shuffle written to shared
-    storage, and a count per partition.
+    storage, and a count per partition. ``hidden`` columns serve the order only.
 
     Range partitioning on the whole key splits even one hot leading value; a row's number is
     its place in its partition plus the rows in earlier partitions. No task sees more than
@@ -62,7 +62,9 @@ def number_rows(df: DataFrame, order_by: list[str | Column]) -> NumberedTable:
     """
     order = [quoted(c) if isinstance(c, str) else c for c in order_by]
     keys = [f"__key_{i}" for i in range(len(order))]
-    plain = [name_sql(c) for c in df.columns if not is_technical(c)]
+    if taken := [c for c in df.columns if is_technical(c)]:
+        raise ValueError(f"rename the columns {taken}: a numbered table has its own of these names")
+    plain = [name_sql(c) for c in df.columns if c not in hidden]
     if all(isinstance(c, str) for c in order_by):
         keyed = df.selectExpr(*plain, *[f"{name_sql(c)} AS {k}" for c, k in zip(order_by, keys)])
     else:
