@@ -420,6 +420,31 @@ found as (
 select conv_id, turn, unnest(range(0, len(questions))) as at, unnest(questions) as question from found"""
 
 
+JSON_KEYS = """with e as (select *, event_id % 7 = 6 as twice, event_id % 3 = 1 as upper, event_id % 5 = 4 as late from events),
+first as (select min(event_id) filter (not upper) as v_low, min(event_id) filter (upper) as v_up, min(event_id) filter (late) as a_late,
+  min(event_id) filter (twice) as name from e)
+select event_id, case when twice then 'twice' else event_type end as kind_name,
+  case when (select v_low < v_up from first) = upper then 0 else value end as value,
+  case when (select v_low < v_up from first) = upper then value else 0 end as value_1,
+  case when late then event_type else '' end as a_late, case when twice then event_type else '' end as kind_name_1,
+  'event_id, kind_name, ' || (select string_agg(c, ', ' order by pos, nth) from (
+    select 'value' as c, least(v_low, v_up) as pos, 1 as nth from first union all select 'value_1', greatest(v_low, v_up), 1 from first
+    union all select 'a_late', a_late, 2 from first union all select 'kind_name_1', name, 0 from first)) as columns
+from e"""
+
+ENCODED = r"""with d as (select doc_id, text, lang, regexp_replace(text, '[^\x09\x0a\x20-\x7e\x{a0}-\x{ff}]', '?', 'g') as plain from documents)
+select 'win' as "table", 'cp1252' as encoding, doc_id, plain as body, '“€” ' || lang as tag from d
+union all select 'latin', 'latin-1', doc_id, plain, 'é ' || lang from d
+union all select 'low', 'utf-16', doc_id, text, '日本 ' || lang from d
+union all select 'high', 'utf-16', doc_id, text, '日本 ' || lang from d
+union all select 'lines', 'latin-1', doc_id, plain, 'é ' || lang from d
+union all select 'list', 'utf-16', doc_id, plain, 'é ' || lang from d"""
+
+RAGGED = """select event_id, case event_id % 6 when 2 then '' when 3 then 'a, "' || event_type || '"' when 4 then event_type || ' 5" wide'
+  else event_type end as kind,
+  case when event_id % 6 in (0, 5) then '' else cast(value as varchar) end as amount from events where event_id % 6 <> 1"""
+
+
 def all_sql() -> dict[str, str]:
     num = {t: numbered(t, COLUMNS[t][0][0], COLUMNS[t], f"t_{t}") for t in COLUMNS if t != "lineitem"}
     orders_customer = COLUMNS["orders"] + COLUMNS["customer"]
@@ -516,4 +541,14 @@ select 'latin', case when (select count(*) from conversations where regexp_match
 union all select 'events', 'JSON', 'utf-8', null, count(*), 2, '' from events
 union all select 'part', 'Parquet', 'binary', null, count(*), 6, '' from part
 union all select 'other', '', null, null, null, null, 'Unsupported file type: .orc'""",
+        "quoted_scan": """select doc_id, 'said "' || text || '"' as the_text, source from documents""",
+        "json_document_scan": """select 'events' as "table", event_id as id, event_type || '|' || props as name, value as amount from events
+union all select 'orders', o_orderkey, o_orderstatus || '|' || o_orderpriority, o_totalprice from orders
+union all select 'customer', c_custkey, c_name || '|customer', c_acctbal from customer""",
+        "json_keys_scan": JSON_KEYS,
+        "encoded_scan": ENCODED,
+        "parts_scan": """select o_orderkey, case when o_orderstatus = 'P' then '' else cast(o_totalprice as varchar) end as o_totalprice,
+  case when o_orderstatus = 'P' then '' else o_orderpriority end as o_orderpriority, case when o_orderstatus = 'P' then cast(o_custkey as varchar) else '' end as o_custkey
+from orders where o_orderstatus in ('F', 'O', 'P')""",
+        "ragged_scan": RAGGED,
     }

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial, reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowquarry.functions.text import cell_text, classify, context_size, tokenise
@@ -241,7 +243,7 @@ def clean_fill_dedup(spark: SparkSession, sf: str) -> DataFrame:
     dirty = table(spark, sf, "documents").select(
         F.col("doc_id").alias("__doc_id"), F.col("text").alias("Body Text"), F.nullif(F.col("lang"), F.lit("es")).alias("Läng")
     )
-    cleaned = clean.clean_numbered(dirty, ["__doc_id"])
+    cleaned = clean.clean_numbered(dirty, ["__doc_id"], hidden=("__doc_id",))
     return cleaned.rows.select(F.col(rows.ROW_ID).alias("row_id"), "body_text", "lang")
 
 
@@ -434,11 +436,148 @@ def file_manifest(spark: SparkSession, sf: str) -> DataFrame:
     return found.select("table", "file_type", "encoding", "separator", "n_rows", "n_cols", F.array_join("errors", "; ").alias("errors"))
 
 
+def write_lines(lines: Column, df: DataFrame, path: str, head: str, tail: str = "", joint: str = "", encoding: str = "utf-8", mark: bytes = b"") -> None:
+    """One file per partition: a byte order mark, a head, a line for each row with ``joint`` between two, a tail. In any encoding."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(texts: list[str], before: bytes = b"") -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([(before if not i else b"") + t.encode(encoding) for i, t in enumerate(texts)], pa.binary())], ["line"])
+
+        yield out([head], mark)
+        last = None
+        for batch in batches:
+            rows = batch.column(0).to_pylist()
+            ready = [*([] if last is None else [last]), *rows][: -1 if rows else None]
+            last = rows[-1] if rows else last
+            yield out([r + joint for r in ready])
+        yield out([*([] if last is None else [last]), *([tail] if tail else [])])
+
+    broken = {"utf-16-le": "\n\0", "utf-16-be": "\0\n"}.get(encoding, "\n")
+    raw = df.select(lines.alias("line")).mapInArrow(run, "line binary").select(F.col("line").cast("string").alias("value"))
+    raw.write.option("lineSep", broken).text(path)
+
+
+def csv_line(*cells: Column) -> Column:
+    """A record with every cell in quotes."""
+    return F.concat_ws(",", *[F.concat(F.lit('"'), F.replace(c.cast("string"), F.lit('"'), F.lit('""')), F.lit('"')) for c in cells])
+
+
+def _loaded(spark: SparkSession, folder: str, name: str, *columns: str) -> DataFrame:
+    return files.load_tables(spark, folder).tables[name].rows.select(*columns)
+
+
+def quoted_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole documents as quoted CSV fields with their line breaks, separators and quotes."""
+    folder = scratch_path(spark, "quoted")
+    docs = table(spark, sf, "documents")
+    text = F.concat(F.lit('said "'), "text", F.lit('"'))
+    write_lines(csv_line(F.col("doc_id"), text, F.col("source")), docs, f"{folder}/docs.csv", 'Doc Id,"The\nText",Source')
+    return _loaded(spark, folder, "docs", "doc_id", "the_text", "source")
+
+
+def json_document_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """A list of events, orders wrapped in an object, and customers as an object of equal lists."""
+    folder = scratch_path(spark, "documents")
+    events, orders, customer = (table(spark, sf, n) for n in ("events", "orders", "customer"))
+    write_lines(F.to_json(F.struct("event_id", F.struct("event_type", F.col("props").alias("raw")).alias("Info"), "value")), events, f"{folder}/events.json", "[", "]", ",")
+    wrapped = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.struct(F.struct("o_orderstatus").alias("state"), F.col("o_orderpriority").alias("name")).alias("at"), "o_totalprice"))
+    write_lines(wrapped, orders, f"{folder}/orders.json", '{"pages": [1, 2], "about": {"data": "no]}"}, "records": [', '], "n": 1}', ",")
+
+    def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[], [], []]
+        for batch in batches:
+            for part, column in zip(parts, batch.columns):
+                part += column.to_pylist()
+        body = [", ".join(p) for p in parts]
+        line = f'{{"C Key": [{body[0]}],\n "name": [{body[1]}], "kind": "customer",\n "balance": [{body[2]}]}}'
+        yield pa.RecordBatch.from_arrays([pa.array([line])], ["value"])
+
+    name = F.regexp_extract(F.to_json(F.array("c_name")), r"(?s)^\[(.*)\]$", 1)
+    cells = customer.select(F.col("c_custkey").cast("string").alias("a"), name.alias("b"), cell_text(customer.schema["c_acctbal"]).alias("c"))
+    cells.mapInArrow(lists, "value string").write.text(f"{folder}/customer.json")
+    found = files.load_tables(spark, folder).tables
+    parts = [
+        found["events"].rows.select(F.lit("events").alias("table"), F.col("event_id").alias("id"), F.concat_ws("|", "info_event_type", "info_raw").alias("name"), F.col("value").alias("amount")),
+        found["orders"].rows.select(F.lit("orders"), "id", F.concat_ws("|", "at_state_o_orderstatus", "at_name"), "o_totalprice"),
+        found["customer"].rows.select(F.lit("customer"), "c_key", F.concat_ws("|", "name", "kind"), "balance"),
+    ]
+    return reduce(DataFrame.union, parts)
+
+
+def json_keys_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as lines whose keys differ in case, and come late, in the order of their first appearance."""
+    folder = scratch_path(spark, "keys")
+    events = table(spark, sf, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id")
+    number = cell_text(events.schema["value"])
+    line = F.concat(
+        F.lit('{"event_id": '), "event_id", F.lit(', "kind": {"Name": "'), "event_type", F.lit('"}'),
+        F.when(F.col("event_id") % 3 == 1, F.concat(F.lit(', "VALUE": '), number)).otherwise(F.concat(F.lit(', "value": '), number)),
+        F.when(F.col("event_id") % 5 == 4, F.concat(F.lit(', "a_late": "'), "event_type", F.lit('"'))).otherwise(""),
+        F.when(F.col("event_id") % 7 == 6, F.concat(F.lit(', "kind": {"name": "'), "event_type", F.lit('", "Name": "twice"}'))).otherwise(""), F.lit("}"),
+    )
+    write_lines(line, events, f"{folder}/events.jsonl", "")
+    rows = files.load_tables(spark, folder).tables["events"]
+    return rows.rows.select("*", F.lit(", ".join(rows.columns)).alias("columns")).select(*rows.columns, "columns")
+
+
+def encoded_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as files in code page 1252, Latin-1 and both kinds of UTF-16, delimited and JSON."""
+    folder = scratch_path(spark, "encoded")
+    docs = table(spark, sf, "documents")
+    plain = F.regexp_replace("text", r"[^\x09\x0a\x20-\x7e\xa0-\xff]", "?")
+    quoted_row = csv_line(F.col("doc_id"), plain, F.concat(F.lit("“€” "), "lang"))
+    latin_row, wide_row = csv_line(F.col("doc_id"), plain, F.concat(F.lit("é "), "lang")), csv_line(F.col("doc_id"), F.col("text"), F.concat(F.lit("日本 "), "lang"))
+    in_json = F.concat(F.lit('{"doc_id": '), "doc_id", F.lit(', "body": '), F.to_json(F.array(plain)), F.lit(', "tag": "é '), "lang", F.lit('"}'))
+    head = "doc_id,body,tag"
+    write_lines(quoted_row, docs, f"{folder}/win.csv", head, encoding="cp1252")
+    write_lines(latin_row, docs, f"{folder}/latin.csv", head, encoding="latin-1")
+    write_lines(wide_row, docs, f"{folder}/low.csv", head, encoding="utf-16-le", mark=b"\xff\xfe")
+    write_lines(wide_row, docs, f"{folder}/high.csv", head, encoding="utf-16-be", mark=b"\xfe\xff")
+    write_lines(in_json, docs, f"{folder}/lines.jsonl", "", encoding="latin-1")
+    write_lines(in_json, docs, f"{folder}/list.json", "[", "]", ",", encoding="utf-16-le", mark=b"\xff\xfe")
+    found = files.load_tables(spark, folder)
+    encodings = {r["table"]: r["encoding"] for r in found.manifest.select("table", "encoding").collect()}
+    parts = []
+    for name, t in found.tables.items():
+        body = F.get("body", F.lit(0)) if name in ("lines", "list") else F.col("body")
+        parts.append(t.rows.select(F.lit(name).alias("table"), F.lit(encodings[name]).alias("encoding"), "doc_id", body.alias("body"), "tag"))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def parts_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as a folder of parts whose headers differ in order and columns."""
+    folder = scratch_path(spark, "parts")
+    orders = _as_text(table(spark, sf, "orders"))
+    shapes = {"F": ["o_orderkey", "o_totalprice", "o_orderpriority"], "O": ["o_orderpriority", "o_orderkey", "o_totalprice"], "P": ["o_orderkey", "o_custkey"]}
+    for status, columns in shapes.items():
+        part = orders.filter(F.col("o_orderstatus") == status)
+        write_lines(F.concat_ws(";", *columns), part, f"{folder}/orders.csv/{status}", ";".join(columns))
+    return _loaded(spark, folder, "orders", "o_orderkey", "o_totalprice", "o_orderpriority", "o_custkey")
+
+
+def ragged_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Events with short lines, long lines, spellings of missing values and quotes inside fields."""
+    folder = scratch_path(spark, "ragged")
+    events = table(spark, sf, "events")
+    number, kind, m = cell_text(events.schema["value"]), F.col("event_type"), F.col("event_id") % 6
+    line = (
+        F.when(m == 0, F.concat_ws(",", "event_id", kind))
+        .when(m == 1, F.concat_ws(",", "event_id", kind, number, F.lit("surplus")))
+        .when(m == 2, F.concat_ws(",", "event_id", F.lit("N/A"), number))
+        .when(m == 3, F.concat(F.col("event_id"), F.lit(',"a, ""'), kind, F.lit('""",'), number))
+        .when(m == 4, F.concat_ws(",", "event_id", F.concat(kind, F.lit(' 5" wide')), number))
+        .otherwise(F.concat_ws(",", "event_id", kind, F.lit("null")))
+    )
+    write_lines(line, events, f"{folder}/events.csv", "Event ID,Kind,Amount")
+    return _loaded(spark, folder, "events", "event_id", "kind", "amount")
+
+
 REGISTERED = [
     tokenise_counts, bm25_terms, bm25_topk, index_round_trip, hash_embed, dense_topk, rrf_fuse, mmr_select, hybrid_retrieve,
     classify_questions, prompt_dataset, system_prompt, extract_questions, conversation_memory, conversation_memory_short,
     memory_stream, memory_turns, clean_fill_dedup, numeric_coercion, parse_rates, column_profile, describe_numeric, top_values,
     load_manifest, schema_summary, session_totals, row_numbers, even_sample, row_window_chunks, column_group_chunks,
     hybrid_chunks, schema_chunks, stats_chunks, overview_chunk, build_chunks_auto, json_flatten, separator_sniff,
-    encoding_audit, delimited_scan, json_scan, file_manifest,
+    encoding_audit, delimited_scan, json_scan, file_manifest, quoted_scan, json_document_scan, json_keys_scan, encoded_scan, parts_scan,
+    ragged_scan,
 ]

@@ -5,14 +5,12 @@ A table is one file, or one folder of part files named like a file (``orders.csv
 
 from __future__ import annotations
 
-import json
+import csv
 import re
-from collections.abc import Iterator
 from dataclasses import dataclass, field
-from functools import partial
+from functools import partial, reduce
 from urllib.parse import unquote, urlparse
 
-import pyarrow as pa
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,10 +18,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rowquarry.functions import fixed
-from rowquarry.functions.text import is_technical, quoted
 from rowquarry.operators.clean import clean_numbered, normal_name, unique_names
 from rowquarry.operators.rows import NumberedTable
 from rowquarry.session import side_by_side
+from rowquarry.sources import json_documents, json_records, quoted_lines
+from rowquarry.sources.json_records import FILE_ORDER, flatten
+from rowquarry.sources.splits import CHARSETS, chunks
 
 DELIMITED = (".csv", ".tsv", ".txt")
 JSON = (".json", ".jsonl")
@@ -37,9 +37,6 @@ MANIFEST_SCHEMA = (
 # Schema inference reports a bad record as a plain JVM error.
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
-# A file's own row order: file, split, and place within the split.
-FILE_ORDER = "__file_order"
-
 
 @dataclass(frozen=True)
 class Source:
@@ -102,24 +99,42 @@ def list_sources(spark: SparkSession, path: str) -> list[Source]:
 # --- encoding and separator ---------------------------------------------------------------------
 
 
-def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``(path, encoding)``: 'utf-8' if every line of the table's files is valid, else 'latin-1'.
+def file_encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, file, encoding)`` of every file under each table's path.
 
-    The text source keeps raw bytes and splits files, so the check runs line by line over all
-    splits and only one flag per table is shuffled.
+    'utf-16-le' or 'utf-16-be' if a file begins with that byte order mark; 'utf-8' if every line is valid; else 'cp1252' if
+    control codes of Latin-1 occur and all of them stand for letters there; else 'latin-1'. The text source keeps raw bytes
+    and splits files, so the check runs line by line over all splits and only a few flags per file are shuffled.
     """
+    value = F.col("value")
+    bytes_of = F.decode(value.cast("binary"), "ISO-8859-1")
+    valid = F.is_valid_utf8(value)
+    start = F.when(F.col("_metadata.file_block_start") == 0, F.hex(F.substring(value.cast("binary"), 1, 2)))
     lines = spark.read.text(paths, recursiveFileLookup=True).select(
-        # The metadata path is percent-encoded; a plus sign in it is a plus sign.
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.is_valid_utf8("value").alias("valid"),
-    )
-    owner = F.coalesce(*[F.when(_under(F.col("file"), p), F.lit(p)) for p in paths])
-    return (
-        lines.groupBy("file")
-        .agg(F.bool_and("valid").alias("valid"))
-        .groupBy(owner.alias("path"))
-        .agg(F.when(F.bool_and("valid"), F.lit("utf-8")).otherwise(F.lit("latin-1")).alias("encoding"))
+        F.col("_metadata.file_path").alias("file"),
+        valid.alias("valid"),
+        F.coalesce(~valid & bytes_of.rlike(f"[{fixed.CP1252_CODES}]"), F.lit(False)).alias("letters"),
+        F.coalesce(~valid & bytes_of.rlike("[\\x81\\x8d\\x8f\\x90\\x9d]"), F.lit(False)).alias("none"),
+        F.coalesce(start == "FFFE", F.lit(False)).alias("low"),
+        F.coalesce(start == "FEFF", F.lit(False)).alias("high"),
     )
+    flags = [F.bool_and("valid").alias("valid"), *[F.bool_or(c).alias(c) for c in ("letters", "none", "low", "high")]]
+    named = F.when(F.col("low"), "utf-16-le").when(F.col("high"), "utf-16-be").when(F.col("valid"), "utf-8")
+    named = named.when(F.col("letters") & ~F.col("none"), "cp1252").otherwise("latin-1")
+    # The metadata path is percent-encoded; a plus sign in it is a plus sign.
+    plain = F.url_decode(F.replace(F.col("file"), F.lit("+"), F.lit("%2B")))
+    owner = F.coalesce(*[F.when(_under(plain, p), F.lit(p)) for p in paths])
+    return lines.groupBy("file").agg(*flags).select(owner.alias("path"), "file", named.alias("encoding"))
+
+
+def encodings(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """``(path, encoding)`` of each table; of parts in several encodings, the one that comes last in this order: utf-8,
+    cp1252, latin-1, utf-16."""
+    rank = F.array_position(F.array(*[F.lit(e) for e in ENCODINGS]), F.col("encoding"))
+    return file_encodings(spark, paths).groupBy("path").agg(F.max_by("encoding", rank).alias("encoding"))
+
+
+ENCODINGS = ["utf-8", "cp1252", "latin-1", "utf-16-be", "utf-16-le"]
 
 
 def _under(file: Column, path: str) -> Column:
@@ -128,16 +143,20 @@ def _under(file: Column, path: str) -> Column:
     return file.endswith(local) | file.contains(local.rstrip("/") + "/")
 
 
-def first_lines(spark: SparkSession, files: dict[str, str]) -> DataFrame:
-    """``(path, line_no, line)``: the first 20 lines of each table's first file.
-
-    ``head`` stops in the first split, so a huge file costs no more than a small one.
+def first_lines(spark: SparkSession, files: dict[str, str], encodings: dict[str, str] | None = None) -> DataFrame:
+    """``(path, line)``: the first 20 lines of each table's first file, reduced to their separators: only these and a sign
+    for any other text decide. Each file's lines are read by a job that stops in the first split.
     """
-    sampled = []
-    for path, first in files.items():
-        for i, row in enumerate(spark.read.text(first).head(fixed.SNIFF_LINES)):
-            sampled.append((path, i, row["value"]))
-    return spark.createDataFrame(sampled, "path string, line_no int, line string")
+    others = "[^" + "".join(f"\\x{ord(c):02x}" for c in fixed.SEPARATORS) + "]+"
+
+    def sampled(path: str, first: str) -> list[tuple[str, str]]:
+        encoding = (encodings or {}).get(path, "utf-8")
+        text = F.rtrim("text", F.lit("\r"))
+        rows = chunks(spark, {encoding: [first]}, "\n").select(F.regexp_replace(text, others, "x").alias("line")).head(fixed.SNIFF_LINES)
+        return [(path, r["line"]) for r in rows]
+
+    found = side_by_side([partial(sampled, *item) for item in files.items()])
+    return spark.createDataFrame([row for rows in found for row in rows], "path string, line string")
 
 
 def separators(lines: DataFrame) -> DataFrame:
@@ -183,176 +202,120 @@ def _file_order() -> Column:
     ).alias(FILE_ORDER)
 
 
+def _head_reader(spark: SparkSession, file: str, encoding: str):
+    """A reader of a file's lines on the driver, through the file system that Spark uses."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+    stream = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(path)
+    charset = CHARSETS.get(encoding, "UTF-8" if encoding == "utf-8" else "ISO-8859-1")
+    return jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, charset))
+
+
+def header(spark: SparkSession, file: str, separator: str, encoding: str) -> tuple[str, ...] | None:
+    """The titles of one delimited file: its first record that is not blank, which may hold quoted line breaks."""
+    reader = _head_reader(spark, file, encoding)
+    try:
+        lines: list[str] = []
+        while (line := reader.readLine()) is not None:
+            line = line.removeprefix("\ufeff") if not lines else line
+            if encoding == "cp1252":
+                line = line.translate(str.maketrans(fixed.CP1252_CODES, fixed.CP1252_LETTERS))
+            if lines or line.strip():
+                lines.append(line)
+                record = next(csv.reader(["\n".join(lines)], delimiter=separator, strict=False), [])
+                if not _open_quote("\n".join(lines), separator):
+                    return tuple(record)
+        return None
+    finally:
+        reader.close()
+
+
+def _open_quote(text: str, separator: str) -> bool:
+    """Whether a record goes on after this text: a quote opens a field only at its start, and two inside stand for one."""
+    state = "start"
+    for c in text:
+        if state == "quoted":
+            state = "closed" if c == '"' else "quoted"
+        elif c == '"' and state in ("start", "closed"):
+            state = "quoted"
+        else:
+            state = "start" if c == separator else "plain"
+    return state == "quoted"
+
+
+def _headers(spark: SparkSession, files: dict[str, list[str]], separator: str) -> dict[tuple[str, ...], dict[str, list[str]]]:
+    """The table's files by their titles and encoding, in file order. The driver reads one record of each file."""
+    listed = [(f, e) for e, paths in files.items() for f in spark.read.option("recursiveFileLookup", "true").text(paths).inputFiles()]
+    listed.sort()
+    found: dict[tuple[str, ...], dict[str, list[str]]] = {}
+    for (file, encoding), titles in zip(listed, side_by_side([partial(header, spark, f, separator, e) for f, e in listed])):
+        if titles:
+            found.setdefault(titles, {}).setdefault(encoding, []).append(unquote(file))
+    return found
+
+
 def scan_delimited(
     spark: SparkSession,
     source: Source,
     separator: str,
-    encoding: str = "utf-8",
+    files: dict[str, list[str]] | None = None,
     na_values: list[str] | None = None,
-    multi_line: bool = False,
+    breaks: bool | None = None,
 ) -> DataFrame:
     """All columns as text, named by the header, with a ``__file_order`` column.
 
-    Short lines are padded with null and lines with a surplus field are dropped. ``na_values``
-    become null. ``multi_line`` allows line breaks inside quotes, at the price of one task per file.
+    Short lines are padded with null and lines with a surplus field are dropped. ``na_values`` become null. ``files`` are
+    the table's files by encoding (None: all in UTF-8). Part files with unlike headers are read by their own and united by
+    name. Line breaks inside quotes may lie in any split; ``breaks`` says whether there are any (None: a job finds out).
     """
-    reader = {
-        "sep": separator, "quote": '"', "escape": '"', "multiLine": multi_line, "mode": "PERMISSIVE",
-        "encoding": "ISO-8859-1" if encoding == "latin-1" else "UTF-8",
-    }
-    header = spark.read.csv(source.first_file, header=False, **reader).head(1)
-    if not header:
+    files = files or {"utf-8": [source.path]}
+    groups = _headers(spark, files, separator)
+    if not groups:
         raise ValueError("no columns to parse")
-    titles = [c or "" for c in header[0]]
-    columns = [f"c{i}" for i in range(len(titles))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "extra"]])
-    raw = spark.read.schema(schema).csv(source.path, header=True, recursiveFileLookup=True, **reader)
-    named = [(c, t) for c, t in zip(columns, titles) if t.strip() and not t.startswith("Unnamed")]
-    names = unique_names([normal_name(t) for _, t in named])
+    if breaks is None:
+        breaks = quoted_lines.has_breaks(spark, files, separator)
     missing = list(fixed.NA_VALUES if na_values is None else na_values)
-    cells = [F.when(~F.col(c).isin(missing), F.col(c)).alias(name) for (c, _), name in zip(named, names)]
-    return raw.filter(F.col("extra").isNull()).select(*cells, _file_order())
-
-
-def flatten(df: DataFrame) -> DataFrame:
-    """Nested objects as ``parent_child`` columns; lists stay whole."""
-    leaves: list[tuple[list[str], T.DataType]] = []
-
-    def walk(prefix: list[str], fields: list[T.StructField]) -> None:
-        for f in fields:
-            if isinstance(f.dataType, T.StructType) and not (not prefix and is_technical(f.name)):
-                walk([*prefix, f.name], f.dataType.fields)
-            else:
-                leaves.append(([*prefix, f.name], f.dataType))
-
-    walk([], df.schema.fields)
-    plain = [parts for parts, _ in leaves if not is_technical(parts[0])]
-    names = iter(unique_names([normal_name(".".join(parts)) for parts in plain]))
-    selected = []
-    for parts, _ in leaves:
-        column = quoted(parts[0])
-        for part in parts[1:]:
-            column = column.getField(part)
-        selected.append(column.alias(parts[0] if is_technical(parts[0]) else next(names)))
-    return df.select(*selected)
-
-
-def _first_record(spark: SparkSession, first_file: str, key: str | None) -> dict:
-    """The keys of the first record of a JSON file, in their order, nested ones too. One task reads on until it has the
-    whole record, whatever its size; only key names reach the driver."""
-
-    def keys_of(value: object) -> dict | None:
-        return {k: keys_of(v) for k, v in value.items()} if isinstance(value, dict) else None
-
-    def opened(text: str) -> dict | None:
-        """The record, or None if the text ends before it does."""
-        decode, gap = json.JSONDecoder().raw_decode, re.compile(r"[\s,:\ufeff]*")
-        at = gap.match(text).end()
-        if key is not None:  # members of the document up to the list of records
-            at = gap.match(text, at + 1).end()
-            while (member := decode(text, at))[0] != key:
-                at = gap.match(text, decode(text, gap.match(text, member[1]).end())[1]).end()
-            at = gap.match(text, member[1]).end()
-        if text[at : at + 1] == "[":
-            at = gap.match(text, at + 1).end()
-        return decode(text, at)[0]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lines: list[str] = []
-        tried = 0
-        for batch in batches:
-            lines += [line or "" for line in batch.column(0).to_pylist()]
-            while tried < len(lines):  # at 1, 2, 4, ... lines, so that all tries together cost two of the last
-                tried = min(len(lines), max(1, 2 * tried))
-                try:
-                    found = json.dumps(keys_of(opened("\n".join(lines[:tried]))))
-                except (ValueError, TypeError):
-                    continue
-                yield pa.RecordBatch.from_arrays([pa.array([found])], ["keys"])
-                return
-
-    found = spark.read.text(first_file).mapInArrow(run, "keys string").head(1)
-    return json.loads(found[0]["keys"]) or {} if found else {}
-
-
-def _in_file_order(schema: T.StructType, record: dict) -> list[str]:
-    names = schema.fieldNames()
-    return [k for k in record if k in names] + [n for n in names if n not in record]
-
-
-def scan_json(spark: SparkSession, source: Source) -> DataFrame:
+    scans = []
+    for titles, own in groups.items():
+        own = own if len(groups) > 1 else files
+        columns = [f"c{i}" for i in range(len(titles))]
+        reader = {"sep": separator, "quote": '"', "escape": '"', "mode": "PERMISSIVE"}
+        schema = ", ".join(f"{c} string" for c in [*columns, "extra"])
+        (encoding, paths), *others = own.items()
+        if breaks or others or encoding not in ("utf-8", "latin-1"):
+            found = quoted_lines.records(spark, own, separator, breaks)
+            raw = found.select(F.from_csv("text", schema, reader).alias("r"), F.struct("file", "split", "place").alias(FILE_ORDER)).select("r.*", FILE_ORDER)
+        else:
+            reader["encoding"] = "ISO-8859-1" if encoding == "latin-1" else "UTF-8"
+            lines = spark.read.schema(schema).csv(paths, header=True, recursiveFileLookup=True, **reader)
+            raw = lines.select(*columns, "extra", _file_order())
+        named = [(c, t) for c, t in zip(columns, titles) if t.strip() and not t.startswith("Unnamed")]
+        names = unique_names([normal_name(t) for _, t in named])
+        cells = [F.when(~F.col(c).isin(missing), F.col(c)).alias(name) for (c, _), name in zip(named, names)]
+        scans.append(raw.filter(F.col("extra").isNull()).select(*cells, FILE_ORDER))
+    united = reduce(partial(DataFrame.unionByName, allowMissingColumns=True), scans)
+    return united.select(*[c for c in united.columns if c != FILE_ORDER], FILE_ORDER)
+
+
+def scan_json(spark: SparkSession, source: Source, files: dict[str, list[str]] | None = None) -> DataFrame:
     """JSON lines, an array of objects, an object holding records, or an object of equal lists.
 
-    Lines are read split by split and all must parse. The other shapes are single documents,
-    which one task per file must read; write lines for large data.
+    All are read split by split; lines must all parse. Only an object that is one record is read whole. ``files`` are the
+    table's files by encoding (None: all in UTF-8).
     """
-    lines = spark.read.text(source.first_file).select(F.btrim("value", F.lit(" \t\r")).alias("v")).filter("v <> ''")
+    files = files or {"utf-8": [source.path]}
+    lines = chunks(spark, files, "\n").withColumn("text", F.btrim("text", F.lit(" \t\r\ufeff"))).filter("text <> ''")
     # Only the start of a line and whether it is a whole object reach the driver.
-    head = lines.select(F.substring("v", 1, 1).alias("starts"), F.json_object_keys("v").isNotNull().alias("record")).head(2)
+    start = F.col("text").startswith("{")
+    head = lines.select(start.alias("start"), (start & F.json_object_keys("text").isNotNull()).alias("record")).head(2)
     if not head:
         raise ValueError("empty file")
-    starts = head[0]["starts"]
     parts = urlparse(source.path.rstrip("/")).path != urlparse(source.first_file).path
-    if starts == "{" and (len(head) > 1 or parts) and head[0]["record"]:
+    if (len(head) > 1 or parts) and head[0]["record"]:
         # Several records cannot be one document either, so a bad line is an error of the file.
-        lines = spark.read.json(source.path, mode="FAILFAST", recursiveFileLookup=True)
-        return _records(lines, _first_record(spark, source.first_file, None))
-    document = spark.read.json(source.path, multiLine=True, mode="FAILFAST", recursiveFileLookup=True)
-    if not document.columns:
-        raise ValueError("no columns to parse")
-    if starts == "[":
-        return _records(document, _first_record(spark, source.first_file, None))
-    types = {f.name: f.dataType for f in document.schema.fields}
-    for key in fixed.RECORD_KEYS:
-        if isinstance(types.get(key), T.ArrayType):
-            if not isinstance(types[key].elementType, T.StructType):
-                raise ValueError(f"'{key}' holds no records")
-            items = document.select(F.posexplode(quoted(key)).alias("__at", "__item"), _file_order())
-            opened = items.select("__item.*", _inner_order())
-            return _records(opened, _first_record(spark, source.first_file, key))
-    lists = [n for n, t in types.items() if isinstance(t, T.ArrayType)]
-    record = _first_record(spark, source.first_file, None)
-    if not lists:
-        return _records(document, record)
-    sizes = document.select(F.array_distinct(F.array(*[F.size(quoted(n)) for n in lists])).alias("s"))
-    if sizes.filter(F.size("s") > 1).head(1):
-        raise ValueError("lists differ in length")
-    zipped = document.select(
-        F.posexplode(F.arrays_zip(*[quoted(n) for n in lists])).alias("__at", "__item"),
-        *[quoted(n) for n in types if n not in lists],
-        _file_order(),
-    )
-    columns = [F.col("__item").getField(n).alias(n) if n in lists else quoted(n) for n in types]
-    return _records(zipped.select(*columns, _inner_order()), record)
-
-
-def _inner_order() -> Column:
-    return F.struct(F.col(f"{FILE_ORDER}.file"), F.col(f"{FILE_ORDER}.split"), F.col("__at").cast("long").alias("place")).alias(FILE_ORDER)
-
-
-def _records(df: DataFrame, record: dict) -> DataFrame:
-    """Flattened records, columns in the order of the first record."""
-
-    def ordered(column: Column, schema: T.StructType, sample: dict) -> list[Column]:
-        out = []
-        for name in _in_file_order(schema, sample):
-            child, dtype = column.getField(name), schema[name].dataType
-            inner = sample.get(name)
-            if isinstance(dtype, T.StructType) and isinstance(inner, dict) and len(dtype.fields) > 1:
-                child = F.struct(*ordered(child, dtype, inner))
-            out.append(child.alias(name))
-        return out
-
-    plain = T.StructType([f for f in df.schema.fields if not is_technical(f.name)])
-    columns = []
-    for name in _in_file_order(plain, record):
-        dtype, inner = plain[name].dataType, record.get(name)
-        if isinstance(dtype, T.StructType) and isinstance(inner, dict) and len(dtype.fields) > 1:
-            columns.append(F.when(quoted(name).isNotNull(), F.struct(*ordered(quoted(name), dtype, inner))).alias(name))
-        else:
-            columns.append(quoted(name))
-    order = quoted(FILE_ORDER) if FILE_ORDER in df.columns else _file_order()
-    return flatten(df.select(*columns, order))
+        return json_records.table(lines.select("file", "split", F.monotonically_increasing_id().alias("place"), "text"))
+    records = json_documents.documents(spark, files)
+    return json_records.table(json_documents.whole_documents(spark, files) if records is None else records)
 
 
 def scan_tables(spark: SparkSession, path: str) -> list[Scan]:
@@ -361,31 +324,36 @@ def scan_tables(spark: SparkSession, path: str) -> list[Scan]:
     Runs the listing, encoding and separator jobs, once for all tables.
     """
     sources = list_sources(spark, path)
-    texts = [s for s in sources if s.suffix in DELIMITED + JSON]
-    found = {r["path"]: r["encoding"] for r in encodings(spark, [s.path for s in texts]).collect()} if texts else {}
-    sniffed = {s.path: s.first_file for s in texts if s.suffix in (".csv", ".txt")}
-    chosen = {r["path"]: r["separator"] for r in separators(first_lines(spark, sniffed)).collect()} if sniffed else {}
-    return side_by_side([partial(_scan, spark, s, found.get(s.path, "utf-8"), chosen.get(s.path)) for s in sources])
-
-
-def _scan(spark: SparkSession, source: Source, encoding: str, separator: str | None) -> Scan:
+    texts = [s.path for s in sources if s.suffix in DELIMITED + JSON]
+    found: dict[str, dict[str, list[str]]] = {p: {} for p in texts}
+    for r in file_encodings(spark, texts).orderBy("file").collect() if texts else []:  # one row per file
+        found[r["path"]].setdefault(r["encoding"], []).append(unquote(r["file"]))
+    found = {p: {next(iter(own)): [p]} if len(own) == 1 else own for p, own in found.items()}
+    sniffed = {s.path: s.first_file for s in sources if s.suffix in (".csv", ".txt") and found[s.path]}
+    firsts = {p: next((e for e, paths in found[p].items() if unquote(f) in paths), next(iter(found[p]))) for p, f in sniffed.items()}
+    chosen = {r["path"]: r["separator"] for r in separators(first_lines(spark, sniffed, firsts)).collect()} if sniffed else {}
+    return side_by_side([partial(_scan, spark, s, found.get(s.path) or {"utf-8": [s.path]}, chosen.get(s.path)) for s in sources])
+
+
+def _scan(spark: SparkSession, source: Source, files: dict[str, list[str]], separator: str | None) -> Scan:
+    encoding = max(files, key=ENCODINGS.index)
     if source.suffix in DELIMITED:
         scan = Scan(source, "CSV", encoding=encoding, separator="\t" if source.suffix == ".tsv" else separator or ",")
         try:
-            scan.rows = scan_delimited(spark, source, scan.separator, encoding)
+            scan.rows = scan_delimited(spark, source, scan.separator, files)
         except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"CSV parse error: {_first_line(problem)}")
     elif source.suffix in JSON:
         scan = Scan(source, "JSON", encoding=encoding)
         try:
-            scan.rows = scan_json(spark, source)
+            scan.rows = scan_json(spark, source, files)
         except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"Could not parse JSON into tabular format. {_first_line(problem)}")
     elif source.suffix in PARQUET:
         scan = Scan(source, "Parquet", encoding="binary")
         try:
             rows = spark.read.option("recursiveFileLookup", "true").parquet(source.path)
-            scan.rows = flatten(rows.select("*", _file_order()))
+            scan.rows = flatten(rows.select("*", _file_order()), hidden=1)
         except (*SPARK_ERRORS, ValueError) as problem:
             scan.errors.append(f"Parquet parse error: {_first_line(problem)}")
     else:
@@ -407,10 +375,13 @@ def load_tables(spark: SparkSession, path: str) -> LoadedTables:
     tables: dict[str, NumberedTable] = {}
     rows = []
     for scan, table in zip(scans, side_by_side([partial(_cleaned, scan) for scan in scans])):
+        name = scan.source.table
         if table is not None and table.columns:
-            tables[unique_names([*tables, scan.source.table])[-1]] = table
+            name = unique_names([*tables, name])[-1]
+            tables[name] = table
         shape = (table.n_rows, len(table.columns)) if table is not None else (None, None)
-        rows.append((scan.source.table, scan.source.path, scan.file_type, scan.encoding, scan.separator, *shape, scan.errors))
+        encoding = "utf-16" if scan.encoding in CHARSETS else scan.encoding
+        rows.append((name, scan.source.path, scan.file_type, encoding, scan.separator, *shape, scan.errors))
     return LoadedTables(tables, spark.createDataFrame(rows, MANIFEST_SCHEMA))
 
 
@@ -418,7 +389,7 @@ def _cleaned(scan: Scan) -> NumberedTable | None:
     if scan.rows is None:
         return None
     try:
-        return clean_numbered(scan.rows, [FILE_ORDER])
+        return clean_numbered(scan.rows, [FILE_ORDER], hidden=(FILE_ORDER,))
     except SPARK_ERRORS as problem:
         scan.errors.append(f"{scan.file_type} parse error: {_first_line(problem)}")
         return None
