@@ -421,3 +421,14 @@ def test_pipeline_filters_take_effect(spark, tmp_path):
     assert 200 not in ids and 202 not in ids and 1 in ids
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
     assert packed.count() >= docs.count()
+
+
+def test_encoder_forgets_and_goes_on():
+    rng = np.random.default_rng(8)
+    encode = packing.Encoder(__import__("public_tokenizers").path(packing.TOKENIZER))
+    encode.table = packing.IdTable(64)  # forgets in every block
+    bits = ["word", "Mot", "ñu", "×a", "é", "12", "'s", ",", "!!", "\n", "x" * 40, "<|endoftext|>"]
+    some = [" ".join("".join(rng.choice(bits, rng.integers(1, 4))) for _ in range(rng.integers(0, 30))) for _ in range(300)]
+    for low in range(0, len(some), 50):
+        assert encode.many(some[low : low + 50]) == [encode.whole(t) for t in some[low : low + 50]]
+    assert encode.many([]) == [] and encode.many([None, ""]) == [b"", b""]
