@@ -306,7 +306,7 @@ def schema_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 def session_totals(spark: SparkSession, sf: str) -> DataFrame:
     tables = numbered_all(spark, sf, "nation", "customer")
-    totals = build.corpus_totals(tables, build.build_chunks(tables, DESCRIPTION))
+    totals = build.corpus_totals(tables)
     return totals.withColumn("tables", F.array_join("tables", ", "))
 
 

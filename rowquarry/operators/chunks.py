@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from rowquarry.functions import fixed
 from rowquarry.functions.text import float_text, joined_in_order, row_line
-from rowquarry.operators.profile import describe, dtype_name, is_number, top_values
+from rowquarry.operators.counted import Measures, descriptions, measure
 from rowquarry.operators.rows import ROW_ID, NumberedTable, even_positions
 
 STRATEGIES = tuple(fixed.DEFAULT_PARAMETERS)
@@ -151,7 +151,19 @@ def _escaped(text: str) -> str:
 
 def schema_text(profiled: DataFrame, name: str) -> DataFrame:
     """One row ``text``: a line per column with type, distinct and empty counts and samples."""
-    line = F.concat(
+    line = joined_in_order(F.col("col_ord"), _schema_line(), "\n")
+    return profiled.agg(F.concat_ws("\n", F.lit(f"[Schema: {name}]"), line).alias("text"))
+
+
+def schema_texts(profiled: DataFrame, names: list[str]) -> DataFrame:
+    """``(table_ord, text)``: ``schema_text`` of every table, from the profiles of all."""
+    head = F.concat(F.lit("[Schema: "), F.get(F.array(*[F.lit(n) for n in names]), F.col("table_ord")), F.lit("]"))
+    lines = profiled.groupBy("table_ord").agg(joined_in_order(F.col("col_ord"), _schema_line(), "\n").alias("lines"))
+    return lines.select("table_ord", F.concat_ws("\n", head, "lines").alias("text"))
+
+
+def _schema_line() -> Column:
+    return F.concat(
         F.format_string(
             "  %s (%s) | unique=%d | nulls=%d | e.g. ", F.col("column"), F.col("dtype"), F.col("unique_count"), F.col("null_count")
         ),
@@ -165,57 +177,61 @@ def schema_text(profiled: DataFrame, name: str) -> DataFrame:
             ),
         ).otherwise(F.lit("")),
     )
-    return profiled.agg(
-        F.concat_ws("\n", F.lit(f"[Schema: {name}]"), joined_in_order(F.col("col_ord"), line, "\n")).alias("text")
-    )
 
 
 def _stat(column: str) -> Column:
     return F.coalesce(float_text(column), F.lit("nan"))
 
 
+# Characters that a quoted value spells by their code.
+_UNPRINTED = "[\\x00-\\x1f\\x7f-\\xa0\\xad]"
+
+
 def _quoted_value(value: Column) -> Column:
+    """A text in quotes, as Python writes it: in double ones if it holds single ones only; control codes spelled out."""
+    spelled = F.replace(value, F.lit("\\"), F.lit("\\\\"))
+    for sign, name in (("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        spelled = F.replace(spelled, F.lit(sign), F.lit(name))
+    code = lambda c: F.concat(F.lit("\\x"), F.lpad(F.lower(F.hex(F.ascii(c))), 2, "0"))
+    by_letter = F.transform(F.split(spelled, ""), lambda c: F.when(c.rlike(_UNPRINTED), code(c)).otherwise(c))
+    spelled = F.when(spelled.rlike(_UNPRINTED), F.array_join(by_letter, "")).otherwise(spelled)
     double = value.contains("'") & ~value.contains('"')
-    return F.when(double, F.concat(F.lit('"'), value, F.lit('"'))).otherwise(
-        F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("\\'")), F.lit("'"))
+    return F.when(double, F.concat(F.lit('"'), spelled, F.lit('"'))).otherwise(
+        F.concat(F.lit("'"), F.replace(spelled, F.lit("'"), F.lit("\\'")), F.lit("'"))
     )
 
 
-def stats_text(table: NumberedTable, name: str) -> DataFrame:
+def stats_text(table: NumberedTable, name: str, approx: bool = False) -> DataFrame:
     """One row ``text``: describe statistics of number columns, then the most frequent values
-    of the first text columns. Runs jobs (exact quartiles)."""
-    n_cols = len(table.columns)
-    numbers = [f.name for f in table.fields if is_number(f)]
-    texts = [f.name for f in table.fields if dtype_name(f.dataType) == "object"]
-    spark = table.rows.sparkSession
-    head = f"[Statistical Summary: {name} — {table.n_rows} rows × {n_cols} columns]"
-    if numbers:
-        stats = describe(table.rows, numbers)
-        line = F.concat(
-            F.format_string("  %s: count=%d", F.col("column"), F.col("count")),
-            *[F.concat(F.lit(f", {label}="), _stat(c)) for label, c in _STAT_LABELS],
-        )
-        lines = stats.select(F.lit(1).alias("part"), "col_ord", line.alias("line"))
-    else:
-        lines = spark.range(1).select(
-            F.lit(1).alias("part"), F.lit(0).alias("col_ord"), F.lit("No numeric columns detected.").alias("line")
-        )
-    if texts:
-        listed = top_values(table).groupBy("col_ord", "column").agg(
-            joined_in_order(F.col("rank"), F.concat(_quoted_value(F.col("value")), F.lit(":"), F.col("n")), ", ").alias("values")
-        )
-        lines = lines.unionByName(
-            spark.range(1).select(
-                F.lit(2).alias("part"), F.lit(-1).alias("col_ord"), F.lit("\nTop categorical values:").alias("line")
-            )
-        ).unionByName(
-            listed.select(
-                F.lit(2).alias("part"), "col_ord", F.concat(F.lit("  "), "column", F.lit(": "), "values").alias("line")
-            )
-        )
-    return lines.agg(
-        F.concat_ws("\n", F.lit(head), joined_in_order(F.struct("part", "col_ord"), F.col("line"), "\n")).alias("text")
+    of the first text columns. Runs the jobs of ``measure``."""
+    return stats_texts(measure({name: table}, approx)).select("text")
+
+
+def stats_texts(measured: Measures) -> DataFrame:
+    """``(table_ord, text)``: ``stats_text`` of every table."""
+    spark, lines = measured.top.sparkSession, []
+    heads, names = [], []
+    for i, (name, table) in enumerate(measured.tables.items()):
+        own = [c for c in measured.columns if c[0] == i]
+        heads.append((i, f"[Statistical Summary: {name} — {table.n_rows} rows × {len(table.columns)} columns]"))
+        names += [(i, c[1], c[2]) for c in own]
+        if not any(c[4] for c in own):
+            lines.append((i, 1, 0, "No numeric columns detected."))
+        if any(c[3] == "object" for c in own):
+            lines.append((i, 2, -1, "\nTop categorical values:"))
+    line = F.concat(
+        F.format_string("  %s: count=%d", F.col("column"), F.col("count")), *[F.concat(F.lit(f", {label}="), _stat(c)) for label, c in _STAT_LABELS]
+    )
+    described = descriptions(measured).select("table_ord", F.lit(1).alias("part"), "col_ord", line.alias("line"))
+    listed = measured.top.groupBy("table_ord", "col_ord").agg(
+        joined_in_order(F.col("rank"), F.concat(_quoted_value(F.col("value")), F.lit(":"), F.col("n")), ", ").alias("values")
     )
+    listed = listed.join(F.broadcast(spark.createDataFrame(names, "table_ord int, col_ord int, column string")), ["table_ord", "col_ord"])
+    listed = listed.select("table_ord", F.lit(2).alias("part"), "col_ord", F.concat(F.lit("  "), "column", F.lit(": "), "values").alias("line"))
+    whole = described.unionByName(listed).unionByName(spark.createDataFrame(lines, "table_ord int, part int, col_ord int, line string"))
+    joined = joined_in_order(F.struct("part", "col_ord"), F.col("line"), "\n").alias("lines")
+    head = F.broadcast(spark.createDataFrame(heads, "table_ord int, head string"))
+    return head.join(whole.groupBy("table_ord").agg(joined), "table_ord", "left").select("table_ord", F.concat_ws("\n", "head", "lines").alias("text"))
 
 
 _STAT_LABELS = [("mean", "mean"), ("std", "std"), ("min", "min"), ("25%", "p25"), ("50%", "p50"), ("75%", "p75"), ("max", "max")]

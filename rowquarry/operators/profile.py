@@ -78,7 +78,7 @@ def _column_measures(rows: DataFrame, fields: list[T.StructField]) -> DataFrame:
     return rows.selectExpr(*measures).selectExpr(f"inline(array({', '.join(per_column)}))")
 
 
-def _samples(table: NumberedTable) -> DataFrame:
+def samples(table: NumberedTable) -> DataFrame:
     """First values of every column in row order: at most five rows are read."""
     first = table.at(list(range(fixed.SAMPLE_VALUES)))
     cells = ", ".join(cell_sql(name_sql(f.name), f.dataType) for f in table.fields)
@@ -104,7 +104,7 @@ def profile(table: NumberedTable, approx: bool = False) -> DataFrame:
     return (
         _column_measures(table.rows, fields)
         .join(F.broadcast(uniques), "col_ord", "left")
-        .join(F.broadcast(_samples(table)), "col_ord", "left")
+        .join(F.broadcast(samples(table)), "col_ord", "left")
         .select(
             "col_ord",
             "column",
@@ -120,17 +120,20 @@ def profile(table: NumberedTable, approx: bool = False) -> DataFrame:
 
 
 def quantiles(rows: DataFrame, names: list[str], shares: list[float]) -> DataFrame:
-    """Exact quantiles with linear interpolation: ``(col_ord, share, value)``. Runs jobs.
+    """Exact quantiles with linear interpolation: ``(col_ord, share, value)``. Runs jobs, see ``quantiles_of_counts``."""
+    numbers = ", ".join(f"struct({i} AS col_ord, double({name_sql(c)}) AS v)" for i, c in enumerate(names))
+    cells = rows.selectExpr(f"inline(array({numbers}))").filter("v IS NOT NULL")
+    return quantiles_of_counts(cells.groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n")), shares)
+
+
+def quantiles_of_counts(counted: DataFrame, shares: list[float]) -> DataFrame:
+    """``(col_ord, share, value)`` from ``counted(col_ord, v, n)``. Runs jobs.
 
     Distinct values with their counts are range-partitioned by (column, value) and written;
     the rows before each partition give every partition its starting rank, so the wanted
     ranks are found in the few partitions that hold them. No task gathers a whole column.
     """
-    spark = rows.sparkSession
-    numbers = ", ".join(f"struct({i} AS col_ord, double({name_sql(c)}) AS v)" for i, c in enumerate(names))
-    counted = (
-        rows.selectExpr(f"inline(array({numbers}))").filter("v IS NOT NULL").groupBy("col_ord", "v").agg(F.count(F.lit(1)).alias("n"))
-    )
+    spark = counted.sparkSession
     written = materialise(
         counted.repartitionByRange("col_ord", "v").withColumn("__part", F.spark_partition_id()), "quantiles"
     )

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from rowquarry.functions import fixed
 from rowquarry.functions.text import is_technical, joined_in_order
 from rowquarry.operators.chunks import (
-    column_groups, content_chunks, overview_text, pick_strategy, schema_text, stats_text, window_count,
+    column_groups, content_chunks, overview_text, pick_strategy, schema_texts, stats_texts, window_count,
 )
 from rowquarry.operators.clean import clean_numbered
-from rowquarry.operators.profile import dtype_name, profile
+from rowquarry.operators.counted import measure, profiles
+from rowquarry.operators.profile import dtype_name
 from rowquarry.operators.rows import NumberedTable
 from rowquarry.session import side_by_side
 
@@ -54,39 +55,44 @@ def _content_shape(table: NumberedTable, strategy: str) -> tuple[str, int, int]:
     return strategy, groups, windows
 
 
-def build_chunks(tables: dict[str, NumberedTable], description: str, strategy: str = "auto") -> DataFrame:
+def build_chunks(tables: dict[str, NumberedTable], description: str, strategy: str = "auto", approx: bool = False) -> DataFrame:
     """All chunks: the overview, then per table its schema, statistics and content.
 
-    Runs the jobs of ``stats_text`` per table. ``chunk_id`` is the place in that order and is
-    computed from the row counts, so no chunk is shuffled or sorted to get it.
+    Runs the few jobs of ``measure`` for all tables together; ``approx`` takes sketches instead of exact counts. ``chunk_id``
+    is the place in that order and is computed from the row counts, so no chunk is shuffled or sorted to get it.
     """
-    spark_overview = overview_text(manifest(tables), description)
-    parts = [_single(spark_overview, 0, "_global", "overview")]
-    next_id = 1
-    statistics = side_by_side([partial(stats_text, table, name) for name, table in tables.items()])
-    for (name, table), stats in zip(tables.items(), statistics):
-        parts.append(_single(schema_text(profile(table), name), next_id, name, "schema"))
-        parts.append(_single(stats, next_id + 1, name, "stats"))
+    parts = [_single(overview_text(manifest(tables), description), F.lit(0), F.lit("_global"), "overview")]
+    content, firsts, next_id = [], [], 1
+    for name, table in tables.items():
         chosen, groups, windows = _content_shape(table, strategy)
-        first = next_id + 2
-        content = content_chunks(table, name, strategy)
+        firsts.append(next_id)
         group = F.coalesce(F.col("col_group"), F.lit(0)).cast("long")
-        parts.append(
-            content.select(
-                (F.lit(first) + group * F.lit(windows) + F.col("window")).cast("long").alias("chunk_id"),
+        content.append(
+            content_chunks(table, name, strategy).select(
+                (F.lit(next_id + 2) + group * F.lit(windows) + F.col("window")).cast("long").alias("chunk_id"),
                 F.lit(name).alias("table"),
                 F.lit(chosen).alias("chunk_type"),
                 "col_group", "row_start", "row_end", "cols", "text",
             )
         )
-        next_id = first + groups * windows
-    return reduce(DataFrame.unionByName, parts).select(*CHUNK_COLUMNS)
+        next_id += 2 + groups * windows
+    if tables:
+        measured = measure(tables, approx)
+        of = [F.get(F.array(*[F.lit(x) for x in values]), F.col("table_ord")) for values in (firsts, list(tables))]
+        parts.append(_single(schema_texts(profiles(measured), list(tables)), of[0], of[1], "schema"))
+        parts.append(_single(stats_texts(measured), of[0] + 1, of[1], "stats"))
+    return reduce(DataFrame.unionByName, [*parts, *content]).select(*CHUNK_COLUMNS)
 
 
-def _single(text: DataFrame, chunk_id: int, table: str, chunk_type: str) -> DataFrame:
+def count_chunks(tables: dict[str, NumberedTable], strategy: str = "auto") -> int:
+    """How many chunks ``build_chunks`` makes of these tables, from their shapes alone."""
+    return 1 + sum(2 + groups * windows for _, groups, windows in (_content_shape(t, strategy) for t in tables.values()))
+
+
+def _single(text: DataFrame, chunk_id: Column, table: Column, chunk_type: str) -> DataFrame:
     return text.select(
-        F.lit(chunk_id).cast("long").alias("chunk_id"),
-        F.lit(table).alias("table"),
+        chunk_id.cast("long").alias("chunk_id"),
+        table.alias("table"),
         F.lit(chunk_type).alias("chunk_type"),
         F.lit(None).cast("int").alias("col_group"),
         F.lit(None).cast("long").alias("row_start"),
@@ -113,10 +119,12 @@ def schema_summary(tables: dict[str, DataFrame | NumberedTable]) -> DataFrame:
     return reduce(DataFrame.unionByName, lines).agg(joined_in_order(F.col("table_ord"), F.col("line"), "\n").alias("summary"))
 
 
-def corpus_totals(tables: dict[str, DataFrame | NumberedTable], chunks: DataFrame) -> DataFrame:
-    """One row ``(tables, total_rows, total_chunks)``."""
+def corpus_totals(tables: dict[str, NumberedTable], chunks: DataFrame | None = None, strategy: str = "auto") -> DataFrame:
+    """One row ``(tables, total_rows, total_chunks)``. Without ``chunks`` their number follows from the tables' shapes."""
     totals = manifest(tables).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("table_ord", "table"))), lambda t: t["table"]).alias("tables"),
         F.sum("n_rows").alias("total_rows"),
     )
+    if chunks is None:
+        return totals.withColumn("total_chunks", F.lit(count_chunks(tables, strategy)).cast("long"))
     return totals.withColumn("total_chunks", chunks.agg(F.count(F.lit(1))).scalar())
