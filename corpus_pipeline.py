@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowquarry.llm import langid, minhash, mixing, packing, passages
-from rowquarry.session import materialise, ship_package
+from rowquarry.session import ship_package, stored
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,9 @@ ORACLE_SQL = None  # learned models, minima and packing are not SQL; the tests c
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows. Every stage is written to the shared folder and read again by the next."""
+    """The last stage's rows. Every stage is written to the shared folder and read again by the next; what a stage stores
+    on its way is deleted when it is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = stored(spark, name, partial(stage, spark, docs, sf_dir))
     return STAGES[-1][1](spark, docs, sf_dir)
