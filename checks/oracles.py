@@ -409,12 +409,12 @@ def rate_row(column: str) -> str:
     return f"""select '{column}' as "column", round({rate}, 6) as rate, {rate} > 0.8 as converts from dirty"""
 
 
-COMPLETIONS = r"""comp as (select conv_id, turn, role, text,
-  regexp_replace(split_part(text, '.', 1), '["\\\n]', ' ', 'g') as short from conversations),
+COMPLETIONS = r"""comp as (select conv_id, turn, role, translate(text, '[]', '()') as whole,
+  regexp_replace(translate(text, '[]', '()'), '[\r\n]+', ' ', 'g') as one_line from conversations),
 found as (
   select conv_id, turn, case
-    when role = 'user' then [short || '?', 'Why?', 'And ' || turn || '?']
-    when role = 'assistant' then [regexp_replace(trim(short || '?', ' '), '^[0-9.) -]+', ''), 'How many?', 'Last ' || turn || '?']
+    when role = 'user' then [whole || '?', 'Why?', 'And ' || turn || '?']
+    when role = 'assistant' then [regexp_replace(trim(one_line || '?', ' '), '^[0-9.) -]+', ''), 'How many?', 'Last ' || turn || '?']
     else ['What are the main trends in this data?', 'Show me the top 5 entries.', 'What is the average value?',
       'How many unique categories are there?', 'What is the most common value?'] end as questions from comp)
 select conv_id, turn, unnest(range(0, len(questions))) as at, unnest(questions) as question from found"""
@@ -445,6 +445,44 @@ RAGGED = """select event_id, case event_id % 6 when 2 then '' when 3 then 'a, "'
   case when event_id % 6 in (0, 5) then '' else cast(value as varchar) end as amount from events where event_id % 6 <> 1"""
 
 
+def threshold() -> str:
+    gaps = ", ".join(f"case when event_id % {m} = 0 then 'n/a' else cast(value as varchar) end as one_in_{m}" for m in (10, 5, 4))
+    return f"""with dirty as materialized (select event_id, {gaps} from events)
+select event_id, {", ".join(numeric_text(f"one_in_{m}") for m in (10, 5, 4))} from dirty"""
+
+
+def strategies() -> str:
+    cols = COLUMNS["customer"]
+    names = ", ".join(f"{k} as {k}" for k in ("chunk_id", '"table"', "chunk_type", "col_group", "row_start", "row_end", "cols", "text"))
+    bodies = {
+        "row_window": window_rows("c", cols, "10", "2", "customer"),
+        "column_group": column_group_rows("c", cols, 20, 8, "customer"),
+        "hybrid": hybrid_rows("c", cols, 8, 1, 6, "customer"),
+    }
+    parts = [
+        f"""select 2 + row_number() over (order by col_group nulls first, row_start nulls first) as chunk_id, 'customer' as "table", '{k}' as chunk_type, *
+from ({body})"""
+        for k, body in bodies.items()
+    ]
+    return f"with {numbered('customer', 'c_custkey', cols, 'c')} select {names} from (" + "\nunion all\n".join(parts) + ")"
+
+
+TABLE_QUESTIONS = """select n_nationkey * 3 + form as query_id, replace(f, '%s', n_name) as text from nation,
+  (values (0, 'Compare the average balance of customers in nation %s'), (1, 'Show me the supplier and nation row %s'), (2, 'Anything on %s please')) t(form, f)"""
+
+
+def prompts(source: str, kind: str, docs: str = "documents", table: str = "source") -> str:
+    """CTEs and the prompts of a question source; ``documents`` may be a CTE that comes before."""
+    return f"""{retrieval(source)},
+ctx as (select query_id, string_agg('[Context ' || rank || ' | type=' || {kind} || ' table=' || {table} || ']' || chr(10) || text,
+    chr(10) || chr(10) || '---' || chr(10) || chr(10) order by rank) as context
+  from chosen8 join {docs} using (doc_id) group by query_id),
+full_ctx as (select kq.query_id, qtype, text, coalesce(context, 'No relevant data found in the database.') as context
+  from kq left join ctx using (query_id))
+select query_id, qtype, context, '[Query type: ' || qtype || ']' || chr(10) || chr(10) || 'RETRIEVED CONTEXT:' || chr(10) || context
+  || chr(10) || chr(10) || 'USER QUESTION: ' || text as prompt from full_ctx"""
+
+
 def all_sql() -> dict[str, str]:
     num = {t: numbered(t, COLUMNS[t][0][0], COLUMNS[t], f"t_{t}") for t in COLUMNS if t != "lineitem"}
     orders_customer = COLUMNS["orders"] + COLUMNS["customer"]
@@ -551,4 +589,19 @@ union all select 'customer', c_custkey, c_name || '|customer', c_acctbal from cu
   case when o_orderstatus = 'P' then '' else o_orderpriority end as o_orderpriority, case when o_orderstatus = 'P' then cast(o_custkey as varchar) else '' end as o_custkey
 from orders where o_orderstatus in ('F', 'O', 'P')""",
         "ragged_scan": RAGGED,
+        "header_scan": "select p_partkey as part_key, p_name as name, p_brand as name_1, p_type as name_2, p_retailprice as groe from part",
+        "numeric_threshold": threshold(),
+        "named_strategies": strategies(),
+        "custom_encoder": """with l as (select doc_id, i as letter, length(text) - length(replace(text, chr((97 + i)::int), '')) as n from documents, range(26) r(i)),
+norms as (select doc_id, sqrt(sum(n * n)) as norm from l group by doc_id)
+select doc_id, letter, round(cast(cast(n / norm as float) as double), 6) as weight from l join norms using (doc_id) where n > 0""",
+        "dense_every": f"with {CENTROIDS}, {nearest('cent', 'given', 1000)} select query_id, doc_id, round(score, 4) as score, rank from dn",
+        "bm25_odd_questions": f"""with {", ".join([DOC_TOKENS, POSTINGS, TERMS, questions(BENCHMARK + " union all select -1, '' union all select -2, '?!'"), BM25])} {SHOWN} from bm""",
+        "table_prompts": f"""with documents as materialized (select chunk_id as doc_id, "table" as source, chunk_type, text from (
+{auto_chunks([(t, t, COLUMNS[t][0][0], COLUMNS[t]) for t in ("nation", "supplier", "customer")])})),
+{prompts(TABLE_QUESTIONS, "chunk_type")}""",
+        "index_append": f"""with given as (select * from documents),
+documents as materialized (select doc_id, case when lang in ('de', 'fr') then text || ' again again' else text end as text from given), {search}
+select query_id, doc_id, round(score, 4) as score, rank from bm""",
+        "memory_stream_batches": frames(4),
     }

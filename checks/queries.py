@@ -197,12 +197,14 @@ def system_prompt(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def completions(spark: SparkSession, sf: str) -> DataFrame:
-    """Messages dressed as model output: a JSON list, numbered lines, or neither, by role."""
+    """Whole messages dressed as model output: a JSON list, numbered lines, or neither, by role. Brackets become round."""
     messages = table(spark, sf, "conversations")
-    short = F.regexp_replace(F.substring_index("text", ".", 1), r'["\\\n]', " ")
+    whole = F.translate("text", "[]", "()")
+    listed = F.regexp_extract(F.to_json(F.array(F.concat(whole, F.lit("?")))), r"(?s)^\[(.*)\]$", 1)
+    one_line = F.regexp_replace(whole, r"[\r\n]+", " ")
     text = (
-        F.when(F.col("role") == "user", F.concat(F.lit('Sure:\n["'), short, F.lit('?", "Why?",\n "And '), F.col("turn"), F.lit('?"] done')))
-        .when(F.col("role") == "assistant", F.concat(F.lit("Here they are\n 1. "), short, F.lit("?\n2) How many?\nno question\n- Last "), F.col("turn"), F.lit("?")))
+        F.when(F.col("role") == "user", F.concat(F.lit("Sure:\n["), listed, F.lit(', "Why?",\n "And '), F.col("turn"), F.lit('?"] done')))
+        .when(F.col("role") == "assistant", F.concat(F.lit("Here they are\n 1. "), one_line, F.lit("?\n2) How many?\nno question\n- Last "), F.col("turn"), F.lit("?")))
         .otherwise(F.col("text"))
     )
     return messages.select("conv_id", "turn", text.alias("text"))
@@ -572,6 +574,96 @@ def ragged_scan(spark: SparkSession, sf: str) -> DataFrame:
     return _loaded(spark, folder, "events", "event_id", "kind", "amount")
 
 
+def header_scan(spark: SparkSession, sf: str) -> DataFrame:
+    """Parts under titles that repeat, are blank, unnamed or hold accents."""
+    folder = scratch_path(spark, "headers")
+    cells = [F.col(c) for c in ("p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_size", "p_retailprice")]
+    write_lines(csv_line(*cells), table(spark, sf, "part"), f"{folder}/part.csv", "Part Key,Name,name, NAME ,,Unnamed: 5,Größe (€)")
+    return _loaded(spark, folder, "part", "part_key", "name", "name_1", "name_2", "groe")
+
+
+def numeric_threshold(spark: SparkSession, sf: str) -> DataFrame:
+    """Event values of which nine tenths, exactly four fifths and three quarters are numbers."""
+    events = table(spark, sf, "events")
+    number = cell_text(events.schema["value"])
+    gaps = [F.when(F.col("event_id") % m == 0, "n/a").otherwise(number).alias(f"one_in_{m}") for m in (10, 5, 4)]
+    cleaned = clean.clean(events.select("event_id", *gaps))
+    return cleaned.select("event_id", *[cell_text(f).alias(f.name) for f in cleaned.schema.fields[1:]])
+
+
+def named_strategies(spark: SparkSession, sf: str) -> DataFrame:
+    """Customers cut by each named strategy with its default sizes."""
+    tables = numbered_all(spark, sf, "customer")
+    parts = [
+        build.build_chunks(tables, DESCRIPTION, strategy).filter(F.col("chunk_type") == strategy).withColumn("cols", F.array_join("cols", ", "))
+        for strategy in chunks.STRATEGIES
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def custom_encoder(spark: SparkSession, sf: str) -> DataFrame:
+    """Vectors of a model of our own: how often each letter stands in a text."""
+
+    def load_model():
+        return lambda texts: [[text.count(chr(97 + i)) for i in range(26)] for text in texts]
+
+    vectors = dense.encode(table(spark, sf, "documents"), load_model)
+    letters = vectors.select("doc_id", F.posexplode("vec").alias("letter", "weight")).filter("weight <> 0")
+    return letters.select("doc_id", "letter", F.round(F.col("weight").cast("double"), 6).alias("weight"))
+
+
+def dense_every(spark: SparkSession, sf: str) -> DataFrame:
+    """Every label's mean vector for every embedding: more are asked for than there are."""
+    cent = centroids(spark, sf).select(F.col("query_id").alias("doc_id"), "vec")
+    asked = given_vectors(spark, sf).withColumnRenamed("doc_id", "query_id")
+    return dense.search(cent, asked, k=1000).select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def bm25_odd_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions without a word find nothing; the others are not disturbed."""
+    odd = spark.createDataFrame([(-1, ""), (-2, "?!"), (-3, None)], "query_id long, text string")
+    index = bm25.index_documents(table(spark, sf, "documents"))
+    return _shown(bm25.search(index, questions(spark, sf).unionByName(odd)))
+
+
+def table_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Three questions about every nation."""
+    forms = F.array(*[F.lit(f) for f in ("Compare the average balance of customers in nation %s", "Show me the supplier and nation row %s", "Anything on %s please")])
+    nation = table(spark, sf, "nation").select("n_nationkey", "n_name", F.posexplode(forms).alias("form", "f"))
+    return nation.select((F.col("n_nationkey") * 3 + F.col("form")).cast("long").alias("query_id"), F.replace("f", F.lit("%s"), F.col("n_name")).alias("text"))
+
+
+def table_prompts(spark: SparkSession, sf: str) -> DataFrame:
+    """From tables to prompts: numbered, profiled, cut into chunks, indexed, searched, assembled."""
+    tables = numbered_all(spark, sf, "nation", "supplier", "customer")
+    path = scratch_path(spark, "table-index")
+    index_io.write_index(build.build_chunks(tables, DESCRIPTION), path, id_col="chunk_id")
+    return retrieve.prompts(index_io.open_index(spark, path), table_questions(spark, sf))
+
+
+def index_append(spark: SparkSession, sf: str) -> DataFrame:
+    """Search over an index that was written for all documents, and had those of two languages written again, changed."""
+    docs = table(spark, sf, "documents")
+    path = scratch_path(spark, "grown")
+    index_io.write_index(docs.select("doc_id", "text"), path)
+    again = docs.filter(F.col("lang").isin("de", "fr")).select("doc_id", F.concat("text", F.lit(" again again")).alias("text"))
+    index_io.append_index(again, path)
+    found = bm25.search(index_io.open_index(spark, path).keyword, questions(spark, sf))
+    return found.select("query_id", "doc_id", F.round("score", 4).alias("score"), "rank")
+
+
+def memory_stream_batches(spark: SparkSession, sf: str) -> DataFrame:
+    """The same frames when the turns of all conversations come in four micro-batches."""
+    folder, path, checkpoint = (scratch_path(spark, n) for n in ("arriving", "frames", "stream"))
+    spark.createDataFrame([], memory.MESSAGE_SCHEMA).write.parquet(folder)
+    messages = table(spark, sf, "conversations")
+    found = None
+    for low, high in ((0, 2), (2, 3), (3, 5), (5, 1 << 40)):
+        messages.filter((F.col("turn") >= low) & (F.col("turn") < high)).write.mode("append").parquet(folder)
+        found = memory.run_ordered(memory.read_messages(spark, folder), path, checkpoint, size=4)
+    return _frame_text(found)
+
+
 REGISTERED = [
     tokenise_counts, bm25_terms, bm25_topk, index_round_trip, hash_embed, dense_topk, rrf_fuse, mmr_select, hybrid_retrieve,
     classify_questions, prompt_dataset, system_prompt, extract_questions, conversation_memory, conversation_memory_short,
@@ -579,5 +671,6 @@ REGISTERED = [
     load_manifest, schema_summary, session_totals, row_numbers, even_sample, row_window_chunks, column_group_chunks,
     hybrid_chunks, schema_chunks, stats_chunks, overview_chunk, build_chunks_auto, json_flatten, separator_sniff,
     encoding_audit, delimited_scan, json_scan, file_manifest, quoted_scan, json_document_scan, json_keys_scan, encoded_scan, parts_scan,
-    ragged_scan,
+    ragged_scan, header_scan, numeric_threshold, named_strategies, custom_encoder, dense_every, bm25_odd_questions, table_prompts,
+    index_append, memory_stream_batches,
 ]

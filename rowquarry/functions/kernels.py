@@ -100,15 +100,32 @@ class BestWeighted:
         self.best = BestK(np.empty((n_questions, 0)), k)
         self.block = max(1, max_cells // max(1, n_questions))
 
-    def add(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, parts: np.ndarray) -> None:
-        """Documents ``ids``; document i has the entries ``offsets[i]`` to ``offsets[i + 1]`` of terms and parts."""
+    def add(self, ids: np.ndarray, offsets: np.ndarray, terms: np.ndarray, parts: np.ndarray, bounded: bool = False) -> None:
+        """Documents ``ids``; document i has the entries ``offsets[i]`` to ``offsets[i + 1]`` of terms and parts.
+        ``bounded`` first leaves out the questions whose best possible score in these documents is below their k-th."""
+        cuts, asked, weight = self.cuts, self.asked, self.weight
+        if bounded:
+            cuts, asked, weight = self._open_questions(terms, parts)
+            if not len(asked):
+                return
         for low in range(0, len(ids), self.block):
             high = min(low + self.block, len(ids))
             scores = np.zeros((high - low, self.n))
             for row in range(low, high):
                 held = slice(offsets[row], offsets[row + 1])
-                first = self.cuts[terms[held]]
-                size = self.cuts[terms[held] + 1] - first
+                first = cuts[terms[held]]
+                size = cuts[terms[held] + 1] - first
                 places = np.repeat(first - np.cumsum(size) + size, size) + np.arange(size.sum())
-                scores[row - low] = np.bincount(self.asked[places], self.weight[places] * np.repeat(parts[held], size), self.n)
+                scores[row - low] = np.bincount(asked[places], weight[places] * np.repeat(parts[held], size), self.n)
             self.best.rank(ids[low:high], np.where(scores > 0, scores, -np.inf).T)
+
+    def _open_questions(self, terms: np.ndarray, parts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The weights without those of questions that cannot improve: the largest part of each term bounds a score."""
+        largest = np.zeros(len(self.cuts) - 1)
+        np.maximum.at(largest, terms, parts)
+        per_weight = np.repeat(largest, np.diff(self.cuts))
+        bound = np.bincount(self.asked, np.maximum(self.weight, 0) * per_weight, self.n)
+        live = bound * (1 + 1e-9) + 1e-8 >= self.best.floor  # sums may differ in their last digits
+        keep = live[self.asked]
+        cuts = np.append(0, np.cumsum(keep))[self.cuts]
+        return cuts, self.asked[keep], self.weight[keep]

@@ -22,7 +22,6 @@ from rowquarry.session import fits_broadcast
 
 # Question weights that are sent to every task at once.
 QUESTION_BLOCK_BYTES = 32 * 1024 * 1024
-TERM_SALTS = 32  # files that a frequent term of a written index is dealt over, at least
 
 
 @dataclass(frozen=True)
@@ -31,16 +30,18 @@ class KeywordIndex:
     stats: DataFrame
     terms: DataFrame | None = None  # None: document frequencies are counted for the asked terms only
     by_document: bool = False  # postings are already hash-partitioned on doc_id
+    by_file: bool = False  # postings name their ``file``, which holds all of a document's and is read by one task
 
 
-def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, tokens)`` hash-partitioned on ``doc_id``.
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
+    """``(doc_id, tokens)`` hash-partitioned on ``doc_id``, in exactly ``partitions`` parts if given.
 
     This is the only full-corpus shuffle: counting terms per document and scoring per
     (question, document) both group on ``doc_id`` and so stay inside the partition. The raw
     text travels, not the tokens: token arrays are several times larger.
     """
-    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartition("doc_id")
+    placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    placed = placed.repartition(partitions, "doc_id") if partitions else placed.repartition("doc_id")
     return placed.select("doc_id", tokenise(F.col("text")).alias("tokens"))
 
 
@@ -129,7 +130,10 @@ def score_best(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
 
     post = index.postings.join(F.broadcast(spark.createDataFrame(numbered, "term string, number int")), "term")
     avgdl = index.stats.select("avgdl").scalar()
-    post = post.select("doc_id", "number", contribution(F.col("tf"), F.col("dl"), avgdl).alias("part"))
+    part = contribution(F.col("tf"), F.col("dl"), avgdl).alias("part")
+    if index.by_file:
+        return post.select("file", "doc_id", "number", part).mapInArrow(_by_file(shipped, k), RANKED)
+    post = post.select("doc_id", "number", part)
     if not index.by_document:
         post = post.repartition("doc_id")
     gathered = post.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("number", "part"))).alias("hits"))  # a document's asked terms
@@ -141,12 +145,50 @@ def score_best(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
             if batch.num_rows and len(ids):
                 offsets = np.concatenate([[0], np.cumsum(batch.column(1).value_lengths().to_numpy())])
                 best.add(batch.column(0).to_numpy(), offsets, batch.column(1).flatten().to_numpy(), batch.column(2).flatten().to_numpy())
-        found = best.best
-        yield pa.RecordBatch.from_arrays([pa.array(ids[found.owner]), pa.array(found.ids), pa.array(found.scores)], RANKED.names)
+        yield _ranked(ids, best)
 
     return gathered.select("doc_id", "hits.number", "hits.part").mapInArrow(run, RANKED)
 
 
+def _ranked(ids: np.ndarray, best: BestWeighted) -> pa.RecordBatch:
+    found = best.best
+    return pa.RecordBatch.from_arrays([pa.array(ids[found.owner]), pa.array(found.ids), pa.array(found.scores)], RANKED.names)
+
+
+def _by_file(shipped, k: int):
+    """Scores the asked postings of a file once all of them have come; no more of them are held at a time. Questions that
+    no document of the file can still enter, by the largest part of each term in it, are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, *asked = shipped.value
+        best, held, own = BestWeighted(len(ids), *asked, k), [], None
+
+        def flush() -> None:
+            if held:
+                docs, terms, parts = (np.concatenate(c) for c in zip(*held))
+                order = np.lexsort((terms, docs))
+                names, first = np.unique(docs[order], return_index=True)
+                best.add(names, np.append(first, len(docs)), terms[order], parts[order], bounded=True)
+                held.clear()
+
+        for batch in batches:
+            if not batch.num_rows or not len(ids):
+                continue
+            coded = batch.column(0).dictionary_encode()
+            code = coded.indices.to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            for a, b in zip(cuts, cuts[1:]):
+                file = coded.dictionary[int(code[a])].as_py()
+                if file != own:
+                    flush()
+                    own = file
+                held.append([batch.column(c).slice(a, b - a).to_numpy() for c in (1, 2, 3)])
+        flush()
+        yield _ranked(ids, best)
+
+    return run
+
+
 def search(
     index: KeywordIndex, queries: DataFrame, k: int = fixed.BM25_TOP_K, max_block_bytes: int = QUESTION_BLOCK_BYTES
 ) -> DataFrame:

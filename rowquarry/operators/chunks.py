@@ -75,6 +75,8 @@ def column_group_chunks(table: NumberedTable, name: str, row_sample: int = 20, g
     few = table.at(even_positions(table.n_rows, row_sample))
     lines = few.select(ROW_ID, F.posexplode(F.array(*[row_line(g) for g in groups])).alias("col_group", "line"))
     bodies = lines.groupBy("col_group").agg(joined_in_order(F.col(ROW_ID), F.col("line"), "\n").alias("body"))
+    if not table.n_rows:  # headers without a row
+        bodies = few.sparkSession.range(len(groups)).select(F.col("id").cast("int").alias("col_group"), F.lit("").alias("body"))
     names = F.array(*[_lit_array([f.name for f in g]) for g in groups])
     return bodies.select(
         "col_group",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rowquarry.functions import fixed
 from rowquarry.functions.text import classify, context_size, joined_in_order
 from rowquarry.operators import bm25, dense, fusion
+from rowquarry.operators.sieve import sieve
 from rowquarry.session import materialise
 from rowquarry.sources.index_io import RetrievalIndex
 
@@ -55,9 +56,14 @@ def hybrid_retrieve(
 
 
 def gather(picks: DataFrame, docs: DataFrame, few: bool) -> DataFrame:
-    """Picked chunks with their text. With many questions both sides shuffle on ``doc_id``;
-    a chunk that a third of them picked is then split by adaptive skew handling."""
-    return docs.join(_maybe_broadcast(picks, few), "doc_id")
+    """Picked chunks with their text. With many questions both sides shuffle on ``doc_id``, but of the chunks only those
+    that pass a filter of the picked ids: text that nobody picked stays where it is. A chunk that a third of the questions
+    picked is then split by adaptive skew handling. Runs two jobs that store the picks and the filter if they are many."""
+    if few:
+        return docs.join(F.broadcast(picks), "doc_id")
+    picks = materialise(picks, "picks")
+    ids = materialise(picks.select("doc_id").distinct(), "picked-ids")
+    return docs.filter(sieve(ids, "doc_id", ids.count())).join(picks, "doc_id")
 
 
 def _maybe_broadcast(df: DataFrame, few: bool) -> DataFrame:

@@ -102,6 +102,13 @@ def delete_path(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, by the file system that Spark uses; none if there is no folder."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in files.listStatus(target)) if files.exists(target) else []
+
+
 @contextmanager
 def scratch(spark: SparkSession, label: str = "scope") -> Iterator[str]:
     """A scope: whatever is stored inside the block lies in one folder, which is deleted when the block ends, also by an
