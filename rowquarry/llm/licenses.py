@@ -1,10 +1,11 @@
 """Licence scan: a trained paragraph classifier, confirmed against templates.
 
-Paragraphs are lines; longer ones are read in overlapping windows of WINDOW words. A softmax regression over hashed
-word 1-, 2- and 3-grams gives each window a licence family or none. It learns from altered copies of the templates,
-from scrambled templates, and from lines of a bounded sample of the corpus that resemble no template. The least
-probability that counts is set on sample lines kept aside, so that hardly any of them passes. A window that passes is
-compared with the templates: enough word pairs of a likely family's confirm it; with some of any it is ``unknown``.
+A paragraph goes to the next blank line. It is read twice in overlapping windows of WINDOW words: line by line, for short
+notices, and over its line breaks, for notices that are wrapped. A softmax regression over hashed word 1-, 2- and 3-grams
+gives each window a licence family or none. It learns from altered copies of the templates, from scrambled templates, and
+from lines of a bounded sample of the corpus that resemble no template. The least probability that counts is calibrated on
+all windows of the corpus that resemble no template: at most FALSE_RATE of them pass. A window that passes is compared with
+the templates: enough word pairs of a likely family's confirm it; with some of any it is ``unknown``.
 
 Defined results: null and empty texts have no paragraph and no family; repeated rows are scanned one by one; an
 empty table gives no rows; null ids are carried; other columns are not looked at.
@@ -25,8 +26,15 @@ from pyspark.sql import types as T
 from rowquarry.llm import texts
 
 # Public licence notices, by family.
+_GNU = (
+    "This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2} as published by the Free Software"
+    " Foundation{3} either version {4} of the License, or (at your option) any later version."
+)
+_ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that"
 TEMPLATES = {
-    "agpl-3.0": ["This program is licensed under the GNU Affero General Public License, version 3."],
+    "agpl-3.0": [
+        "This program is licensed under the GNU Affero General Public License, version 3.", _GNU.format("program", ":", "Affero General Public License", ",", "3"),
+    ],
     "apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         "Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with the License.",
@@ -39,23 +47,40 @@ TEMPLATES = {
     "cc-by-nc-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."],
     "cc0-1.0": ["To the extent possible under law, the author has waived all copyright and related rights to this work, CC0 1.0."],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2."],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3."],
-    "lgpl-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2.", _GNU.format("program", ";", "General Public License", ";", "2")],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3.", _GNU.format("program", ":", "General Public License", ",", "3")],
+    "isc": ["Released under the ISC License.", _ISC + " the above copyright notice and this permission notice appear in all copies."],
+    "lgpl-2.1": [_GNU.format("library", ";", "Lesser General Public License", ";", "2.1")],
+    "lgpl-3.0": [
+        "This library is licensed under the GNU Lesser General Public License, version 3.", _GNU.format("library", ":", "Lesser General Public License", ",", "3"),
+    ],
     "mit": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     ],
-    "mpl-2.0": ["This source code form is subject to the terms of the Mozilla Public License, v. 2.0."],
+    "mpl-2.0": [
+        "This source code form is subject to the terms of the Mozilla Public License, v. 2.0.",
+        "If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ],
     "proprietary": ["All rights reserved."],
 }
+# The names that identifier lines give the families.
+IDENTIFIERS = {
+    "agpl-3.0": "AGPL-3.0-only", "apache-2.0": "Apache-2.0", "bsd-3-clause": "BSD-3-Clause", "cc-by-4.0": "CC-BY-4.0", "cc-by-nc-4.0": "CC-BY-NC-4.0",
+    "cc-by-sa-4.0": "CC-BY-SA-4.0", "cc0-1.0": "CC0-1.0", "gpl-2.0": "GPL-2.0-only", "gpl-3.0": "GPL-3.0-only", "isc": "ISC", "lgpl-2.1": "LGPL-2.1-only",
+    "lgpl-3.0": "LGPL-3.0-only", "mit": "MIT", "mpl-2.0": "MPL-2.0",
+}
+MARK = "SPDX-License-Identifier: "
 NONE = "none"
 UNKNOWN = "unknown"
 BUCKETS = 1 << 15
 WINDOW, STEP = 40, 18
 SAMPLE_DOCS = 600
-COPIES = 150  # altered copies of each template
-FALSE_RATE = 0.0005
+SAMPLE_LINES = 8000  # of the sample documents; the driver gets no more
+LINE_BYTES = 2048  # longer lines are not learned from
+BINS = 2000  # of log odds from 0 to 40, for the calibration
+COPIES = 75  # altered copies of each template
+FALSE_RATE = 0.05  # of the windows without a look of a template, those that are compared with the templates all the same
 LIKELY = 4  # families that the templates may choose between
 CONFIRM = 0.6  # share of a template's word pairs
 _IS_WORD = np.zeros(256, bool)
@@ -75,10 +100,11 @@ def word_list(text: str) -> list[str]:
     return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
 
 
-def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
-    """(n-gram slots, n-gram cuts per word, window starts, window stops, first byte, last byte, text, lines per text).
+def windows(data: np.ndarray, offsets: np.ndarray, across: bool = False) -> tuple[np.ndarray, ...]:
+    """(n-gram slots, window starts, window stops, first byte, last byte, text of each word, units per text).
 
-    Word k owns the n-grams that end with it, within its line; windows are ranges of words."""
+    Units are lines; with ``across`` they are paragraphs, and only those of several lines have windows. Word k owns the
+    n-grams that end with it, within its unit; windows are ranges of words."""
     data = texts.LOWER[data]
     n, texts_n = len(data), len(offsets) - 1
     inside = _IS_WORD[data]
@@ -88,9 +114,11 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
     starts[1:] &= ~inside[:-1] | edge[1:n]
     stops[:-1] &= ~inside[1:] | edge[1:n]
     starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
-    breaks = np.concatenate([[0], np.cumsum(data == 0x0A)])
     of = texts.owner(offsets, starts)
-    line = breaks[starts] + of  # a text's end ends a line too
+    line = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts] + of  # a text's end ends a line too
+    unit_lines = line
+    if across:
+        line = np.concatenate([[0], np.cumsum(_blank_lines(data))])[starts] + of
     word = texts.range_hash(texts.prefix_hash(data), starts, stops)
     slots = np.full((len(word), 3), -1, np.int64)
     gram = np.zeros(len(word), np.uint64)
@@ -103,14 +131,26 @@ def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
                 gram = gram * np.uint64(0x9E3779B97F4A7C15) + word[whole - k]
             slots[whole, size - 1] = (texts.mixed(gram + np.uint64(size)) >> np.uint64(49)).astype(np.int64)
     first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(word) else np.zeros(0, np.int64)
+    lines = np.bincount(of[first], minlength=texts_n)
     length = np.diff(np.append(first, len(word)))
+    if across and len(first):
+        several = unit_lines[first] != unit_lines[first + length - 1]
+        first, length = first[several], length[several]
     parts = np.maximum(1, -(-(length - WINDOW) // STEP) + 1)
     begin = np.repeat(first, parts) + STEP * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
     end = np.minimum(begin + WINDOW, np.repeat(first + length, parts))
-    lines = np.bincount(of[first], minlength=texts_n)
     return slots, begin, end, starts, stops, of, lines
 
 
+def _blank_lines(data: np.ndarray) -> np.ndarray:
+    """Whether a byte is a line break that ends a line without any sign."""
+    breaks = np.flatnonzero(data == 0x0A)
+    seen = np.cumsum(~texts.IS_SPACE[data])[breaks]
+    blank = np.zeros(len(data), bool)
+    blank[breaks[1:][seen[1:] == seen[:-1]]] = True
+    return blank
+
+
 def logits(slots: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Class scores of windows: the mean-scaled sum of their n-grams' weights."""
     total = np.zeros((len(slots) + 1, weights.shape[1]), np.float32)
@@ -131,20 +171,37 @@ def word_pairs(text: str) -> set[tuple[str, str]]:
     return set(zip(words, words[1:]))
 
 
-TEMPLATE_PAIRS = {family: [word_pairs(t) for t in listed] for family, listed in TEMPLATES.items()}
+# The word pairs of each template, and the share of them that confirms it: identifier lines must be whole.
+TEMPLATE_PAIRS = {
+    family: [(word_pairs(t), CONFIRM) for t in listed] + [(word_pairs(MARK + IDENTIFIERS[family]), 1.0) for _ in range(family in IDENTIFIERS)]
+    for family, listed in TEMPLATES.items()
+}
+_MARK_PAIRS = word_pairs(MARK)
 
 
 def resemblances(text: str) -> dict[str, float]:
     """For each family, the largest share of a template's word pairs that the text has."""
     own = word_pairs(text)
-    return {family: max(len(wanted & own) / len(wanted) for wanted in listed) for family, listed in TEMPLATE_PAIRS.items()}
+    return {family: max(len(wanted & own) / len(wanted) for wanted, _ in listed) for family, listed in TEMPLATE_PAIRS.items()}
 
 
-def confirmed(share: dict[str, float], ranked: list[str]) -> str | None:
+def confirmed(text: str, ranked: list[str]) -> str | None:
     """The family, of the likely ones, whose template stands in a text most fully, if enough of it does and no
-    other family's template stands there more fully. ``share`` are the text's resemblances."""
-    best = max(ranked, key=share.__getitem__)
-    return best if share[best] >= CONFIRM and share[best] >= max(share.values()) else None
+    other family's template stands there as fully. Of two that stand there alike, the one with more word pairs."""
+    own = word_pairs(text)
+    best: dict[str, tuple] = {}
+    for family, listed in TEMPLATE_PAIRS.items():
+        shares = [(len(wanted & own) / len(wanted), len(wanted)) for wanted, least in listed if len(wanted & own) >= least * len(wanted)]
+        if shares:
+            best[family] = max(shares)
+    top = max(best, key=best.__getitem__, default=None)
+    alike = [f for f in best if best[f] == best[top]] if top else []
+    return top if top in ranked and len(alike) == 1 else None
+
+
+def _unlike(text: str) -> bool:
+    """Whether a text resembles no template, nor an identifier line."""
+    return max(resemblances(text).values()) < 0.3 and not _MARK_PAIRS <= word_pairs(text)
 
 
 def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
@@ -157,19 +214,30 @@ def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
     return text.upper() if rng.random() < 0.1 else text
 
 
+def _sample_lines(docs: DataFrame, key: str, text: str, sample: int) -> list[str]:
+    """Lines with words of the ``sample`` documents of smallest hashed id, at most SAMPLE_LINES of at most LINE_BYTES.
+
+    The ids are chosen first, without their texts; the lines are cut, made distinct and chosen in tasks.
+    """
+    ids = docs.filter(F.col(text).isNotNull() & F.col(key).isNotNull()).select(F.col(key).alias("id"))
+    picked = ids.orderBy(F.xxhash64("id"), "id").limit(sample).distinct()
+    rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text")).join(F.broadcast(picked), "id")
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line")).filter((F.octet_length("line") <= LINE_BYTES) & F.col("line").rlike("[^\\s]"))
+    found = lines.distinct().orderBy(F.xxhash64("line"), "line").limit(SAMPLE_LINES).collect()
+    return sorted(r["line"] for r in found if word_list(r["line"]))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE_DOCS, seed: int = 13) -> LicenceModel:
-    """Learn from the templates and from the lines of ``sample`` documents, those of smallest hashed id."""
-    picked = docs.filter(F.col(text).isNotNull()).select(text, key).orderBy(F.xxhash64(key), key).limit(sample)
-    lines = sorted({line for row in picked.collect() for line in row[0].split("\n") if word_list(line)})
+    """Learn from the templates and from lines of ``sample`` documents; calibrate on all documents."""
+    lines = _sample_lines(docs, key, text, sample)
     rng = np.random.default_rng(seed)
-    listed = [t for ts in TEMPLATES.values() for t in ts]
-    lines = [lines[i] for i in rng.permutation(len(lines))[:8000]]
-    lines = [line for line in lines if max(resemblances(line).values()) < 0.3]
-    aside, lines = lines[::4], [line for k, line in enumerate(lines) if k % 4]
+    listed = {f: [*TEMPLATES[f], *[MARK + IDENTIFIERS[f] for _ in range(f in IDENTIFIERS)]] for f in TEMPLATES}
+    lines = [line for line in (lines[i] for i in rng.permutation(len(lines))) if _unlike(line)]
     filler = [w for line in lines[:500] for w in line.split()] or ["word"]
     families = [*sorted(TEMPLATES), NONE]
-    made = [(_altered(rng, t, filler), families.index(f)) for f in families[:-1] for t in TEMPLATES[f] for _ in range(COPIES)]
-    made += [(" ".join(rng.permutation(t.split())[: rng.integers(1, 5)]), len(families) - 1) for t in listed for _ in range(COPIES // 3)]
+    made = [(_altered(rng, t, filler), families.index(f)) for f in families[:-1] for t in listed[f] for _ in range(COPIES)]
+    scrambled = [t for ts in listed.values() for t in ts for _ in range(COPIES // 3)]
+    made += [(" ".join(rng.permutation(t.split())[: rng.integers(1, 5)]), len(families) - 1) for t in scrambled]
     made += [(line, len(families) - 1) for line in lines]
     block = [m[0].replace("\n", " ").encode() for m in made]
     data, at = np.frombuffer(b"".join(block), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in block])])
@@ -194,14 +262,51 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
         pace += step**2
         weights[known] -= (0.5 * step / np.sqrt(pace + 1e-12)).astype(np.float32)
         bias -= 2.0 * slope.sum(0)
-    least = 0.5
-    if aside:
-        block = [line.encode() for line in aside]
-        data, at = np.frombuffer(b"".join(block), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in block])])
-        slots, begin, end, *_ = windows(data, at)
-        best = np.sort(1 - probabilities(logits(slots, begin, end, weights, bias))[:, -1])
-        least = min(0.95, max(least, float(best[min(len(best) - 1, int(len(best) * (1 - FALSE_RATE)))])))
-    return LicenceModel(families, weights, bias, least)
+    model = LicenceModel(families, weights, bias, 0.5)
+    model.least = calibrated(docs, model, text)
+    return model
+
+
+def _scored(data: np.ndarray, at: np.ndarray, model: LicenceModel) -> Iterator[tuple]:
+    """(of the windows: text, first byte, last byte, probabilities; units of each text): by lines, then across lines."""
+    for across in (False, True):
+        slots, begin, end, starts, stops, of, units = windows(data, at, across)
+        p = probabilities(logits(slots, begin, end, model.weights, model.bias)) if len(begin) else np.zeros((0, len(model.families)))
+        yield (of[begin], starts[begin], stops[end - 1], p, units) if len(begin) else (*[np.zeros(0, np.int64)] * 3, p, units)
+
+
+def _log_odds(p: np.ndarray) -> np.ndarray:
+    """Log odds of any family against none."""
+    return np.log(np.maximum(p[:, :-1].sum(1), 1e-300)) - np.log(np.maximum(p[:, -1], 1e-300))
+
+
+def calibrated(docs: DataFrame, model: LicenceModel, text: str = "text") -> float:
+    """The least probability, one half at least, that at most FALSE_RATE of all windows without a template's look reach;
+    what a block of texts repeats counts once. One pass over all texts; tasks send counts by log odds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(BINS + 2, np.int64)  # all windows, those by log odds, those above
+        for _, data, at in texts.blocks(batches, "__text", max_rows=10_000):
+            if not len(data):
+                continue
+            raw, prefix = data.tobytes(), texts.prefix_hash(data)
+            for _, first, last, p, _ in _scored(data, at, model):
+                once = np.unique(texts.range_hash(prefix, first, last), return_index=True)[1]
+                first, last, p = first[once], last[once], p[once]
+                counts[0] += len(p)
+                odds = _log_odds(p)
+                for k in np.flatnonzero(odds >= 0):
+                    if _unlike(raw[first[k] : last[k]].decode("utf-8", "replace")):
+                        counts[1 + min(BINS, int(odds[k] * (BINS / 40)))] += 1
+                    else:
+                        counts[0] -= 1
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS + 2)), pa.array(counts)], ["bin", "n"])
+
+    sums = docs.select(F.col(text).alias("__text")).mapInArrow(run, "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n"))
+    found = {r["bin"]: r["n"] for r in sums.collect()}
+    passing = np.cumsum([found.get(k, 0) for k in range(BINS + 1, 0, -1)])[::-1]  # windows in a bin or above
+    low = int(np.argmax(passing <= FALSE_RATE * found.get(0, 0))) if (passing <= FALSE_RATE * found.get(0, 0)).any() else BINS + 1
+    return float(1 / (1 + np.exp(-low * 40 / BINS)))
 
 
 def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "text") -> DataFrame:
@@ -217,21 +322,18 @@ def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "tex
             licensed, unknown, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n)
             lines = np.zeros(n, np.int64)
             if len(data):
-                slots, begin, end, starts, stops, of, lines = windows(data, at)
-                if len(begin):
-                    p = probabilities(logits(slots, begin, end, model.weights, model.bias))
+                raw = data.tobytes()
+                for of, first, last, p, lines in _scored(data, at, model):
                     top = 1 - p[:, -1]
-                    np.maximum.at(score, of[begin], top)
-                    raw = data.tobytes()
+                    np.maximum.at(score, of, top)
                     for k in np.flatnonzero(top >= model.least):
-                        row, ranked = of[begin[k]], [model.families[f] for f in np.argsort(-p[k, :-1])[:LIKELY]]
-                        share = resemblances(raw[starts[begin[k]] : stops[end[k] - 1]].decode("utf-8", "replace"))
-                        family = confirmed(share, ranked)
+                        own = raw[first[k] : last[k]].decode("utf-8", "replace")
+                        family = confirmed(own, [model.families[f] for f in np.argsort(-p[k, :-1])[:LIKELY]])
                         if family:
-                            found[row].add(family)
-                            licensed[row] += 1
-                        elif any(share.values()):
-                            unknown[row] += 1
+                            found[of[k]].add(family)
+                            licensed[of[k]] += 1
+                        elif not _unlike(own):
+                            unknown[of[k]] += 1
             made = [pa.array(lines.astype(np.int64)), pa.array([sorted(f) for f in found], pa.list_(pa.string())), pa.array(licensed), pa.array(unknown), pa.array(score)]
             yield pa.RecordBatch.from_arrays([*part.columns[: len(keep)], *made], schema.names)
 

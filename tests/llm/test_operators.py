@@ -432,3 +432,52 @@ def test_encoder_forgets_and_goes_on():
     for low in range(0, len(some), 50):
         assert encode.many(some[low : low + 50]) == [encode.whole(t) for t in some[low : low + 50]]
     assert encode.many([]) == [] and encode.many([None, ""]) == [b"", b""]
+
+
+WRAPPED = {
+    "bsd-3-clause": "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are\nmet:",
+    "gpl-3.0": " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n"
+    " * the Free Software Foundation, either version 3 of the License, or\n * (at your option) any later version.",
+    "gpl-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the"
+    " Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+    "copyright notice and this permission notice appear in all copies.",
+    "mit": "// SPDX-License-Identifier: MIT\nint main() { return 0; }",
+}
+
+
+def test_wrapped_notices_and_identifiers(spark):
+    docs = corpus(spark)
+    rows = [(800 + i, t, "en", "s", 0) for i, t in enumerate(WRAPPED.values())]
+    rows += [(850, "SPDX-License-Identifier: Foo-2.0", "en", "s", 0), (851, None, "en", "s", 0), (852, " \n\n ", "en", "s", 0)]
+    whole = docs.unionByName(spark.createDataFrame(rows, docs.schema)).withColumnRenamed("score", "families")
+    model = licenses.fit(whole)
+    got = {r["doc_id"]: r for r in licenses.scan(whole, model, ["doc_id"]).collect()}
+    assert {f: got[800 + i]["families"] for i, f in enumerate(WRAPPED)} == {f: [f] for f in WRAPPED}
+    assert got[850]["families"] == [] and got[851]["n_paragraphs"] == got[852]["n_paragraphs"] == 0
+    assert all(got[i]["families"] == [] for i in range(120))
+
+
+def test_the_licence_threshold_by_brute_force(spark):
+    docs = corpus(spark).coalesce(1)  # one block of texts: what it repeats counts once
+    model = licenses.fit(docs)
+    odds = {}
+    for r in docs.collect():
+        data = (r["text"] or "").encode()
+        for way, (_, first, last, p, _) in enumerate(licenses._scored(np.frombuffer(data, np.uint8), np.array([0, len(data)]), model)):
+            for o, a, b in zip(licenses._log_odds(p), first, last):
+                if o < 0 or licenses._unlike(data[a:b].decode()):
+                    odds[way, data[a:b]] = o
+    least = math.log(model.least / (1 - model.least))
+    assert sum(o >= least for o in odds.values()) <= licenses.FALSE_RATE * len(odds)
+    assert least < 1e-9 or sum(o >= least - 40 / licenses.BINS for o in odds.values()) > licenses.FALSE_RATE * len(odds)
+
+
+def test_licences_of_no_documents(spark):
+    none = corpus(spark).limit(0)
+    assert licenses.scan(none, licenses.fit(none), ["doc_id"]).count() == 0
+
+
+def test_paragraphs_end_at_blank_lines():
+    data = np.frombuffer(b"a\nb\n \t\nc d\n\n\ne", np.uint8)
+    assert np.flatnonzero(licenses._blank_lines(data)).tolist() == [6, 11, 12]
