@@ -258,8 +258,8 @@ def _alike(sides: DataFrame, least: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
-    """The rows of ``docs``, with all their columns, of the first document of each component. Rows that share an id
-    leave one row; rows without an id stay. Columns may have any names."""
+    """The rows of ``docs``, with all their columns, of the first document of each component. Rows that share an id and
+    a text leave one row, and unlike texts of one id stay; rows without an id stay. Columns may have any names."""
     names = docs.columns
     plain = docs.toDF(*[f"c{k}" for k in range(len(names))])
     own = f"c{names.index(key)}"
@@ -267,5 +267,6 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) ->
     gone = found.filter(~F.col("kept")).select(F.col(key).alias(own)).distinct()
     left = plain.join(F.broadcast(gone) if fits_broadcast(gone) else gone, own, "left_anti")
     if not found.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
-        left = left.filter(F.col(own).isNotNull()).dropDuplicates([own]).unionByName(left.filter(F.col(own).isNull()))
+        again = [own, f"c{names.index(text)}"]
+        left = left.filter(F.col(own).isNotNull()).dropDuplicates(again).unionByName(left.filter(F.col(own).isNull()))
     return left.select(*plain.columns).toDF(*names)

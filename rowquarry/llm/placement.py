@@ -6,7 +6,8 @@ full. A key's slot is its hash modulo the table size, so placing a key is one lo
 every task; adding or removing a shard moves few keys besides its own.
 
 Defined results: a null key is placed like any key (all null keys share a slot); repeated keys share a shard; an
-empty table gives no rows; other columns pass through or are not looked at.
+empty table gives no rows; other columns pass through. A column of the user's that is called ``slot`` or ``shard`` is kept
+under that name with ``_given``.
 """
 
 from __future__ import annotations
@@ -17,6 +18,9 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rowquarry.functions.text import quoted
+from rowquarry.operators.clean import unique_names
+
 SLOTS = 65_537  # a prime; at most SLOTS entries are sent to each task
 SHARDS = tuple(f"shard-{i:03d}" for i in range(64))
 
@@ -62,13 +66,16 @@ def place(rows: DataFrame, key: str = "doc_id", shards: tuple[str, ...] = SHARDS
     spark = rows.sparkSession
     table = lookup_table(shards, slots)
     listed = spark.createDataFrame([(int(s), shards[k]) for s, k in enumerate(table)], "slot long, shard string")
-    placed = rows.drop("slot", "shard").withColumn("slot", slot_of(F.col(key), slots))
+    names = [f"{c}_given" if c.lower() in ("slot", "shard") else c for c in rows.columns]
+    own = names[rows.columns.index(key)]
+    placed = rows.toDF(*unique_names(names)).withColumn("slot", slot_of(quoted(own), slots))
     return placed.join(F.broadcast(listed), "slot")
 
 
 def write_shards(rows: DataFrame, path: str, key: str = "doc_id", files_per_shard: int = 4, **how) -> None:
-    """Write ``rows`` to one folder per shard. Each shard's rows are dealt over several tasks and files, whichever
-    keys they have."""
+    """Write ``rows`` to one folder per shard. Each shard's rows are dealt over several tasks and files by a hash of the
+    whole row, whichever keys they have, so a lost task deals them the same way again."""
     placed = place(rows, key, **how)
-    salted = placed.withColumn("__file", F.floor(F.rand(7) * files_per_shard))
+    whole = [F.xxhash64(F.to_json(F.struct(*[quoted(c) for c in placed.columns])))]
+    salted = placed.withColumn("__file", F.pmod(*whole, F.lit(files_per_shard)))
     salted.repartition("shard", "__file").drop("__file", "slot").write.partitionBy("shard").parquet(path)

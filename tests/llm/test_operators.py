@@ -481,3 +481,22 @@ def test_licences_of_no_documents(spark):
 def test_paragraphs_end_at_blank_lines():
     data = np.frombuffer(b"a\nb\n \t\nc d\n\n\ne", np.uint8)
     assert np.flatnonzero(licenses._blank_lines(data)).tolist() == [6, 11, 12]
+
+
+def test_placement_keeps_the_users_columns(spark, tmp_path):
+    rows = spark.createDataFrame([(i, "mine", f"s{i}") for i in range(400)] + [(None, "mine", "x")], "doc_id long, shard string, Slot string")
+    placed = placement.place(rows)
+    assert sorted(placed.columns) == ["Slot_given", "doc_id", "shard", "shard_given", "slot"]
+    assert placed.filter("shard_given = 'mine'").count() == 401 and placed.filter("Slot_given = 's7' and doc_id = 7").count() == 1
+    assert placement.place(rows.limit(0)).count() == 0
+    path = str(tmp_path / "shards")
+    placement.write_shards(rows, path, files_per_shard=3)
+    back = spark.read.parquet(path)
+    assert sorted(back.select("doc_id", "shard_given").collect(), key=str) == sorted(placed.select("doc_id", "shard_given").collect(), key=str)
+    where = dict(placed.select("doc_id", "shard").collect())
+    assert all(where[r["doc_id"]] == r["shard"] for r in back.collect())
+
+
+def test_unlike_texts_of_one_id_stay(spark):
+    docs = spark.createDataFrame([(1, BASE), (1, BASE), (1, "quite another text of its own"), (2, "third " * 9)], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.keep_one(docs).collect())) == sorted({(1, BASE), (1, "quite another text of its own"), (2, "third " * 9)})
