@@ -96,17 +96,44 @@ class LicenceModel:
     least: float
 
 
-def word_list(text: str) -> list[str]:
-    return re.findall(r"[a-z0-9\x80-\U0010ffff]+", text.translate({c: c + 32 for c in range(65, 91)}))
+_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
+_WORD = re.compile(rb"[a-z0-9\x80-\xff]+")
 
 
-def windows(data: np.ndarray, offsets: np.ndarray, across: bool = False) -> tuple[np.ndarray, ...]:
-    """(n-gram slots, window starts, window stops, first byte, last byte, text of each word, units per text).
+def word_list(text: str | bytes) -> list[bytes]:
+    return _WORD.findall((text.encode() if isinstance(text, str) else text).translate(_LOWER))
 
-    Units are lines; with ``across`` they are paragraphs, and only those of several lines have windows. Word k owns the
-    n-grams that end with it, within its unit; windows are ranges of words."""
+
+@dataclass
+class Words:
+    """The words of a block of texts and the windows over them. Word k owns the n-grams that end with it, within its
+    paragraph; windows are ranges of words, first those of every line, then those of the paragraphs of several lines."""
+
+    slots: np.ndarray  # of the 1-, 2- and 3-grams of each word; -1 for none
+    starts: np.ndarray  # first byte of each word
+    stops: np.ndarray
+    of: np.ndarray  # text of each word
+    by_line: tuple[np.ndarray, np.ndarray, np.ndarray]  # begin, end, whether the window begins a line
+    across: tuple[np.ndarray, np.ndarray]
+    paragraphs: np.ndarray  # of each text
+
+
+def _cut(first: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Overlapping windows over units of words."""
+    parts = np.maximum(1, -(-(length - WINDOW) // STEP) + 1)
+    begin = np.repeat(first, parts) + STEP * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    return begin, np.minimum(begin + WINDOW, np.repeat(first + length, parts))
+
+
+def _units(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First word and number of words of every run of equal numbers."""
+    first = np.flatnonzero(np.concatenate([[True], unit[1:] != unit[:-1]])) if len(unit) else np.zeros(0, np.int64)
+    return first, np.diff(np.append(first, len(unit)))
+
+
+def words_and_windows(data: np.ndarray, offsets: np.ndarray) -> Words:
     data = texts.LOWER[data]
-    n, texts_n = len(data), len(offsets) - 1
+    n = len(data)
     inside = _IS_WORD[data]
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -116,30 +143,25 @@ def windows(data: np.ndarray, offsets: np.ndarray, across: bool = False) -> tupl
     starts, stops = np.flatnonzero(starts), np.flatnonzero(stops) + 1
     of = texts.owner(offsets, starts)
     line = np.concatenate([[0], np.cumsum(data == 0x0A)])[starts] + of  # a text's end ends a line too
-    unit_lines = line
-    if across:
-        line = np.concatenate([[0], np.cumsum(_blank_lines(data))])[starts] + of
+    paragraph = np.concatenate([[0], np.cumsum(_blank_lines(data))])[starts] + of
     word = texts.range_hash(texts.prefix_hash(data), starts, stops)
     slots = np.full((len(word), 3), -1, np.int64)
-    gram = np.zeros(len(word), np.uint64)
     for size in (1, 2, 3):
         if len(word) >= size:
             whole = np.arange(size - 1, len(word))
-            whole = whole[line[whole] == line[whole - size + 1]]
+            whole = whole[paragraph[whole] == paragraph[whole - size + 1]]
             gram = np.zeros(len(whole), np.uint64)
             for k in range(size - 1, -1, -1):
                 gram = gram * np.uint64(0x9E3779B97F4A7C15) + word[whole - k]
             slots[whole, size - 1] = (texts.mixed(gram + np.uint64(size)) >> np.uint64(49)).astype(np.int64)
-    first = np.flatnonzero(np.concatenate([[True], line[1:] != line[:-1]])) if len(word) else np.zeros(0, np.int64)
-    lines = np.bincount(of[first], minlength=texts_n)
-    length = np.diff(np.append(first, len(word)))
-    if across and len(first):
-        several = unit_lines[first] != unit_lines[first + length - 1]
-        first, length = first[several], length[several]
-    parts = np.maximum(1, -(-(length - WINDOW) // STEP) + 1)
-    begin = np.repeat(first, parts) + STEP * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    end = np.minimum(begin + WINDOW, np.repeat(first + length, parts))
-    return slots, begin, end, starts, stops, of, lines
+    first, length = _units(line)
+    begin, end = _cut(first, length)
+    begins_line = np.zeros(len(word) + 1, bool)
+    begins_line[first] = True
+    units, sizes = _units(paragraph)
+    several = line[units] != line[units + sizes - 1] if len(units) else np.zeros(0, bool)
+    paragraphs = np.bincount(of[units], minlength=len(offsets) - 1)
+    return Words(slots, starts, stops, of, (begin, end, begins_line[begin]), _cut(units[several], sizes[several]), paragraphs)
 
 
 def _blank_lines(data: np.ndarray) -> np.ndarray:
@@ -151,14 +173,25 @@ def _blank_lines(data: np.ndarray) -> np.ndarray:
     return blank
 
 
-def logits(slots: np.ndarray, begin: np.ndarray, end: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
-    """Class scores of windows: the mean-scaled sum of their n-grams' weights."""
-    total = np.zeros((len(slots) + 1, weights.shape[1]), np.float32)
+def sums(slots: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(running sums of the words' n-gram weights, the weights with a row of zeros at the end)."""
     padded = np.concatenate([weights, np.zeros((1, weights.shape[1]), np.float32)])
+    total = np.zeros((len(slots) + 1, weights.shape[1]), np.float64)
     for size in range(3):
         total[1:] += padded[slots[:, size]]
-    total = np.cumsum(total, axis=0, dtype=np.float64)
-    return (total[end] - total[begin]) / np.sqrt(np.maximum(1, 3 * (end - begin)))[:, None] + bias
+    return np.cumsum(total, axis=0, out=total), padded
+
+
+def logits(total: np.ndarray, begin: np.ndarray, end: np.ndarray, bias: np.ndarray, minus: np.ndarray | float = 0.0) -> np.ndarray:
+    """Class scores of windows: the scaled sum of their n-grams' weights."""
+    return (total[end] - total[begin] - minus) / np.sqrt(np.maximum(1, 3 * (end - begin)))[:, None] + bias
+
+
+def over_breaks(slots: np.ndarray, padded: np.ndarray, begin: np.ndarray, end: np.ndarray, begins_line: np.ndarray) -> np.ndarray:
+    """Weights of the n-grams of windows that begin a line which reach back over the line break."""
+    second = np.where(end - begin > 1, begin + 1, begin)
+    minus = padded[slots[begin, 1]] + padded[slots[begin, 2]] + padded[np.where(end - begin > 1, slots[second, 2], -1)]
+    return np.where(begins_line[:, None], minus, np.float32(0))
 
 
 def probabilities(scores: np.ndarray) -> np.ndarray:
@@ -166,42 +199,47 @@ def probabilities(scores: np.ndarray) -> np.ndarray:
     return scores / scores.sum(1, keepdims=True)
 
 
-def word_pairs(text: str) -> set[tuple[str, str]]:
+def word_pairs(text: str | bytes) -> set[tuple[bytes, bytes]]:
     words = word_list(text)
     return set(zip(words, words[1:]))
 
 
-# The word pairs of each template, and the share of them that confirms it: identifier lines must be whole.
-TEMPLATE_PAIRS = {
-    family: [(word_pairs(t), CONFIRM) for t in listed] + [(word_pairs(MARK + IDENTIFIERS[family]), 1.0) for _ in range(family in IDENTIFIERS)]
-    for family, listed in TEMPLATES.items()
-}
+# Every template: its family, its number of word pairs, and the share of them that confirms it. Identifier lines must be whole.
+_LISTED = [(family, word_pairs(t), CONFIRM) for family, listed in TEMPLATES.items() for t in listed]
+_LISTED += [(family, word_pairs(MARK + name), 1.0) for family, name in IDENTIFIERS.items()]
+_OF_PAIR: dict[tuple[bytes, bytes], list[int]] = {}
+for _k, (_, _pairs, _) in enumerate(_LISTED):
+    for _pair in _pairs:
+        _OF_PAIR.setdefault(_pair, []).append(_k)
 _MARK_PAIRS = word_pairs(MARK)
 
 
-def resemblances(text: str) -> dict[str, float]:
-    """For each family, the largest share of a template's word pairs that the text has."""
-    own = word_pairs(text)
-    return {family: max(len(wanted & own) / len(wanted) for wanted, _ in listed) for family, listed in TEMPLATE_PAIRS.items()}
+def _shared(own: set[tuple[bytes, bytes]]) -> dict[int, int]:
+    """How many word pairs of each template a text has, for the templates of which it has any."""
+    found: dict[int, int] = {}
+    for pair in own.intersection(_OF_PAIR):
+        for k in _OF_PAIR[pair]:
+            found[k] = found.get(k, 0) + 1
+    return found
 
 
-def confirmed(text: str, ranked: list[str]) -> str | None:
+def confirmed(text: str | bytes, ranked: list[str]) -> str | None:
     """The family, of the likely ones, whose template stands in a text most fully, if enough of it does and no
     other family's template stands there as fully. Of two that stand there alike, the one with more word pairs."""
-    own = word_pairs(text)
     best: dict[str, tuple] = {}
-    for family, listed in TEMPLATE_PAIRS.items():
-        shares = [(len(wanted & own) / len(wanted), len(wanted)) for wanted, least in listed if len(wanted & own) >= least * len(wanted)]
-        if shares:
-            best[family] = max(shares)
+    for k, n in _shared(word_pairs(text)).items():
+        family, pairs, least = _LISTED[k]
+        if n >= least * len(pairs):
+            best[family] = max(best.get(family, (0.0, 0)), (n / len(pairs), len(pairs)))
     top = max(best, key=best.__getitem__, default=None)
     alike = [f for f in best if best[f] == best[top]] if top else []
     return top if top in ranked and len(alike) == 1 else None
 
 
-def _unlike(text: str) -> bool:
-    """Whether a text resembles no template, nor an identifier line."""
-    return max(resemblances(text).values()) < 0.3 and not _MARK_PAIRS <= word_pairs(text)
+def _unlike(text: str | bytes) -> bool:
+    """Whether a text has less than three tenths of every template, and is no identifier line."""
+    own = word_pairs(text)
+    return all(n < 0.3 * len(_LISTED[k][1]) for k, n in _shared(own).items()) and not _MARK_PAIRS <= own
 
 
 def _altered(rng: np.random.Generator, template: str, filler: list[str]) -> str:
@@ -241,8 +279,9 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     made += [(line, len(families) - 1) for line in lines]
     block = [m[0].replace("\n", " ").encode() for m in made]
     data, at = np.frombuffer(b"".join(block), np.uint8), np.concatenate([[0], np.cumsum([len(b) for b in block])])
-    slots, begin, end, _, _, of, _ = windows(data, at)
-    y = np.array([m[1] for m in made])[of[begin]]
+    read = words_and_windows(data, at)
+    slots, (begin, end, _) = read.slots, read.by_line
+    y = np.array([m[1] for m in made])[read.of[begin]]
     row = np.repeat(np.arange(len(begin)), end - begin)
     places = np.concatenate([np.arange(a, b) for a, b in zip(begin, end)])
     scale = 1 / np.sqrt(3 * (end - begin))
@@ -256,7 +295,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
     target, share = np.eye(len(families))[y], 1 / np.bincount(y, minlength=len(families)).clip(1)[y]
     pace = np.zeros((len(known), len(families)))
     for _ in range(60):
-        p = probabilities(logits(slots, begin, end, weights, bias))
+        p = probabilities(logits(sums(slots, weights)[0], begin, end, bias))
         slope = (p - target) * (share / share.mean() / len(y))[:, None]
         step = np.add.reduceat((slope * scale[:, None])[of_row], cut) + 1e-6 * weights[known]
         pace += step**2
@@ -268,11 +307,16 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 
 
 def _scored(data: np.ndarray, at: np.ndarray, model: LicenceModel) -> Iterator[tuple]:
-    """(of the windows: text, first byte, last byte, probabilities; units of each text): by lines, then across lines."""
-    for across in (False, True):
-        slots, begin, end, starts, stops, of, units = windows(data, at, across)
-        p = probabilities(logits(slots, begin, end, model.weights, model.bias)) if len(begin) else np.zeros((0, len(model.families)))
-        yield (of[begin], starts[begin], stops[end - 1], p, units) if len(begin) else (*[np.zeros(0, np.int64)] * 3, p, units)
+    """(of the windows: text, first byte, last byte, probabilities; paragraphs of each text): by lines, then across lines."""
+    read = words_and_windows(data, at)
+    total, padded = sums(read.slots, model.weights)
+    begin, end, begins_line = read.by_line
+    if len(begin):
+        for some, stop, minus in ((begin, end, over_breaks(read.slots, padded, begin, end, begins_line)), (*read.across, 0.0)):
+            p = probabilities(logits(total, some, stop, model.bias, minus)) if len(some) else np.zeros((0, len(model.families)))
+            yield read.of[some], read.starts[some], read.stops[stop - 1], p, read.paragraphs
+    else:
+        yield *[np.zeros(0, np.int64)] * 3, np.zeros((0, len(model.families))), read.paragraphs
 
 
 def _log_odds(p: np.ndarray) -> np.ndarray:
@@ -296,7 +340,7 @@ def calibrated(docs: DataFrame, model: LicenceModel, text: str = "text") -> floa
                 counts[0] += len(p)
                 odds = _log_odds(p)
                 for k in np.flatnonzero(odds >= 0):
-                    if _unlike(raw[first[k] : last[k]].decode("utf-8", "replace")):
+                    if _unlike(raw[first[k] : last[k]]):
                         counts[1 + min(BINS, int(odds[k] * (BINS / 40)))] += 1
                     else:
                         counts[0] -= 1
@@ -327,7 +371,7 @@ def scan(docs: DataFrame, model: LicenceModel, keep: list[str], text: str = "tex
                     top = 1 - p[:, -1]
                     np.maximum.at(score, of, top)
                     for k in np.flatnonzero(top >= model.least):
-                        own = raw[first[k] : last[k]].decode("utf-8", "replace")
+                        own = raw[first[k] : last[k]]
                         family = confirmed(own, [model.families[f] for f in np.argsort(-p[k, :-1])[:LIKELY]])
                         if family:
                             found[of[k]].add(family)
