@@ -61,7 +61,7 @@ def _publish(spark: SparkSession, path: str, earlier: list, docs: DataFrame, id_
     size = stored.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
 
     def write_postings() -> None:
-        post = bm25.postings(bm25.tokenised(stored, partitions=max(1, -(-size["bytes"] // FILE_BYTES))))
+        post = bm25.postings(bm25.tokenised(stored, partitions=max(spark.sparkContext.defaultParallelism, -(-size["bytes"] // FILE_BYTES))))
         placed = post.select("term", "doc_id", "tf", "dl").sortWithinPartitions("term", "doc_id")
         placed.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{folder}/postings")
 
