@@ -22,6 +22,7 @@ from rowquarry.session import fits_broadcast
 
 # Question weights that are sent to every task at once.
 QUESTION_BLOCK_BYTES = 32 * 1024 * 1024
+TASK_BYTES = 16 << 20  # of text whose words one task counts
 
 
 @dataclass(frozen=True)
@@ -33,13 +34,21 @@ class KeywordIndex:
     by_file: bool = False  # postings name their ``file``, which holds all of a document's and is read by one task
 
 
+def text_parts(docs: DataFrame, text_col: str = "text") -> int | None:
+    """In how many parts a corpus is dealt, so that a task's words take the same memory whatever its size; None if it is
+    one task's. Runs one job that adds up the lengths."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length(text_col)), F.lit(0))).first()[0]
+    return max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // TASK_BYTES)) if size > TASK_BYTES else None
+
+
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", partitions: int | None = None) -> DataFrame:
-    """``(doc_id, tokens)`` hash-partitioned on ``doc_id``, in exactly ``partitions`` parts if given.
+    """``(doc_id, tokens)`` hash-partitioned on ``doc_id``, in exactly ``partitions`` parts if given, else by ``text_parts``.
 
     This is the only full-corpus shuffle: counting terms per document and scoring per
     (question, document) both group on ``doc_id`` and so stay inside the partition. The raw
     text travels, not the tokens: token arrays are several times larger.
     """
+    partitions = partitions or text_parts(docs, text_col)
     placed = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     placed = placed.repartition(partitions, "doc_id") if partitions else placed.repartition("doc_id")
     return placed.select("doc_id", tokenise(F.col("text")).alias("tokens"))
@@ -81,7 +90,7 @@ def term_stats(post: DataFrame, stats: DataFrame) -> DataFrame:
 
 
 def index_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> KeywordIndex:
-    """Lazy index of a corpus; see ``sources.index_io`` for the written form."""
+    """Index of a corpus, lazy but for the job that measures its text; see ``sources.index_io`` for the written form."""
     tokens = tokenised(docs, id_col, text_col)
     return KeywordIndex(postings(tokens), corpus_stats(tokens), None, by_document=True)
 

@@ -27,7 +27,7 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Signed feature hashing of the tokens, L2-normalised: ``(doc_id, vec)``.
 
     The default encoder, needing no model. A text without tokens gets the zero vector.
-    Everything after the placing shuffle groups on ``doc_id`` and stays in its partition.
+    Everything after the placing shuffle groups on ``doc_id`` and stays in its partition. Runs one job that measures the text.
     """
     tokens = tokenised(docs, id_col, text_col)
     return embed_postings(tokens, postings(tokens), dimensions)

@@ -4,7 +4,7 @@ from collections import Counter
 
 import pytest
 
-from rowquarry.operators import bm25
+from rowquarry.operators import bm25, dense
 
 DOCS = [(0, "red apple red"), (1, "green apple"), (2, "")]
 
@@ -78,3 +78,15 @@ def test_agrees_with_plain_python_at_any_partitioning(spark, partitions):
         assert [small[query_id, i + 1][0] for i in range(len(best))] == [d for d, _ in best]
         assert [small[query_id, i + 1][1] for i in range(len(best))] == pytest.approx([s for _, s in best])
         assert (query_id, len(best) + 1) not in small
+
+
+def test_a_task_counts_the_words_of_a_bounded_text(spark, monkeypatch):
+    docs = frame(spark, [(i, f"w{i % 9} apple " * 20) for i in range(400)])
+    asked = frame(spark, [(1, "w3 apple"), (2, "w5")], "query_id")
+    size = sum(len(r["text"]) for r in docs.collect())
+    want = ranked(bm25.search(bm25.index_documents(docs), asked)), sorted(map(tuple, dense.hash_embed(docs).collect()))
+    monkeypatch.setattr(bm25, "TASK_BYTES", 4000)
+    index = bm25.index_documents(docs)
+    for counted in (index.postings, dense.hash_embed(docs)):
+        assert counted.rdd.getNumPartitions() == -(-size // 4000) > 16
+    assert (ranked(bm25.search(index, asked)), sorted(map(tuple, dense.hash_embed(docs).collect()))) == want
