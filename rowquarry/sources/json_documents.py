@@ -1,6 +1,7 @@
 """JSON documents of any size as rows of JSON text: the items of a list, or of several equal lists, in many tasks.
 
-A document is read in pieces that end at a closing brace. Whether a piece begins inside a string and how deep it is nested
+A list is read in pieces that end at a closing brace, an object in pieces that end at a comma, as its lists may hold no
+brace at all; so a piece is a part of one item. Whether a piece begins inside a string and how deep it is nested
 follows from the pieces before it; see ``splits``. Items are what lies between the commas of the wanted lists. A document
 whose first sign is ``[`` is a list itself; the lists of one that begins with ``{`` are its members.
 """
@@ -11,7 +12,7 @@ import json
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,22 @@ def marks(data: np.ndarray, inside: bool) -> tuple[np.ndarray, np.ndarray, np.nd
     return outside, step, quote, bool(within[-1]) if len(data) else inside
 
 
-def _piece_bytes(text: pa.Array) -> np.ndarray:
+def _piece_bytes(text: pa.Array, end: str) -> np.ndarray:
     large = text.cast(pa.large_string())
-    return buffers(pc.binary_join_element_wise(large, pa.scalar("", pa.large_string()), pa.scalar("}", pa.large_string())))[0]
+    return buffers(pc.binary_join_element_wise(large, pa.scalar("", pa.large_string()), pa.scalar(end, pa.large_string())))[0]
 
 
-def _balance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def pieces(spark: SparkSession, files: dict[str, list[str]]) -> tuple[DataFrame, str]:
+    """(file, split, size, n_bytes, text) of the documents' pieces, and the sign that ends each. A job reads the first sign."""
+    by_comma = chunks(spark, files, ",").select("file", "split", "size", "n_bytes", "text")
+    first = F.substring(F.btrim("text", F.lit(" \t\r\n\ufeff")), 1, 1)
+    sign = by_comma.select(first.alias("sign")).filter("sign <> ''").head()
+    if sign and sign["sign"] == "{":
+        return by_comma, ","
+    return chunks(spark, files, "}").select(*by_comma.columns), "}"
+
+
+def _balance(batches: Iterator[pa.RecordBatch], end: str) -> Iterator[pa.RecordBatch]:
     """What each split does: whether it flips being inside a string, and how it changes the depth either way."""
     own, held = None, None
 
@@ -68,7 +79,7 @@ def _balance(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = part.column(4)
         if not held[2]:
             held[2] = next((t.lstrip("﻿ \t\r\n")[:1] for t in text.to_pylist() if t.strip("﻿ \t\r\n")), "")
-        data = _piece_bytes(text)
+        data = _piece_bytes(text, end)
         for k in (0, 1):
             _, step, _, held[0][k] = marks(data, held[0][k])
             held[1][k] += int(step.sum(dtype=np.int64))
@@ -96,7 +107,7 @@ class Entry:
     at: int = 0  # items of the current one before this split's first
 
 
-def _entries(rows: list) -> tuple[dict[tuple[str, int], Entry], str]:
+def _entries(rows: list, end: str) -> tuple[dict[tuple[str, int], Entry], str]:
     """The state of each split, and the sign all documents begin with. An error if one does not end where its file does."""
     entries: dict[tuple[str, int], Entry] = {}
     firsts, by_file = set(), defaultdict(list)
@@ -109,9 +120,9 @@ def _entries(rows: list) -> tuple[dict[tuple[str, int], Entry], str]:
             entries[file, r["split"]] = Entry(inside, depth, LIST if first == "[" and depth else OUTSIDE)
             depth += r["inside"] if inside else r["outside"]
             inside ^= r["flips"]
-        # The last piece of a file that ends with another sign was given a brace of its own; a byte order mark is not read.
+        # The last piece of a file that ends with another sign was given one of its own; a byte order mark is not read.
         added = (sum(r["n_bytes"] for r in parts) - parts[0]["size"]) % 3 in (1, 2)
-        if inside or depth != (-1 if added else 0):
+        if inside or depth != (-1 if added and end == "}" else 0) or (end == "," and not added):
             raise ValueError("the document is not complete")
         firsts.add(first)
     if len(firsts) != 1 or not firsts <= {"[", "{"}:
@@ -200,7 +211,7 @@ class _Split:
             yield self.rows([0], [self.changed], [self.kind], [self.opened], [self.at], pa.array([""], pa.string()))
 
 
-def _cut(entries: dict[tuple[str, int], Entry], depth: int, want: str):
+def _cut(entries: dict[tuple[str, int], Entry], depth: int, want: str, end: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         split = None
         for key, new, part in by_split(batches):
@@ -208,7 +219,7 @@ def _cut(entries: dict[tuple[str, int], Entry], depth: int, want: str):
                 if split is not None:
                     yield from split.end()
                 split = _Split(key, entries[key], depth, want)
-            yield from split.add(_piece_bytes(part.column(4)))
+            yield from split.add(_piece_bytes(part.column(4), end))
         if split is not None:
             yield from split.end()
 
@@ -242,8 +253,9 @@ def _members(outside: list[str]) -> list[Member]:
     """The members of a document from the texts outside of its lists and objects, in order."""
     found: dict[str, Member] = {}
     for number, text in enumerate(outside, 1):
-        body = text.strip("\ufeff \t\r\n").removeprefix("{").strip().removeprefix(",").strip()
         final = number == len(outside)
+        text = text.removesuffix(",") if final else text  # the sign that the last piece was given
+        body = text.strip("\ufeff \t\r\n").removeprefix("{").strip().removeprefix(",").strip()
         body = body.rstrip("} \t\r\n") if final else body + ("]" if body.endswith("[") else "}")
         pairs = json.loads("{" + body + "}", object_pairs_hook=list)
         for key, value in pairs[: None if final else -1]:
@@ -256,16 +268,16 @@ def _members(outside: list[str]) -> list[Member]:
 def documents(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame | None:
     """(file, split, place, text) of the records of JSON documents, stored; None if they are objects without a list.
 
-    Runs a job for each split's state, for objects one more that counts their lists, one for what lies outside of lists or
+    Runs a job for the first sign and one for each split's state, for objects one more that counts their lists, one for what lies outside of lists or
     over the ends of splits, and the one that stores the records. ValueError if the documents hold no records.
     """
-    pieces = chunks(spark, files, "}").select("file", "split", "size", "n_bytes", "text")
-    entries, sign = _entries(pieces.mapInArrow(_balance, _BALANCE_SQL).collect())  # a row a split
+    parts, end = pieces(spark, files)
+    entries, sign = _entries(parts.mapInArrow(partial(_balance, end=end), _BALANCE_SQL).collect(), end)  # a row a split
     depth = 1 if sign == "[" else 2
     if depth == 2:
-        entries = _numbered(entries, pieces.mapInArrow(_cut(entries, 2, "counts"), ITEMS).collect())  # a row a split
-    ends = materialise(joined_fragments(pieces.mapInArrow(_cut(entries, depth, "ends"), ITEMS), ""), "json-ends")
-    items = pieces.mapInArrow(_cut(entries, depth, "items"), ITEMS).drop("opens")
+        entries = _numbered(entries, parts.mapInArrow(_cut(entries, 2, "counts", end), ITEMS).collect())  # a row a split
+    ends = materialise(joined_fragments(parts.mapInArrow(_cut(entries, depth, "ends", end), ITEMS), ""), "json-ends")
+    items = parts.mapInArrow(_cut(entries, depth, "items", end), ITEMS).drop("opens")
     items = items.unionByName(ends.filter((F.col("kind") == LIST) & ~_ends_empty(F.col("text"))))
     if depth == 2:
         in_order = F.transform(F.array_sort(F.collect_list(F.struct("split", "place", "text"))), lambda x: x["text"])

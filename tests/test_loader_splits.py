@@ -8,7 +8,7 @@ import random
 import pytest
 
 from rowquarry.operators.rows import ROW_ID, number_rows
-from rowquarry.sources import files, json_records, quoted_lines
+from rowquarry.sources import files, json_documents, json_records, quoted_lines
 from rowquarry.sources.splits import chunks
 
 SPLIT = {"spark.sql.files.maxPartitionBytes": "83", "spark.sql.files.openCostInBytes": "1", "spark.sql.files.minPartitionNum": "1"}
@@ -140,6 +140,18 @@ def test_wrapped_records_over_many_splits(spark, tmp_path, tiny_splits):
     assert values(load(spark, tmp_path)[0]["w"]) == flat(rows)
 
 
+@pytest.mark.parametrize("encoding", ["utf-8", "utf-16-le"])
+def test_long_lists_without_a_brace_are_read_in_small_pieces(spark, tmp_path, tiny_splits, encoding):
+    lists = {"k": list(range(300)), "t": [f"a,b {i}" for i in range(300)], "n": "x,]", "f": [i / 2 for i in range(300)]}
+    body = json.dumps(lists)
+    write(tmp_path, {"l.json": (b"\xff\xfe" if encoding != "utf-8" else b"") + body.encode(encoding), "comma.json": body + ",", "open.json": body[:-1]})
+    parts, _ = json_documents.pieces(spark, {encoding: [str(tmp_path / "l.json")]})
+    assert max(len(r["text"]) for r in parts.collect()) < 40
+    tables, manifest = load(spark, tmp_path)
+    assert [k for k, r in manifest.items() if r["errors"]] == ["comma", "open"]
+    assert values(tables["l"]) == [(i, f"a,b {i}", "x,]", i / 2) for i in range(300)]
+
+
 def test_keys_in_any_case_and_order_of_appearance(spark, tmp_path, tiny_splits):
     lines = [{"b": 1, "A": 2, "a": "x"}, {"a": "y", "u": {"K": 1, "k": None}}, {"zz": 1, "u": {"k": 2.5}, "B": True}, {"b": 2, "early": [1, "2"]}]
     write(tmp_path, {"l.jsonl": "\n".join(map(json.dumps, lines)) + "\n", "a.json": json.dumps(lines)})
