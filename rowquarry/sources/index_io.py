@@ -19,10 +19,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowquarry.operators import bm25, dense
-from rowquarry.session import delete_path, list_names, side_by_side
+from rowquarry.session import BROADCAST_MAX_BYTES, delete_path, list_names, side_by_side
 
 FILE_BYTES = 16 << 20  # of text whose postings make one file
 ROW_GROUP_BYTES = 1 << 30  # more than such a file holds, so that it is one row group and is never split
+REPLACED_BYTES = 32  # that an id takes where it is sent to every task
 SEGMENT = "ord int, segment string, n long, total long, n_replaced long"
 
 
@@ -90,12 +91,14 @@ def _publish(spark: SparkSession, path: str, earlier: list, docs: DataFrame, id_
 
 
 def open_index(spark: SparkSession, path: str, version: int | None = None) -> RetrievalIndex:
-    """A written index, by default its newest version; nothing is scanned until it is asked."""
+    """A written index, by default its newest version; nothing is scanned until it is asked. Ids that were replaced are sent
+    to every task while they fit, so that the others' postings are searched where they lie; else both are shuffled."""
     found = _versions(spark, path)
     if version is None and not found:
         raise ValueError(f"no index at {path}")
     segments = _segments(spark, path, found[-1] if version is None else version)
     gone = [(s["ord"], spark.read.parquet(f"{path}/segments/{s['segment']}/replaced")) for s in segments if s["n_replaced"]]
+    few = sum(s["n_replaced"] for s in segments) * REPLACED_BYTES <= BROADCAST_MAX_BYTES
 
     def live(table: str) -> DataFrame:
         parts = []
@@ -104,7 +107,10 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Re
             if table == "postings":
                 part = part.select("*", F.col("_metadata.file_path").alias("file"))
             later = [ids for ord_, ids in gone if ord_ > s["ord"]]
-            parts.append(part.join(reduce(DataFrame.union, later).distinct(), "doc_id", "left_anti") if later else part)
+            if later:
+                ids = reduce(DataFrame.union, later).distinct()
+                part = part.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti")
+            parts.append(part)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
     postings, docs = live("postings"), live("docs")
@@ -116,7 +122,7 @@ def open_index(spark: SparkSession, path: str, version: int | None = None) -> Re
         parts = [spark.read.parquet(f"{path}/segments/{s['segment']}/terms") for s in segments]
         counted = reduce(DataFrame.union, parts).groupBy("term").agg(F.sum("df").alias("df")) if len(parts) > 1 else parts[0]
         terms = counted.select("term", "df", bm25.inverse_frequency(F.lit(n), F.col("df")).alias("idf"))
-    return RetrievalIndex(docs, bm25.KeywordIndex(postings, stats, terms, by_file=not gone), live("vectors"))
+    return RetrievalIndex(docs, bm25.KeywordIndex(postings, stats, terms, by_file=not gone or few), live("vectors"))
 
 
 def prune_versions(spark: SparkSession, path: str, keep: int = 1) -> None:

@@ -109,6 +109,18 @@ def test_a_written_index_is_searched_where_it_lies(spark, tmp_path, asked, monke
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_replaced_ids_move_no_postings(spark, tmp_path, asked, monkeypatch):
+    path = str(tmp_path / "i")
+    index_io.write_index(made(spark, 0, 200), path)
+    index_io.append_index(made(spark, 50, 90, "fresh"), path)
+    index_io.append_index(made(spark, 80, 120, "fresh words"), path)
+    index = index_io.open_index(spark, path)
+    assert index.keyword.by_file
+    monkeypatch.setattr(index_io, "BROADCAST_MAX_BYTES", 0)
+    many = index_io.open_index(spark, path)
+    assert not many.keyword.by_file and best(many, asked) == best(index, asked)
+
+
 def test_bounds_leave_out_only_what_cannot_enter():
     rng = np.random.default_rng(3)
     n_terms, n_questions, k = 12, 9, 4
