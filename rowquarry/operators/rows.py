@@ -65,13 +65,16 @@ def number_rows(df: DataFrame, order_by: list[str | Column], hidden: tuple[str,
     if taken := [c for c in df.columns if is_technical(c)]:
         raise ValueError(f"rename the columns {taken}: a numbered table has its own of these names")
     plain = [name_sql(c) for c in df.columns if c not in hidden]
-    if all(isinstance(c, str) for c in order_by):
+    if all(isinstance(c, str) and c not in hidden for c in order_by):
+        keyed, keys = df.selectExpr(*plain), []  # a row travels once, without copies of its key
+    elif all(isinstance(c, str) for c in order_by):
         keyed = df.selectExpr(*plain, *[f"{name_sql(c)} AS {k}" for c, k in zip(order_by, keys)])
     else:
         keyed = df.select(*[F.expr(c) for c in plain], *[o.alias(k) for o, k in zip(order, keys)])
+    by = keys or order
     placed = (
-        keyed.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
+        keyed.repartitionByRange(*by)
+        .sortWithinPartitions(*by)
         .withColumn(_PART, F.spark_partition_id())
         .withColumn(_AT, F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
         .drop(*keys)

@@ -14,6 +14,14 @@ def numbered(spark, n, columns=4):
     return rows.number_rows(data, ["c0"])
 
 
+def test_rows_travel_without_copies_of_their_key(spark, monkeypatch):
+    plans, write = [], rows.materialise
+    monkeypatch.setattr(rows, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or write(df, label))
+    table = numbered(spark, 50)
+    assert "__key_" not in plans[0] and table.columns == ["c0", "c1", "c2", "c3"]
+    assert [r["c1"] for r in table.rows.orderBy(rows.ROW_ID).collect()] == [2 * i for i in range(50)]
+
+
 def test_row_numbers_with_one_hot_leading_key(spark):
     rng = random.Random(1)
     data = [(0 if i % 3 else rng.randint(1, 9), i, f"v{i}") for i in range(3000)]
