@@ -6,6 +6,7 @@ A table is one file, or one folder of part files named like a file (``orders.csv
 from __future__ import annotations
 
 import csv
+import math
 import re
 from dataclasses import dataclass, field
 from functools import partial, reduce
@@ -144,21 +145,69 @@ def _under(file: Column, path: str) -> Column:
 
 
 def first_lines(spark: SparkSession, files: dict[str, str], encodings: dict[str, str] | None = None) -> DataFrame:
-    """``(path, line)``: the first 20 lines of each table's first file, reduced to their separators: only these and a sign
-    for any other text decide. Each file's lines are read by a job that stops in the first split.
+    """``(path, line)``: the first 20 lines of each table's first file, reduced to their separators and quotes: only these and
+    a sign for any other text decide. Lines whose quotes show the separator are cut into records, without what lies in
+    quotes. Each file's lines are read by a job that stops in the first split.
     """
-    others = "[^" + "".join(f"\\x{ord(c):02x}" for c in fixed.SEPARATORS) + "]+"
+    others = "[^" + "".join(f"\\x{ord(c):02x}" for c in [*fixed.SEPARATORS, '"']) + "]+"
 
     def sampled(path: str, first: str) -> list[tuple[str, str]]:
         encoding = (encodings or {}).get(path, "utf-8")
-        text = F.rtrim("text", F.lit("\r"))
+        text = F.ltrim(F.rtrim("text", F.lit("\r")), F.lit("\ufeff"))
         rows = chunks(spark, {encoding: [first]}, "\n").select(F.regexp_replace(text, others, "x").alias("line")).head(fixed.SNIFF_LINES)
-        return [(path, r["line"]) for r in rows]
+        return [(path, line) for line in quoted_sample([r["line"] for r in rows])]
 
     found = side_by_side([partial(sampled, *item) for item in files.items()])
     return spark.createDataFrame([row for rows in found for row in rows], "path string, line string")
 
 
+def _quoted_fields(lines: list[str], separator: str) -> tuple[list[int], bool] | None:
+    """How many fields each whole record of some first lines has, and whether one goes on over a line break; None if no field
+    is in quotes, or a closing quote is not followed by the separator or the end of its line."""
+    counts, n, state, blank = [], 1, "start", False
+    quotes = breaks = False
+    for line in lines:
+        if state != "quoted":
+            n, state, blank = 1, "start", not line.strip(" ")
+        for c in line:
+            if state == "quoted":
+                state = "closed" if c == '"' else "quoted"
+            elif c == separator:
+                n, state = n + 1, "start"
+            elif state == "closed":
+                if c != '"':
+                    return None
+                state = "quoted"
+            elif c == '"' and state == "start":
+                state, quotes = "quoted", True
+            else:
+                state = "plain"
+        if state == "quoted":
+            breaks = True
+        elif not blank:
+            counts.append(n)
+    if not quotes or not counts or (state == "quoted" and n > max(counts)):
+        return None
+    return counts, breaks
+
+
+def quoted_sample(lines: list[str]) -> list[str]:
+    """The records among some first lines, reduced to the separator that their quotes show; else the lines as they are.
+
+    Fields in quotes must begin and end at the separator, and either one goes on over a line break, so that lines are no
+    records, or all records have equally many fields. So prose in quotes does not decide by its spaces and commas.
+    """
+    best, best_score = lines, 0.0
+    for separator in fixed.SEPARATORS:
+        counts, breaks = _quoted_fields(lines, separator) or ([], False)
+        usual = max(sorted(set(counts)), key=counts.count, default=1)
+        share = counts.count(usual) / max(1, len(counts))
+        score = share * math.log1p(sum(counts) - len(counts))
+        if usual > 1 and (breaks or share == 1) and score > best_score:
+            best, best_score = [separator.join("x" * n) for n in counts], score
+    return best
+
+
 def separators(lines: DataFrame) -> DataFrame:
     """``(path, separator)`` from sample lines ``(path, line_no, line)``.
 

@@ -177,3 +177,15 @@ def test_a_table_with_a_header_and_no_rows_is_kept(loaded):
     assert (manifest["bare"]["n_rows"], manifest["bare"]["errors"]) == (0, [])
     chunks = build.build_chunks(result.tables, "Answer questions").collect()
     assert chunks
+
+
+def test_separator_of_quoted_prose(loaded):
+    prose = "one two, three four\n" * 30
+    rows = "".join(f'"{i}","he said ""{i}""\n{prose}","end, {i}"\n' for i in range(3))
+    lines = "".join(f'{i};"a b c d e f, g";{i}\n' for i in range(30))
+    result, manifest = loaded({"breaks.csv": f"doc_id,body,tag\n{rows}", "marked.csv": f'﻿"doc_id","body","tag"\n{rows}', "lines.csv": f"id;text;n\n{lines}", "wide.csv": 'id,size\n1,5" wide\n2,7 "a" wide\n'})
+    assert {name: row["separator"] for name, row in manifest.items()} == {"breaks": ",", "marked": ",", "lines": ";", "wide": ","}
+    for name in ("breaks", "marked"):
+        assert values(result.tables[name]) == [(i, f'he said "{i}"\n{prose}', f"end, {i}") for i in range(3)]
+    assert values(result.tables["lines"])[7] == (7, "a b c d e f, g", 7) and result.tables["lines"].n_rows == 30
+    assert values(result.tables["wide"]) == [(1, '5" wide'), (2, '7 "a" wide')]
