@@ -141,7 +141,7 @@ def score_best(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
     avgdl = index.stats.select("avgdl").scalar()
     part = contribution(F.col("tf"), F.col("dl"), avgdl).alias("part")
     if index.by_file:
-        return post.select("file", "doc_id", "number", part).mapInArrow(_by_file(shipped, k), RANKED)
+        return post.select(F.xxhash64("file"), "doc_id", "number", part).mapInArrow(_by_file(shipped, k), RANKED)
     post = post.select("doc_id", "number", part)
     if not index.by_document:
         post = post.repartition("doc_id")
@@ -183,14 +183,12 @@ def _by_file(shipped, k: int):
         for batch in batches:
             if not batch.num_rows or not len(ids):
                 continue
-            coded = batch.column(0).dictionary_encode()
-            code = coded.indices.to_numpy()
-            cuts = [0, *(np.flatnonzero(np.diff(code)) + 1).tolist(), len(code)]
+            files = batch.column(0).to_numpy()
+            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
             for a, b in zip(cuts, cuts[1:]):
-                file = coded.dictionary[int(code[a])].as_py()
-                if file != own:
+                if files[a] != own:
                     flush()
-                    own = file
+                    own = files[a]
                 held.append([batch.column(c).slice(a, b - a).to_numpy() for c in (1, 2, 3)])
         flush()
         yield _ranked(ids, best)

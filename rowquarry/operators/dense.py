@@ -5,6 +5,7 @@ Vector tables are ``(doc_id, vec array<float>)``; questions are ``(query_id, vec
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -21,6 +22,7 @@ from rowquarry.operators.ranking import RANKED, by_question_blocks, top_k
 from rowquarry.session import BROADCAST_MAX_BYTES
 
 HASH_DIMENSIONS = 64
+VECTOR_ROWS = 4096  # that a task sends at once
 
 
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", dimensions: int = HASH_DIMENSIONS) -> DataFrame:
@@ -62,6 +64,56 @@ def embed_postings(docs: DataFrame, post: DataFrame, dimensions: int = HASH_DIME
     )
 
 
+def embed_files(docs: DataFrame, post: DataFrame, dimensions: int = HASH_DIMENSIONS) -> DataFrame:
+    """The same vectors from written postings that name their ``file``, which holds all of a document's and is read by one
+    task. A task hashes a word once where the file's postings are sorted by term, and only its vectors are shuffled, to
+    meet the documents without a word."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, held = None, []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            files, terms = batch.column(0).to_numpy(), batch.column(2).dictionary_encode()
+            bucket, sign = _hashed(terms.dictionary.to_pylist(), dimensions)
+            term = terms.indices.to_numpy()
+            rows = (batch.column(1).to_numpy(), bucket[term], sign[term] * batch.column(3).to_numpy())
+            cuts = [0, *(np.flatnonzero(files[1:] != files[:-1]) + 1).tolist(), len(files)]
+            for a, b in zip(cuts, cuts[1:]):
+                if files[a] != own:
+                    yield from _summed(held, dimensions)
+                    own, held = files[a], []
+                held.append([c[a:b].copy() for c in rows])
+        yield from _summed(held, dimensions)
+
+    # Only where the next file begins is asked of the path: a number of eight bytes tells as well.
+    found = post.filter("doc_id IS NOT NULL").select(F.xxhash64("file"), "doc_id", "term", "tf").mapInArrow(run, "doc_id long, vec array<float>")
+    blank = F.array_repeat(F.lit(0.0).cast("float"), dimensions)
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("vec", blank).alias("vec"))
+
+
+def _hashed(terms: list[str], dimensions: int) -> tuple[np.ndarray, np.ndarray]:
+    """(bucket, sign) of each term, as in ``embed_postings``."""
+    digests = np.frombuffer(b"".join(hashlib.md5(t.encode(), usedforsecurity=False).digest()[:5] for t in terms), np.uint8).reshape(-1, 5)
+    bucket = digests[:, :4].copy().view(">u4")[:, 0] % dimensions
+    return bucket.astype(np.int32), np.where(digests[:, 4] < 0x80, 1, -1)
+
+
+def _summed(held: list, dimensions: int) -> Iterator[pa.RecordBatch]:
+    """Unit vectors of the documents of a file from its (doc_id, bucket, signed count) rows."""
+    if not held:
+        return
+    docs, bucket, signed = (np.concatenate(c) for c in zip(*held))
+    ids, row = np.unique(docs, return_inverse=True)
+    sums = np.bincount(row * dimensions + bucket, signed, len(ids) * dimensions).reshape(-1, dimensions)
+    for low in range(0, len(ids), VECTOR_ROWS):
+        part = sums[low : low + VECTOR_ROWS]
+        norm = np.sqrt((part * part).sum(axis=1, keepdims=True))
+        unit = (part / np.where(norm > 0, norm, 1)).astype(np.float32)
+        ends = pa.array(np.arange(len(part) + 1, dtype=np.int32) * dimensions)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[low : low + VECTOR_ROWS]), pa.ListArray.from_arrays(ends, pa.array(unit.ravel()))], ["doc_id", "vec"])
+
+
 def encode(
     docs: DataFrame,
     load_model: Callable[[], Callable[[list[str]], np.ndarray]],

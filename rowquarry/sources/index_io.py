@@ -78,7 +78,7 @@ def _publish(spark: SparkSession, path: str, earlier: list, docs: DataFrame, id_
         postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.parquet(f"{folder}/terms")
 
     def write_vectors() -> None:
-        vectors = embed(stored) if embed is not None else dense.embed_postings(stored, postings)
+        vectors = embed(stored) if embed is not None else dense.embed_files(stored, postings.select("*", F.col("_metadata.file_path").alias("file")))
         vectors.select("doc_id", "vec").write.parquet(f"{folder}/vectors")
 
     side_by_side([write_terms, write_vectors])

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rowquarry.functions.kernels import BestWeighted
-from rowquarry.operators import bm25
+from rowquarry.operators import bm25, dense
 from rowquarry.operators.sieve import sieve
 from rowquarry.plans import retrieve
 from rowquarry.session import list_names, materialise
@@ -154,3 +154,22 @@ def test_only_picked_text_moves(spark):
         assert "getbit(" in text and text.index("getbit(") < text.rindex("Exchange")
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_vectors_come_from_files_without_shuffling_postings(spark, tmp_path):
+    words = F.when(F.col("id") % 9 == 0, "?!").when(F.col("id") % 9 == 1, None).otherwise(F.concat_ws(" ", F.lit("Größe common common"), F.col("id"), F.col("id") % 5))
+    docs = spark.range(300).select(F.col("id").alias("doc_id"), words.alias("text"))
+    index_io.write_index(docs, str(tmp_path))
+    index = index_io.open_index(spark, str(tmp_path))
+    post = index.keyword.postings
+    assert post.select("file").distinct().count() > 1
+
+    def vectors(df):
+        return {r["doc_id"]: r["vec"] for r in df.collect()}
+
+    expected = vectors(dense.embed_postings(docs, post))
+    found = dense.embed_files(docs, post)
+    assert len(expected) == 300 and vectors(found) == expected == vectors(index.vectors)
+    assert plan(found).count("Exchange (") < plan(dense.embed_postings(docs, post)).count("Exchange (")
+    few = dense.embed_files(docs, post.filter("doc_id < 50"), 4)
+    assert vectors(few) == vectors(dense.embed_postings(docs, post.filter("doc_id < 50"), 4))
