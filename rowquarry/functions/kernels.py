@@ -6,6 +6,8 @@ import numpy as np
 
 from rowquarry.operators.ranking import SCORE_DIGITS
 
+MAX_CELLS = 1_000_000  # scores of 8 bytes that are ranked at once
+
 
 class BestK:
     """The ``k`` best (score, id) pairs of each query over a run of document blocks.
@@ -14,7 +16,7 @@ class BestK:
     on how documents fall into blocks.
     """
 
-    def __init__(self, query_vectors: np.ndarray, k: int, max_cells: int = 4_000_000):
+    def __init__(self, query_vectors: np.ndarray, k: int, max_cells: int = MAX_CELLS):
         self.queries = np.ascontiguousarray(query_vectors, dtype=np.float64)
         self.k = k
         self.block = max(1, max_cells // max(1, len(self.queries)))
@@ -92,10 +94,10 @@ class BestWeighted:
     weighs for the question times what it adds in the document.
 
     ``cuts`` bounds each term's run in ``owner`` (questions) and ``weight``. Documents come in blocks whose score
-    table has at most ``max_cells`` cells.
+    table has at most ``max_cells`` cells, of which a task holds a few copies.
     """
 
-    def __init__(self, n_questions: int, cuts: np.ndarray, owner: np.ndarray, weight: np.ndarray, k: int, max_cells: int = 4_000_000):
+    def __init__(self, n_questions: int, cuts: np.ndarray, owner: np.ndarray, weight: np.ndarray, k: int, max_cells: int = MAX_CELLS):
         self.n, self.cuts, self.asked, self.weight = n_questions, cuts, owner, weight
         self.best = BestK(np.empty((n_questions, 0)), k)
         self.block = max(1, max_cells // max(1, n_questions))

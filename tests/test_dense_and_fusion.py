@@ -1,3 +1,5 @@
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -131,3 +133,18 @@ def test_picks_do_not_depend_on_how_many_questions_are_solved_at_once(monkeypatc
     monkeypatch.setattr(fusion, "MAX_CELLS", 1)
     for one, other in zip(pick(query, flat, count, pd.Series([3] * 9)), whole):
         assert one.tolist() == other.tolist()
+
+
+def test_memory_of_ranking_does_not_grow_with_a_batch():
+    rng = np.random.default_rng(5)
+    asked, vectors = rng.normal(size=(400, 16)), rng.normal(size=(12_000, 16))
+    tracemalloc.start()
+    found = BestK(asked, 20)
+    found.add(np.arange(12_000), vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 48 << 20
+    scores = np.round(asked @ vectors.T, 9)
+    for q in (0, 399):
+        expected = np.lexsort((np.arange(12_000), -scores[q]))[:20]
+        assert found.ids[found.owner == q].tolist() == expected.tolist()
