@@ -77,7 +77,10 @@ def signatures(vocabulary: DataFrame, partitions: list[str], distance: int, shar
 
 
 def near_pairs(vocabulary: DataFrame) -> DataFrame:
-    """(word, n, other, other_n) of every two near words, either way round, once. Reads a stored vocabulary."""
+    """(word, n, other, other_n) of every two near words, either way round, once. Reads a stored vocabulary.
+
+    Spark sizes signatures by the stored words they are made of, as if a word had one: left to itself it sends all of them
+    through the driver while the words are few enough. Sorted joins are asked for."""
     length = F.length("word")
 
     def side(found: DataFrame, tag: str) -> DataFrame:
@@ -86,10 +89,10 @@ def near_pairs(vocabulary: DataFrame) -> DataFrame:
     one_off = F.levenshtein("a", "b", 1) == 1
     two = deal_letters(vocabulary, PARTITIONS[2])
     same = signatures(vocabulary, two, 2, length)
-    replaced = side(same, "a").join(side(same, "b"), "key").filter((F.col("a") < F.col("b")) & one_off)
+    replaced = side(same, "a").join(side(same, "b").hint("merge"), "key").filter((F.col("a") < F.col("b")) & one_off)
     one = deal_letters(vocabulary, PARTITIONS[1])
     shorter, longer = signatures(vocabulary, one, 1, length), signatures(vocabulary, one, 1, length - 1)
-    inserted = side(shorter, "a").join(side(longer, "b"), "key").filter((F.length("a") + 1 == F.length("b")) & one_off)
+    inserted = side(shorter, "a").join(side(longer, "b").hint("merge"), "key").filter((F.length("a") + 1 == F.length("b")) & one_off)
     pairs = replaced.union(inserted).drop("key").distinct()
     return pairs.select(F.explode(F.array(_pair("a", "b"), _pair("b", "a"))).alias("p")).select("p.*")
 
@@ -100,11 +103,12 @@ def _pair(a: str, b: str) -> Column:
 
 def roots(forms: DataFrame) -> DataFrame:
     """(word, root) from (word, form): the end of each chain, by pointer jumping. A form is several times as frequent as
-    its word, so chains are short and end. Each round is stored in the shared folder."""
+    its word, so chains are short and end. Each round is stored in the shared folder. Stored words are several times as large
+    in a broadcast as in their files, so joins sort."""
     reached = materialise(forms.select("word", F.col("form").alias("root")), "spelling-roots")
     while True:
         ahead = reached.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        moved = reached.join(ahead, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on"))
+        moved = reached.join(ahead.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("on"))
         moved = materialise(moved, "spelling-roots")
         if moved.filter("on").isEmpty():
             return moved.select("word", "root")
@@ -124,5 +128,5 @@ def variants(docs: DataFrame, key: str = "doc_id", text: str = "text", shortest:
         grouped.select("word", "n", "n_near", F.when(fits, F.col("best.other")).alias("form"), F.when(fits, F.col("best.other_n")).alias("form_n")), "spelling-forms"
     )
     found = roots(formed.filter("form is not null"))
-    whole = formed.join(found, "word", "left")
+    whole = formed.join(found.hint("merge"), "word", "left")
     return whole.select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

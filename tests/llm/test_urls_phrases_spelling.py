@@ -257,3 +257,14 @@ def test_registered_queries_have_their_columns(spark):
     assert queries.op11_url_filter(spark, SF).columns == ["page_id", "host", "path", "rule", "verdict"]
     assert queries.op12_collocations(spark, SF).columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
     assert queries.op13_spelling(spark, SF).columns == ["word", "form", "root", "n", "n_near", "form_n"]
+
+
+def test_spelling_sends_no_side_of_a_join_through_the_driver(spark, tmp_path):
+    """The files of a few words are far below Spark's bound for a broadcast, their signatures and forms need not be."""
+    spark.createDataFrame([("wording", 90), ("wordings", 9), ("warding", 8)], "word string, n long").write.parquet(str(tmp_path / "words"))
+    pairs = spelling.near_pairs(spark.read.parquet(str(tmp_path / "words")))
+    docs = spark.createDataFrame([(1, "wording " * 60 + "wordings " * 6)], "doc_id long, text string")
+    for found in (pairs, spelling.variants(docs)):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    assert {(r["word"], r["other"]) for r in pairs.collect()} == {("wording", "wordings"), ("wordings", "wording"), ("wording", "warding"), ("warding", "wording")}
