@@ -134,6 +134,21 @@ def row_line(fields: list[T.StructField], limit: int = fixed.MAX_VALUE_LENGTH) -
     return F.expr(f"concat_ws(' | ', {', '.join(parts)})")
 
 
+def short_cells(fields: list[T.StructField], limit: int = fixed.MAX_VALUE_LENGTH) -> tuple[list[str], list[T.StructField]]:
+    """SQL and fields of columns of which ``row_line`` makes the same line, and that are not longer than it needs: long texts
+    are cut one character after the limit, lists and records written as text."""
+    cells, short = [], []
+    for f in fields:
+        name = name_sql(f.name)
+        if isinstance(f.dataType, (T.StringType, T.ArrayType, T.StructType, T.MapType)):
+            cells.append(f"substring({cell_sql(name, f.dataType)}, 1, {limit + 1}) AS {name}")
+            short.append(T.StructField(f.name, T.StringType()))
+        else:
+            cells.append(name)
+            short.append(f)
+    return cells, short
+
+
 def joined_in_order(order: Column, text: Column, separator: str) -> Column:
     """Aggregate: the group's texts joined in ``order``. For groups of bounded size only."""
     pairs = F.array_sort(F.collect_list(F.struct(order.alias("o"), text.alias("s"))))

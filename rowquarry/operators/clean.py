@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from rowquarry.functions import fixed
 from rowquarry.functions.text import is_technical, name_sql, quoted, text_sql
 from rowquarry.operators.rows import NumberedTable, number_rows
+from rowquarry.session import passing
 
 _UNNAMED = re.compile("Unnamed")
 _ORDER = "__order"  # no cleaned name begins like this
@@ -168,8 +169,8 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def clean_numbered(df: DataFrame, order_by: list[str | Column], hidden: tuple[str, ...] | None = None) -> NumberedTable:
-    """Clean, keeping first copies in order, and number the rows. Runs jobs: the numbering
-    write and one pass over it to decide number columns.
+    """Clean, keeping first copies in order, and number the rows. Runs jobs: a write of the distinct rows, which are deleted
+    again, the numbering write and one pass over it to decide number columns.
 
     ``hidden`` columns serve the order only and are not part of the rows; by default those of ``order_by`` that bear a
     numbered table's own names (a table that is cleaned again by its row numbers, say). When the order is by columns of the table,
@@ -181,12 +182,14 @@ def clean_numbered(df: DataFrame, order_by: list[str | Column], hidden: tuple[st
     if all(isinstance(c, str) and c in plain for c in order_by):
         shown = df.select(*[quoted(c) for c in df.columns if c not in hidden]) if hidden else df
         tidy = plain_types(tidy_columns(shown))
-        numbered = number_rows(distinct_rows(tidy), [tidy.columns[plain.index(c)] for c in order_by])
+        with passing(distinct_rows(tidy), "distinct") as distinct:
+            numbered = number_rows(distinct, [tidy.columns[plain.index(c)] for c in order_by])
     else:
         order = F.struct(*[(quoted(c) if isinstance(c, str) else c).alias(f"o{i}") for i, c in enumerate(order_by)])
         placed = df.select(*[quoted(c) for c in df.columns if c not in hidden], order.alias(_ORDER)) if hidden else df.select("*", order.alias(_ORDER))
         tidy = plain_types(tidy_columns(placed, (_ORDER,)))
-        numbered = number_rows(distinct_rows(tidy, _ORDER), [_ORDER], hidden=(_ORDER,))
+        with passing(distinct_rows(tidy, _ORDER), "distinct") as distinct:
+            numbered = number_rows(distinct, [_ORDER], hidden=(_ORDER,))
     filled = fill_nulls(numbered.rows)
     return numbered.with_rows(coerce_numbers(filled, number_types(filled)))
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowquarry.functions.text import is_technical, name_sql, quoted
-from rowquarry.session import materialise
+from rowquarry.session import materialise_compact as materialise
 
 ROW_ID = "__row_id"
 _PART = "__part"

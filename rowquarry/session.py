@@ -122,12 +122,46 @@ def scratch(spark: SparkSession, label: str = "scope") -> Iterator[str]:
         delete_path(spark, folder)
 
 
+COMPACT = "zstd"
+
+# What is stored is read from its files, so nobody reads the shuffles again that made it. Spark keeps these until the driver
+# happens to collect its garbage, unless this is set while a write is planned.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES = Lock()
+_WRITING: dict[str, list] = {}  # by application: how many writes run, and the setting before the first
+
+
+@contextmanager
+def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
+    """The shuffle files of what is written inside the block go when it is written. The setting is the session's: it stays
+    while any thread writes and is put back by the last one."""
+    name = spark.sparkContext.applicationId
+    with _WRITES:
+        state = _WRITING.setdefault(name, [0, None])
+        if not state[0]:
+            state[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        state[0] += 1
+    try:
+        yield
+    finally:
+        with _WRITES:
+            state[0] -= 1
+            if not state[0]:
+                spark.conf.set(CLEANUP, state[1]) if state[1] is not None else spark.conf.unset(CLEANUP)
+
+
+def _write(df: DataFrame, path: str, compression: str | None = None) -> None:
+    with _shuffles_deleted(df.sparkSession):
+        (df.write.option("compression", compression) if compression else df.write).parquet(path)
+
+
 def stored(spark: SparkSession, label: str, build: Callable[[], DataFrame]) -> DataFrame:
     """The result of ``build``, written to the enclosing scope. What ``build`` stores on its way is deleted afterwards."""
     path = scratch_path(spark, label)
     with scratch(spark, f"{label}-steps"):
         df = build()
-        df.write.parquet(path)
+        _write(df, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -136,10 +170,31 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     prune columns, and survive lost executors. Runs one job."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    _write(df, path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def materialise_compact(df: DataFrame, label: str) -> DataFrame:
+    """``materialise`` for tables as large as the input, in smaller files."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    _write(df, path, COMPACT)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(df: DataFrame, label: str) -> Iterator[DataFrame]:
+    """``df``, written to shared parquet until the block ends: between two shuffles of whole rows, so that the files of the
+    first are gone, and its work is not done again, when the second is made. Runs one job."""
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    try:
+        _write(df, path, COMPACT)
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        delete_path(spark, path)
+
+
 def _field_bytes(field: T.StructField) -> Column:
     column = F.col(f"`{field.name}`")
     if isinstance(field.dataType, (T.StringType, T.BinaryType)):

@@ -175,3 +175,39 @@ def test_quantiles_with_one_hot_value(spark):
     series = pd.Series([v for v in values if v is not None])
     for share in (0.0, 0.1, 0.25, 0.5, 0.9, 1.0):
         assert got[0, share] == pytest.approx(series.quantile(share)) and got[1, share] == 1.0
+
+
+def test_numbering_does_not_make_its_input_again(spark, monkeypatch):
+    plans, write = [], rows.materialise
+    monkeypatch.setattr(rows, "materialise", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or write(df, label))
+    left, right = (spark.range(40).select((F.col("id") % 20).alias(k), (F.col("id") % 4).alias(c)) for k, c in (("a", "b"), ("k", "c")))
+    joined = left.join(right, F.col("a") == F.col("k"))
+    for order in (["a"], [F.col("a") * 2]):
+        table = clean.clean_numbered(joined, order)
+        assert [r["a"] for r in table.rows.orderBy(rows.ROW_ID).collect()] == list(range(20))
+    assert plans and not any("Join" in plan or "Aggregate" in plan for plan in plans)
+
+
+def test_hybrid_lines_are_written_after_the_shuffle(spark):
+    long, wide = "é" * 199 + "xy", ["ab", "c" * 300]
+    data = [(i, [None, "", "x" * 200, "y" * 201, long][i % 5], None if i % 4 == 0 else wide[: i % 3], i / 8, i * 3, (i, "n" * (i % 2 * 250))) for i in range(700)]
+    table = rows.number_rows(spark.createDataFrame(data, "id long, window string, list array<string>, x double, lines long, r struct<a long, b string>"), ["id"])
+    made = chunks.hybrid_chunks(table, "t", window=8, overlap=1, group_size=4)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "concat_ws" in plan and "concat_ws" not in plan[plan.index("Exchange hashpartitioning") :]
+
+    def cut(text):
+        return text if len(text) <= 200 else text[:200] + "…"
+
+    def line(row, group):
+        i, text, items, x, n, (a, b) = row
+        listed = "" if items is None else "[" + ", ".join(f"'{v}'" for v in items) + "]"
+        record = '{"a":%d,"b":"%s"}' % (a, b)
+        return [f"id: {i} | window: {cut(text or '')} | list: {cut(listed)} | x: {x}", f"lines: {n} | r: {cut(record)}"][group]
+
+    got = {(r["col_group"], r["row_start"]): r for r in made.collect()}
+    starts = range(0, 700, 7)
+    assert sorted(got) == [(g, s) for g in (0, 1) for s in starts]
+    for (g, s), r in got.items():
+        e = min(s + 8, 700)
+        assert r["row_end"] == e and r["text"] == f"[Table: t | ColGroup {g + 1} × Rows {s + 1}–{e}]\n" + "\n".join(line(row, g) for row in data[s:e])
