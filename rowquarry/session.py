@@ -128,14 +128,14 @@ COMPACT = "zstd"
 # happens to collect its garbage, unless this is set while a write is planned.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _WRITES = Lock()
-_WRITING: dict[str, list] = {}  # by application: how many writes run, and the setting before the first
+_WRITING: dict[int, list] = {}  # by session: how many writes run, and the setting before the first
 
 
 @contextmanager
 def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
     """The shuffle files of what is written inside the block go when it is written. The setting is the session's: it stays
     while any thread writes and is put back by the last one."""
-    name = spark.sparkContext.applicationId
+    name = spark._jsparkSession.hashCode()
     with _WRITES:
         state = _WRITING.setdefault(name, [0, None])
         if not state[0]:
@@ -148,6 +148,7 @@ def _shuffles_deleted(spark: SparkSession) -> Iterator[None]:
         with _WRITES:
             state[0] -= 1
             if not state[0]:
+                del _WRITING[name]
                 spark.conf.set(CLEANUP, state[1]) if state[1] is not None else spark.conf.unset(CLEANUP)
 
 

@@ -38,6 +38,10 @@ MANIFEST_SCHEMA = (
 # Schema inference reports a bad record as a plain JVM error.
 SPARK_ERRORS = (PySparkException, Py4JJavaError)
 
+# Tables of together at most so many bytes are cleaned side by side, larger ones one after the other: what is shuffled for
+# them lies on disk at one time.
+SIDE_BY_SIDE_BYTES = 512 * 1024 * 1024
+
 
 @dataclass(frozen=True)
 class Source:
@@ -46,6 +50,7 @@ class Source:
     path: str
     first_file: str
     suffix: str
+    n_bytes: int = 0
 
     @property
     def table(self) -> str:
@@ -81,20 +86,20 @@ def _suffix(path: str) -> str:
 
 def list_sources(spark: SparkSession, path: str) -> list[Source]:
     """The tables under a folder, or the one at a file path, by name. Reads no file content."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "length")
     root = unquote(urlparse(path).path).rstrip("/")
     local = F.regexp_replace("path", r"^[A-Za-z][A-Za-z0-9+.-]*:(//[^/]*)?", "")
     inside = F.when(local.startswith(root), F.substring(local, F.lit(len(root) + 1), F.length(local))).otherwise(local)
     known = _suffix(root) in DELIMITED + JSON + PARQUET  # a folder of parts that is one table
     entry = F.lit("") if known else F.regexp_extract(inside, r"^/([^/]+)", 1)
-    listed = files.groupBy(entry.alias("entry")).agg(F.min("path").alias("first")).orderBy("entry").collect()  # one row per table
+    listed = files.groupBy(entry.alias("entry")).agg(F.min("path").alias("first"), F.sum("length").alias("n_bytes")).orderBy("entry").collect()  # one row per table
 
     def kind(name: str, first: str) -> str:
         """A known suffix of the table's name, or else that of its first file: folder names may hold dots."""
         own = _suffix(name)
         return own if own in DELIMITED + JSON + PARQUET or unquote(first).endswith(f"/{name.rsplit('/', 1)[-1]}") else _suffix(first)
 
-    return [Source(f"{path.rstrip('/')}/{r['entry']}".rstrip("/"), r["first"], kind(r["entry"] or root, r["first"])) for r in listed]
+    return [Source(f"{path.rstrip('/')}/{r['entry']}".rstrip("/"), r["first"], kind(r["entry"] or root, r["first"]), r["n_bytes"]) for r in listed]
 
 
 # --- encoding and separator ---------------------------------------------------------------------
@@ -421,9 +426,10 @@ def load_tables(spark: SparkSession, path: str) -> LoadedTables:
     A table with a header and no rows is kept; one that fails is recorded in the manifest and the rest go on.
     """
     scans = scan_tables(spark, path)
+    cleaned = [table for group in _groups(scans) for table in side_by_side([partial(_cleaned, scan) for scan in group])]
     tables: dict[str, NumberedTable] = {}
     rows = []
-    for scan, table in zip(scans, side_by_side([partial(_cleaned, scan) for scan in scans])):
+    for scan, table in zip(scans, cleaned):
         name = scan.source.table
         if table is not None and table.columns:
             name = unique_names([*tables, name])[-1]
@@ -434,6 +440,19 @@ def load_tables(spark: SparkSession, path: str) -> LoadedTables:
     return LoadedTables(tables, spark.createDataFrame(rows, MANIFEST_SCHEMA))
 
 
+def _groups(scans: list[Scan]) -> list[list[Scan]]:
+    """Scans in their order, in groups of at most ``SIDE_BY_SIDE_BYTES`` or of one."""
+    groups: list[list[Scan]] = []
+    left = 0
+    for scan in scans:
+        if not groups or scan.source.n_bytes > left:
+            groups.append([])
+            left = SIDE_BY_SIDE_BYTES
+        groups[-1].append(scan)
+        left -= scan.source.n_bytes
+    return groups
+
+
 def _cleaned(scan: Scan) -> NumberedTable | None:
     if scan.rows is None:
         return None

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rowquarry.functions import fixed
-from rowquarry.session import materialise
+from rowquarry.session import materialise, materialise_compact
 from rowquarry.sources.splits import buffers, by_split, chunks, decoded, joined_fragments, strings
 
 ITEMS = "file string, split long, place long, opens boolean, kind int, list_no long, at long, text string"
@@ -286,7 +286,7 @@ def documents(spark: SparkSession, files: dict[str, list[str]]) -> DataFrame | N
         if not any(m.is_list for own in members.values() for m in own):
             return None
         items = _chosen(spark, items, members)
-    return materialise(items.select("file", "split", "place", "text"), "json-items")
+    return materialise_compact(items.select("file", "split", "place", "text"), "json-items")
 
 
 def _ends_empty(text):

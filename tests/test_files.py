@@ -1,11 +1,15 @@
 import json
+import os
+from threading import Lock
 
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from rowquarry.operators.rows import ROW_ID
 from rowquarry.operators.clean import clean as clean_frame
 from rowquarry.plans import build
+from rowquarry.session import scratch
 from rowquarry.sources import files
 
 ROWS = [("1", "Ann Lee", "1,200", "2024-01-01"), ("2", "Bob", "950", "2024-01-02"), ("3", "Zoë", "7", "2024-01-03")]
@@ -189,3 +193,39 @@ def test_separator_of_quoted_prose(loaded):
         assert values(result.tables[name]) == [(i, f'he said "{i}"\n{prose}', f"end, {i}") for i in range(3)]
     assert values(result.tables["lines"])[7] == (7, "a b c d e f, g", 7) and result.tables["lines"].n_rows == 30
     assert values(result.tables["wide"]) == [(1, '5" wide'), (2, '7 "a" wide')]
+
+
+def test_large_tables_are_cleaned_one_after_the_other(loaded, monkeypatch):
+    running, most, lock, clean_one = [0], [0], Lock(), files._cleaned
+
+    def counted(scan):
+        with lock:
+            running[0] += 1
+            most[0] = max(most[0], running[0])
+        try:
+            return clean_one(scan)
+        finally:
+            with lock:
+                running[0] -= 1
+
+    monkeypatch.setattr(files, "_cleaned", counted)
+    monkeypatch.setattr(files, "SIDE_BY_SIDE_BYTES", 60)
+    found, _ = loaded({"a.csv": "x,y\n" + "1,2\n" * 3, "b.csv": "x,y\n" + "".join(f"{i},5\n" for i in range(40)), "c.tsv": "x\ty\n3\t4\n", "d.jsonl": '{"x": 7, "y": 8}\n'})
+    assert {name: values(t) for name, t in found.tables.items()} == {"a": [(1, 2)], "b": [(i, 5) for i in range(40)], "c": [(3, 4)], "d": [(7, 8)]}
+    assert most[0] <= 2
+
+    def sizes(*n_bytes):
+        scans = [files.Scan(files.Source("p", "p", ".csv", n), "CSV") for n in n_bytes]
+        return [[s.source.n_bytes for s in group] for group in files._groups(scans)]
+
+    assert sizes(20, 40, 1, 59, 900, 60, 0) == [[20, 40], [1, 59], [900], [60, 0]] and sizes() == []
+
+
+def test_loaded_files_are_deleted_before_their_rows_are_read(spark):
+    with scratch(spark) as folder:
+        rows = queries.encoded_scan(spark, "/root/testdata/sf0.001")
+        left = {n.split("-")[0] for n in os.listdir(folder.removeprefix("file:"))}
+        assert "encoded" not in left and "rows" in left
+        assert {(r["table"], r["n"]) for r in rows.groupBy("table").agg(F.count("*").alias("n")).collect()} == {
+            (name, 200) for name in ("win", "latin", "low", "high", "lines", "list")
+        }
